@@ -1,4 +1,4 @@
 """All registered queries."""
 
-from . import queries_functions, queries_status  # noqa: F401
+from . import queries_functions, queries_merge, queries_status  # noqa: F401
 from .registry import ORACLES, QUERIES  # noqa: F401
