@@ -113,7 +113,9 @@ def with_runner_kill(
         "strict": fixed.RUNNER_STRICT_INFRASTRUCTURE_WORDS,
     }
     sides = {"o": original, "c": current}
-    staged = df.withColumns({f"_{s}_low": F.lower(_one_line(text)) for s, text in sides.items()})
+    # equal texts never kill: their flags are not worth scanning for
+    differs = ~F.col(original).eqNullSafe(F.col(current))
+    staged = df.withColumns({f"_{s}_low": F.when(differs, F.lower(_one_line(text))) for s, text in sides.items()})
     staged = staged.withColumns(
         {f"_{s}_{kind}": contains_any(F.col(f"_{s}_low"), list_) for s in sides for kind, list_ in words.items()}
     )

@@ -38,13 +38,14 @@ def lower(value: Column | str) -> Column:
 
 
 def contains_any(text: Column, words: list[str]) -> Column:
-    """True when the text holds one of the words; long lists become one pattern.
+    """True when the text holds one of the words.
 
-    One pattern keeps the generated code small, so that a stage with several
-    word lists still compiles as a whole.
+    Long lists go through a literal array: unrolled, they would make the stage's
+    generated method too long for the JIT; one alternation pattern would try
+    every word at every character.
     """
     if len(words) > 3:
-        return text.rlike("|".join(f"\\Q{w}\\E" for w in words))
+        return F.exists(F.array(*[F.lit(w) for w in words]), lambda w: F.contains(text, w))
     return reduce(lambda a, b: a | b, [text.contains(w) for w in words])
 
 

@@ -134,8 +134,10 @@ def mapped_candidates(
     """Tests to run per mutant: its own first, then tests of the same method.
 
     ``fallback`` is the feature's limit. A method's list is cut to one more than
-    that before it meets the mutants, so no method emits all pairs.
+    that before it meets the mutants, so no method emits all pairs. A test that
+    is listed twice for one mutant counts once.
     """
+    tests = tests.groupBy("class_name", "method", "mutant", "test_set_name").agg(F.min(order).alias(order))
     window = W.partitionBy("class_name", "method", "mutant").orderBy(order)
     primary = first_by(tests, ["class_name", "mutant"], [F.col(order)])
     own = mutants.join(primary, ["class_name", "method", "mutant"], "inner").select(

@@ -481,6 +481,15 @@ SELECT DISTINCT c.caller_method_id AS caller, c.callee_method_id AS callee, a.ty
 FROM v_calls c JOIN v_methods a ON a.method_id = c.caller_method_id
 JOIN v_methods b ON b.method_id = c.callee_method_id AND b.type_id = a.type_id""",
 }
+# helpers of single queries
+SQL_VIEWS["base"] = f"""
+SELECT class_name, test, list_position({sql_list(OUTCOME_TEXTS)}, min(original_result)) AS o FROM v_outcomes GROUP BY ALL"""
+SQL_VIEWS["m"] = "SELECT class_name, method, mutant FROM v_customers"
+SQL_VIEWS["t"] = """
+SELECT class_name, method, mutant, test_set_name, test_no, row_number() OVER (PARTITION BY class_name, mutant ORDER BY test_no) = 1 AS first_row
+FROM (SELECT class_name, method, mutant, test_set_name, min(row_no) AS test_no FROM v_entries GROUP BY ALL)"""
+SQL_VIEWS["sets"] = """
+SELECT o_custkey AS set_id, list_sort(list(DISTINCT o_orderstatus || '-' || o_orderpriority)) AS tests FROM orders GROUP BY 1"""
 SQL_VIEWS["v_distances"] = """
 SELECT anchor_id, method_id, min(distance) AS distance FROM (
   SELECT method_id AS anchor_id, method_id, 0 AS distance FROM v_methods
