@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .fixed import INT_MAX
-from .text import col, first_match, first_non_blank, or_default, safe
+from .text import col, first_match, first_non_blank, let, or_default, safe
 
 SEPARATOR = "::"
 
@@ -22,50 +22,67 @@ def last_path_segment(path: Column | str) -> Column:
     return F.substring_index(F.regexp_replace(slashed, "/+$", ""), "/", -1)
 
 
+def _joined_parts(parts: Column) -> Column:
+    """First four parts as an id; '' when one of them is blank."""
+    return let(
+        F.transform(F.slice(parts, 1, 4), safe),
+        lambda p: F.when(F.forall(p, lambda x: x != ""), F.array_join(p, SEPARATOR)).otherwise(F.lit("")),
+    )
+
+
+def _with_last_segment(parts: Column) -> Column:
+    """Parts whose first one is a path: only its last segment counts."""
+    return F.concat(F.array(last_path_segment(F.get(parts, 0))), F.slice(parts, 2, 3))
+
+
 def normalize_id(raw: Column | str) -> Column:
     """Bring ``a::b::c::d`` and ``path##b##c##d`` into the canonical form."""
-    text = safe(raw)
-    colons = F.split(text, SEPARATOR, -1)
-    hashes = F.split(text, "##", -1)
-    return first_match(
-        [
-            (
-                text.contains(SEPARATOR) & (F.size(colons) >= 4),
-                canonical_id(F.get(colons, 0), F.get(colons, 1), F.get(colons, 2), F.get(colons, 3)),
-            ),
-            (
-                text.contains("##") & (F.size(hashes) >= 4),
-                canonical_id(last_path_segment(F.get(hashes, 0)), F.get(hashes, 1), F.get(hashes, 2), F.get(hashes, 3)),
-            ),
-        ],
-        text,
-    )
+
+    def body(text: Column) -> Column:
+        colons, hashes = F.split(text, SEPARATOR, -1), F.split(text, "##", -1)
+        return first_match(
+            [
+                (F.size(colons) >= 4, _joined_parts(colons)),
+                (F.size(hashes) >= 4, _joined_parts(_with_last_segment(hashes))),
+            ],
+            text,
+        )
+
+    return let(safe(raw), body)
 
 
 def legacy_mutant_name(raw: Column | str, anchor_folder: str = "traditional_mutants") -> Column:
     """Mutant name inside an id or a path."""
-    text = safe(raw)
-    colons = F.split(text, SEPARATOR, -1)
-    hashes = F.split(text, "##", -1)
-    slashed = F.translate(text, "\\", "/")
-    parts = F.split(slashed, "/", -1)
-    # the anchor must leave two more segments behind it
-    at = F.array_position(F.slice(parts, 1, F.greatest(F.size(parts) - 2, F.lit(0))), F.lit(anchor_folder))
-    return first_match(
-        [
-            (text.contains(SEPARATOR), F.when(F.size(colons) >= 4, safe(F.get(colons, 3))).otherwise(text)),
-            (text.contains("##"), F.when(F.size(hashes) >= 4, safe(F.get(hashes, 3))).otherwise(text)),
-            (at > 0, safe(F.get(parts, (at + 1).cast("int")))),
-        ],
-        safe(F.substring_index(slashed, "/", -1)),
-    )
+
+    def fourth(parts: Column, text: Column) -> Column:
+        return let(parts, lambda p: F.when(F.size(p) >= 4, safe(F.get(p, 3))).otherwise(text))
+
+    def in_path(parts: Column) -> Column:
+        # the anchor must leave two more segments behind it
+        at = F.array_position(F.slice(parts, 1, F.greatest(F.size(parts) - 2, F.lit(0))), F.lit(anchor_folder))
+        return let(
+            at,
+            lambda i: F.when(i > 0, safe(F.get(parts, (i + 1).cast("int")))).otherwise(safe(F.element_at(parts, -1))),
+        )
+
+    def body(text: Column) -> Column:
+        return first_match(
+            [
+                (text.contains(SEPARATOR), fourth(F.split(text, SEPARATOR, -1), text)),
+                (text.contains("##"), fourth(F.split(text, "##", -1), text)),
+            ],
+            let(F.split(F.translate(text, "\\", "/"), "/", -1), in_path),
+        )
+
+    return let(safe(raw), body)
 
 
 def id_part(raw: Column | str, index: int) -> Column:
     """0 project, 1 class, 2 method, 3 mutant; '' when the id is not canonical."""
-    text = safe(raw)
-    parts = F.split(text, SEPARATOR, -1)
-    return F.when(F.size(parts) >= 4, safe(F.get(parts, index))).otherwise(F.lit(""))
+    return let(
+        F.split(safe(raw), SEPARATOR, -1),
+        lambda p: F.when(F.size(p) >= 4, safe(F.get(p, index))).otherwise(F.lit("")),
+    )
 
 
 def backfilled_id(mutant_id: Column | str, project, cls, method, operator) -> Column:

@@ -53,6 +53,15 @@ def contains_all(text: Column, words: list[str]) -> Column:
     return reduce(lambda a, b: a & b, [text.contains(w) for w in words])
 
 
+def let(value: Column, body) -> Column:
+    """Bind an expression once for a body that refers to it several times.
+
+    Optimizer rules copy expressions into filters and join keys; a bound value
+    keeps such copies small however often the body uses it.
+    """
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def first_match(rules: list[tuple[Column, object]], default: object) -> Column:
     """Ordered rule table as one CASE expression; a null condition never matches."""
     expr = None

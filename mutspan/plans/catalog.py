@@ -1,4 +1,4 @@
 """All registered queries."""
 
-from . import queries_facts, queries_functions, queries_kill, queries_merge, queries_status  # noqa: F401
+from . import queries_facts, queries_functions, queries_history, queries_kill, queries_merge, queries_status  # noqa: F401
 from .registry import ORACLES, QUERIES  # noqa: F401

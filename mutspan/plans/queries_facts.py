@@ -483,9 +483,9 @@ def event_upsert(spark, sf):
     "M8_candidate_upsert",
     """
 SELECT event_id, candidate_value, max(priority) AS priority, max(support) AS support_count, max(accepted) AS accepted,
-  coalesce(nullif(arg_min(at, seq), ''), arg_min(at, seq) FILTER (accepted = 1 AND at <> ''), '') AS accepted_at
+  coalesce(nullif(arg_min(t_at, seq), ''), arg_min(t_at, seq) FILTER (accepted = 1 AND t_at <> ''), '') AS accepted_at
 FROM (SELECT o_custkey AS event_id, 'v' || (o_orderkey % 4) AS candidate_value, CAST(o_orderkey % 90 AS INT) AS priority, CAST(o_orderkey % 7 AS INT) AS support,
-  CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END AS accepted, CASE WHEN o_orderpriority = '5-LOW' THEN 'at' || o_orderkey ELSE CASE WHEN o_orderstatus = 'F' THEN 'f' || o_orderkey ELSE '' END END AS at, o_orderkey AS seq FROM orders) GROUP BY ALL""",
+  CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END AS accepted, CASE WHEN o_orderpriority = '5-LOW' THEN 'at' || o_orderkey ELSE CASE WHEN o_orderstatus = 'F' THEN 'f' || o_orderkey ELSE '' END END AS t_at, o_orderkey AS seq FROM orders) GROUP BY ALL""",
 )
 def candidate_upsert(spark, sf):
     o, accepted = F.col("o_orderkey"), F.col("o_orderstatus") == "F"

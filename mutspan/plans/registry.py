@@ -22,7 +22,9 @@ def query(name: str, sql: str | None = None, uses: tuple[str, ...] = ()):
         if sql is not None:
             head = ", ".join(f"{v} AS ({SQL_VIEWS[v]})" for v in uses)
             body = sql.strip()
-            if head and body.upper().startswith("WITH "):
+            if head and body.upper().startswith("WITH RECURSIVE "):
+                body = f"WITH RECURSIVE {head}, {body[15:]}"
+            elif head and body.upper().startswith("WITH "):
                 body = f"WITH {head}, {body[5:]}"
             elif head:
                 body = f"WITH {head} {body}"

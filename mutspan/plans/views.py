@@ -482,6 +482,14 @@ FROM v_calls c JOIN v_methods a ON a.method_id = c.caller_method_id
 JOIN v_methods b ON b.method_id = c.callee_method_id AND b.type_id = a.type_id""",
 }
 # helpers of single queries
+SQL_VIEWS["r"] = "SELECT coarse_key, exact_key, action, elapsed_ms AS cents FROM v_traj"
+SQL_VIEWS["lin_log"] = f"""
+SELECT {sql_pick(fixed.EVIDENCE_ACTIONS, 'label % 6')} AS action, CAST(embedding AS DOUBLE[]) AS x, CAST(vec_id % 10 - 4 AS DOUBLE) AS reward,
+  1.0 / sqrt(CAST(vec_id % 9 + 1 AS DOUBLE)) AS w FROM embeddings WHERE vec_id % 7 <> 0 AND vec_id % 11 <> 0"""
+SQL_VIEWS["blocks"] = """
+SELECT l_orderkey, l_linenumber, bool_or(l_returnflag = 'R') AS is_if, bool_or(l_linestatus = 'O') AS is_mark FROM lineitem GROUP BY 1, 2"""
+SQL_VIEWS["succs"] = "SELECT l_orderkey, l_linenumber AS block, unnest([l_linenumber + 1, l_linenumber + 2]) AS succ FROM blocks"
+SQL_VIEWS["docs"] = "SELECT doc_id, list_transform(string_split(text, chr(10)), lambda x: length(x)) AS lens FROM documents"
 SQL_VIEWS["base"] = f"""
 SELECT class_name, test, list_position({sql_list(OUTCOME_TEXTS)}, min(original_result)) AS o FROM v_outcomes GROUP BY ALL"""
 SQL_VIEWS["m"] = "SELECT class_name, method, mutant FROM v_customers"
