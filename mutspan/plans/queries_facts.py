@@ -459,16 +459,15 @@ def latest_upsert(spark, sf):
 _EVENT_ROWS = """SELECT *, CASE WHEN k % 3 = 0 THEN NULL ELSE event_id END AS mutant_row_id, CASE WHEN k % 4 = 0 THEN '' ELSE created_at END AS made_at FROM v_feedback"""
 
 
-@query(
-    "M7_event_upsert",
-    f"""
+M7_SQL = f"""
 SELECT mutant_id, root_cause, symptom, auto_repairable, action, run_id, max(confidence) AS confidence, arg_max(mutant_row_id, seq) FILTER (mutant_row_id IS NOT NULL) AS mutant_row_id,
-  coalesce(arg_min(made_at, seq) FILTER (made_at <> ''), '') AS created_at FROM ({_EVENT_ROWS}) GROUP BY mutant_id, root_cause, symptom, auto_repairable, action, run_id, failure_stage, primary_fix, failure_reason""",
-    ("v_traj", "v_feedback"),
-)
-def event_upsert(spark, sf):
+  coalesce(arg_min(made_at, seq) FILTER (made_at <> ''), '') AS created_at FROM ({_EVENT_ROWS}) GROUP BY mutant_id, root_cause, symptom, auto_repairable, action, run_id, failure_stage, primary_fix, failure_reason"""
+
+
+def event_rows(feedback):
+    """Feedback with the columns of stored events; some lack row id or time."""
     k = F.col("k")
-    rows = _feedback(spark, sf).withColumns(
+    return feedback.withColumns(
         {
             "mutant_row_id": F.when(k % 3 != 0, F.col("event_id")),
             "created_at": F.when(k % 4 == 0, F.lit("")).otherwise(F.col("created_at")),
@@ -476,7 +475,15 @@ def event_upsert(spark, sf):
             "signal_ledger": F.lit(None).cast("string"),
         }
     )
-    return up.upsert_events(rows).select("mutant_id", "root_cause", "symptom", "auto_repairable", "action", "run_id", "confidence", "mutant_row_id", "created_at")
+
+
+def event_columns(events):
+    return events.select("mutant_id", "root_cause", "symptom", "auto_repairable", "action", "run_id", "confidence", "mutant_row_id", "created_at")
+
+
+@query("M7_event_upsert", M7_SQL, ("v_traj", "v_feedback"))
+def event_upsert(spark, sf):
+    return event_columns(up.upsert_events(event_rows(_feedback(spark, sf))))
 
 
 @query(

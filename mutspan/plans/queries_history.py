@@ -98,13 +98,14 @@ def similar_references(spark, sf):
 @query(
     "A26_action_statistics",
     """
-SELECT 'global' AS level, '' AS bucket, action, count(*) AS samples, round(avg(reward), 5) AS mean_reward FROM v_traj GROUP BY action
-UNION ALL SELECT 'coarse', coarse_key, action, count(*), round(avg(reward), 5) FROM v_traj GROUP BY coarse_key, action
-UNION ALL SELECT 'exact', exact_key, action, count(*), round(avg(reward), 5) FROM v_traj GROUP BY exact_key, action""",
+SELECT 'global' AS level, '' AS bucket, action, count(*) AS samples, round(avg(sqrt(elapsed_ms + 1)), 6) AS mean_reward FROM v_traj GROUP BY action
+UNION ALL SELECT 'coarse', coarse_key, action, count(*), round(avg(sqrt(elapsed_ms + 1)), 6) FROM v_traj GROUP BY coarse_key, action
+UNION ALL SELECT 'exact', exact_key, action, count(*), round(avg(sqrt(elapsed_ms + 1)), 6) FROM v_traj GROUP BY exact_key, action""",
     ("v_traj",),
 )
 def action_statistics(spark, sf):
-    return bd.action_statistics(v.v_traj(spark, sf)).withColumn("mean_reward", F.round("mean_reward", 5))
+    t = v.v_traj(spark, sf).withColumn("reward", F.sqrt(F.col("elapsed_ms") + 1))
+    return bd.action_statistics(t).withColumn("mean_reward", F.round("mean_reward", 6))
 
 
 _ORD = f"list_position({v.sql_list(fixed.EVIDENCE_ACTIONS)}, action)"
@@ -143,7 +144,10 @@ def exploration(spark, sf):
 
 
 def _linear_log(spark, sf):
-    e = table(spark, sf, "embeddings")
+    return linear_rows(table(spark, sf, "embeddings"))
+
+
+def linear_rows(e):
     n = F.col("vec_id")
     return e.select(
         v.pick(fixed.EVIDENCE_ACTIONS, F.col("label") % 6).alias("action"), F.slice("embedding", 1, DIM).cast("array<double>").alias("x"),
@@ -152,14 +156,13 @@ def _linear_log(spark, sf):
     )
 
 
-@query(
-    "A27_linear_statistics",
-    """
+LINEAR_SQL = """
 SELECT action, 'A' AS part, CAST(i AS INT) AS row, CAST(j AS INT) AS col, round(sum(w * xi * xj) + CASE WHEN i = j THEN 1.0 ELSE 0.0 END, 6) AS value FROM lin_log, range(8) r1(i), range(8) r2(j),
   LATERAL (SELECT x[i + 1] AS xi, x[j + 1] AS xj) GROUP BY action, i, j
-UNION ALL SELECT action, 'b', CAST(i AS INT), 0, round(sum(w * reward * x[i + 1]), 6) FROM lin_log, range(8) r1(i) GROUP BY action, i""",
-    ("lin_log",),
-)
+UNION ALL SELECT action, 'b', CAST(i AS INT), 0, round(sum(w * reward * x[i + 1]), 6) FROM lin_log, range(8) r1(i) GROUP BY action, i"""
+
+
+@query("A27_linear_statistics", LINEAR_SQL, ("lin_log",))
 def linear_statistics(spark, sf):
     s = bd.linear_statistics(bd.policy_rows(_linear_log(spark, sf)), DIM)
     return s.withColumn("value", F.round("value", 6))

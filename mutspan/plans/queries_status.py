@@ -286,17 +286,16 @@ def loop_statistics(spark, sf):
     return tj.loop_statistics(v.v_traj(spark, sf))
 
 
-@query(
-    "T5_loop_statistics_by_round",
-    """
+ROUND_SQL = """
 SELECT run_id, outer_loop_round, count(*) AS total_mutants, count_if(compile_success) AS compiled, count_if(e) AS executed,
   count_if(e AND killed) AS killed, count_if(e AND NOT killed AND target_status = 'SURVIVED') AS survived,
   count_if(false) AS equivalent_suspected, count_if(NOT e) AS not_executed
 FROM (SELECT *, target_status IN ('KILLED', 'SURVIVED', 'ORIGINAL_FAILED') AS e FROM (SELECT *,
   row_number() OVER (PARTITION BY run_id, outer_loop_round, task_id ORDER BY line_no DESC) AS rn FROM v_traj) WHERE rn = 1)
-GROUP BY ALL""",
-    ("v_traj",),
-)
+GROUP BY ALL"""
+
+
+@query("T5_loop_statistics_by_round", ROUND_SQL, ("v_traj",))
 def loop_statistics_by_round(spark, sf):
     return tj.loop_statistics(v.v_traj(spark, sf), ["run_id", "outer_loop_round"])
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -53,3 +54,9 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise an iteration result in the reliable checkpoint folder."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """Fresh folder beside the checkpoints, for tables and streams of one run."""
+    root = ensure_checkpoint_dir(spark).rstrip("/")
+    return f"{root}/{name}-{uuid.uuid4().hex}"

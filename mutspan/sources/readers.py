@@ -78,13 +78,10 @@ def raw_trajectory(spark: SparkSession, path, strict: bool = False) -> DataFrame
 
 
 def permissive_json(spark: SparkSession, path, schema: str) -> DataFrame:
-    """JSON lines with the text of broken lines kept in ``_broken``."""
-    return (
-        spark.read.schema(f"{schema}, _broken string")
-        .option("mode", "PERMISSIVE")
-        .option("columnNameOfCorruptRecord", "_broken")
-        .json(path)
-    )
+    """JSON lines with the text of broken lines kept in ``_broken``; blank lines go."""
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_broken"}
+    lines = spark.read.text(path).filter(~blank("value"))
+    return lines.select(F.from_json("value", f"{schema}, _broken string", options).alias("r")).select("r.*")
 
 
 def split_broken(df: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -135,7 +132,10 @@ def failed_compilations(results: DataFrame) -> DataFrame:
 
 def suite_reports(spark: SparkSession, path) -> DataFrame:
     """One row per report file; older key names are accepted."""
-    raw = spark.read.schema(schemas.SUITE_REPORT).option("multiLine", True).json(path)
+    return shape_suite_reports(spark.read.schema(schemas.SUITE_REPORT).option("multiLine", True).json(path))
+
+
+def shape_suite_reports(raw: DataFrame) -> DataFrame:
     return raw.select(
         F.col("_metadata.file_path").alias("report_id"),
         F.col("targetClassName").alias("class_name"),
