@@ -13,7 +13,8 @@ from ..functions.keys import id_part, legacy_mutant_name, normalize_id
 from ..functions.scores import visibility_score
 from ..functions.signatures import simple_class_name, simple_owner, wildcard_constructor_arity
 from ..functions.text import first_match, join_reasons, safe
-from .ordering import best_per_key, first_by
+from ..session import cut_lineage
+from .ordering import first_by
 
 
 # --- owner views --------------------------------------------------------------
@@ -58,6 +59,7 @@ def find_mutants(requests: DataFrame, mutants: DataFrame) -> DataFrame:
             "w_method": id_part("wanted", 2),
         }
     )
+    asked = cut_lineage(asked)  # six joins read it: ids are taken apart once
     known = mutants.select(
         "mutant_row_id", F.col("mutant_id").alias("found_id"), F.col("project").alias("f_project"),
         F.col("class_name").alias("f_class"), F.col("method").alias("f_method"), F.col("operator").alias("f_operator"),

@@ -13,6 +13,7 @@ from ..functions.keys import operator_family
 from ..functions.scores import relation, reward_points, similarity_score
 from ..functions.status import is_true
 from ..functions.text import safe
+from ..session import cut_lineage
 from .ordering import best_per_key, latest_by
 from .trajectory import LINE
 
@@ -112,18 +113,45 @@ def shared_experience(targets: DataFrame, history: DataFrame) -> DataFrame:
 TRAITS = ["operator", "observable", "entry_kind", "invocation"]
 
 
-def _scope_keys(row: str = "") -> Column:
-    """All attribute combinations that can decide similarity, as (combo, key) structs."""
+def _scope_keys(scope: str) -> Column:
+    """Keys of one scope for all attribute combinations that can decide similarity."""
     sep = "\x01"
     operator = {"op": [F.col("operator")], "family": [operator_family("operator")], "any": []}
     items = []
-    for (scope, scope_keys), (op, op_cols), mask in product(SCOPES.items(), operator.items(), product((0, 1), repeat=3)):
+    for (op, op_cols), mask in product(operator.items(), product((0, 1), repeat=3)):
         traits = [F.col(c) for c, used in zip(("observable", "entry_kind", "invocation"), mask) if used]
-        label = f"{scope}{sep}{op}{sep}{''.join(map(str, mask))}"
-        key = F.concat_ws(sep, F.lit(label), *[F.col(k) for k in scope_keys], *op_cols, *traits)
-        # a blank line names no site
-        items.append(F.when(F.col("line") != "", key) if scope == "same_site" else key)
-    return F.array_compact(F.array(*items))
+        label = f"{op}{sep}{''.join(map(str, mask))}"
+        items.append(F.concat_ws(sep, F.lit(label), *[F.col(k) for k in SCOPES[scope]], *op_cols, *traits))
+    return F.array(*items)
+
+
+def _references_in_scope(targets: DataFrame, refs: DataFrame, scope: str, names: list[str], keep: int) -> DataFrame:
+    """Best references per target among those that share its site, method or class."""
+    by_reward = [F.desc("reward"), F.col("ref_id")]
+    if scope == "same_site":  # a blank line names no site
+        targets, refs = targets.filter(F.col("line") != ""), refs.filter(F.col("line") != "")
+    keyed = refs.withColumn("_key", F.explode(_scope_keys(scope)))
+    pairs_of_name = best_per_key(keyed, ["_key", "test_name"], by_reward, 2, "_n")
+    firsts = best_per_key(pairs_of_name.filter("_n = 1"), ["_key"], by_reward, keep + 1, "_rank").drop("_rank")
+    seconds = pairs_of_name.filter("_n = 2").join(firsts.select("_key", "test_name"), ["_key", "test_name"], "left_semi")
+    short = firsts.unionByName(seconds).select("_key", "ref_id", "test_name", "reward", *names)
+    lookup = targets.withColumn("_key", F.explode(_scope_keys(scope))).select(
+        "_key", "mutant_id", *[F.col(c).alias(f"t_{c}") for c in names]
+    )
+    met = lookup.join(short, "_key").filter(F.col("ref_id") != F.col("mutant_id"))
+    same_method = F.col("t_method") == F.col("method")
+    rel = relation(same_method & (F.col("t_line") != "") & (F.col("t_line") == F.col("line")), same_method)
+    scored = met.withColumn("relation", rel).withColumn(
+        "similarity",
+        similarity_score(
+            "relation", "t_operator", "operator", "t_observable", "observable", "t_entry_kind", "entry_kind",
+            "t_invocation", "invocation", "reward",
+        ),
+    )
+    # smallest struct = highest similarity, then highest reward, then smallest id
+    place = F.struct((-F.col("similarity")).alias("s"), (-F.col("reward")).alias("r"), "ref_id", "relation")
+    unique = scored.groupBy("mutant_id", "test_name").agg(F.min(place).alias("_p"))
+    return best_per_key(unique, ["mutant_id"], [F.col("_p")], keep, "_rank").drop("_rank")
 
 
 def similar_references(targets: DataFrame, history: DataFrame, keep: int) -> DataFrame:
@@ -133,8 +161,11 @@ def similar_references(targets: DataFrame, history: DataFrame, keep: int) -> Dat
     Among references that share one combination of attributes with a target,
     the order is by reward; so only the first ``keep`` + 1 test names of each
     combination can matter (one of them may be the target's own). Targets meet
-    those short lists instead of every reference of their class. Test names stay
-    unique per target; equal scores go by reward, then by mutant id.
+    those short lists instead of every reference of their class. Any reference
+    of the same site beats all others of the method, and those beat the rest of
+    the class; so wider scopes are only searched for targets that still miss
+    references. Test names stay unique per target; equal scores go by reward,
+    then by mutant id.
     """
     names = ["project", "class_name", "method", "line", *TRAITS]
     refs = (
@@ -146,32 +177,16 @@ def similar_references(targets: DataFrame, history: DataFrame, keep: int) -> Dat
             *[safe(c).alias(c) for c in names],
         )
     )
-    by_reward = [F.desc("reward"), F.col("ref_id")]
-    keyed = refs.withColumn("_key", F.explode(_scope_keys()))
-    pairs_of_name = best_per_key(keyed, ["_key", "test_name"], by_reward, 2, "_n")
-    firsts = best_per_key(pairs_of_name.filter("_n = 1"), ["_key"], by_reward, keep + 1, "_rank")
-    seconds = pairs_of_name.filter("_n = 2").join(firsts.select("_key", "test_name"), ["_key", "test_name"], "left_semi")
-    short = firsts.select("_key", "ref_id", "test_name", "reward", *names).unionByName(
-        seconds.select("_key", "ref_id", "test_name", "reward", *names)
-    )
-    asked = targets.select("mutant_id", *[safe(c).alias(c) for c in names])
-    lookup = asked.withColumn("_key", F.explode(_scope_keys())).select(
-        "_key", "mutant_id", *[F.col(c).alias(f"t_{c}") for c in names]
-    )
-    met = lookup.join(short, "_key").filter(F.col("ref_id") != F.col("mutant_id")).drop("_key").distinct()
-    same_method = F.col("t_method") == F.col("method")
-    rel = relation(same_method & (F.col("t_line") != "") & (F.col("t_line") == F.col("line")), same_method)
-    scored = met.withColumn("relation", rel).withColumn(
-        "similarity",
-        similarity_score(
-            "relation", "t_operator", "operator", "t_observable", "observable", "t_entry_kind", "entry_kind",
-            "t_invocation", "invocation", "reward",
-        ),
-    )
-    order = [F.desc("similarity"), F.desc("reward"), F.col("ref_id")]
-    unique = best_per_key(scored, ["mutant_id", "test_name"], order, 1, "_r").drop("_r")
-    return best_per_key(unique, ["mutant_id"], order, keep, "reference_rank").select(
-        "mutant_id", "reference_rank", "ref_id", "test_name", "relation", "similarity", "reward"
+    open_targets = targets.select("mutant_id", *[safe(c).alias(c) for c in names])
+    found = None
+    for scope in ("same_site", "same_method", "same_class"):
+        hits = cut_lineage(_references_in_scope(open_targets, refs, scope, names, keep))
+        found = hits if found is None else found.unionByName(hits)
+        full = found.groupBy("mutant_id").agg(F.count_distinct("test_name").alias("_n")).filter(F.col("_n") >= keep)
+        open_targets = open_targets.join(full, "mutant_id", "left_anti")
+    unique = found.groupBy("mutant_id", "test_name").agg(F.min("_p").alias("_p"))
+    return best_per_key(unique, ["mutant_id"], [F.col("_p")], keep, "reference_rank").select(
+        "mutant_id", "reference_rank", "_p.ref_id", "test_name", "_p.relation", (-F.col("_p.s")).alias("similarity"), (-F.col("_p.r")).alias("reward")
     )
 
 

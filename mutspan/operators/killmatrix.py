@@ -47,7 +47,8 @@ def mutants_per_test(kills: DataFrame, keys: list[str], list_rows: int = 10_000)
     One test may kill a large share of all mutants, so its list is cut by a hash
     into parts; the parts together hold every mutant.
     """
-    pairs = kills.filter("kills").select(*keys, "mutant").distinct()
+    # filtered after the aggregate: pushed below it, the flag's expression would be repeated in the filter
+    pairs = kills.groupBy(*keys, "mutant").agg(F.bool_or("kills").alias("_k")).filter("_k").drop("_k")
     sizes = pairs.groupBy(*keys).agg(F.count(F.lit(1)).alias("killed_mutants"))
     parts = F.ceil(F.col("killed_mutants") / F.lit(list_rows))
     numbered = pairs.join(sizes, keys).withColumn("part", F.pmod(F.xxhash64("mutant"), parts).cast("int"))

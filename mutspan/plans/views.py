@@ -73,6 +73,16 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf.rstrip('/')}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows of a table in fewer files than cores, dealt out to all cores.
+
+    For heavy work per row only. A large table has more files than cores and
+    stays as it is: no shuffle is added there.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+
+
 def _text(*parts: Column | str) -> Column:
     return F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
 
@@ -179,7 +189,7 @@ def v_feedback(events: DataFrame, targets) -> DataFrame:
 
 # --- outcomes, matrix ---------------------------------------------------------------
 def v_outcomes(spark: SparkSession, sf: str) -> DataFrame:
-    li = table(spark, sf, "lineitem")
+    li = spread(table(spark, sf, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_returnflag", "l_linestatus"))
     original = F.when(F.col("l_linestatus") == "O", F.lit("pass")).otherwise(
         pick(OUTCOME_TEXTS, F.col("l_partkey") % len(OUTCOME_TEXTS))
     )
