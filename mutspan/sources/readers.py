@@ -153,6 +153,10 @@ def shape_suite_reports(raw: DataFrame) -> DataFrame:
     )
 
 
+# fixed values: names under which a target-entry file may keep its array
+ENTRY_ARRAYS = ["targetLevelEntries", "testEntries", "entries"]
+
+
 def target_entries(spark: SparkSession, json_path: str | None, csv_path: str | None) -> DataFrame:
     """Target entries from JSON arrays, and from CSV where a folder has no JSON.
 
@@ -163,11 +167,10 @@ def target_entries(spark: SparkSession, json_path: str | None, csv_path: str | N
     folder = F.regexp_replace("_metadata.file_path", "/[^/]*$", "")
     if json_path:
         text = spark.read.text(json_path, wholetext=True).select(folder.alias("folder"), "value")
-        arrays = [F.from_json("value", item)] + [
-            F.from_json(F.get_json_object("value", f"$.{name}"), item) for name in ("entries", "targets", "tests")
-        ]
-        usable = [F.when(F.get(a, 0).isNotNull() & ~F.get(a, 0).eqNullSafe(F.lit(None)), a) for a in arrays]
-        parts.append(text.select("folder", F.explode(F.coalesce(*usable)).alias("e")).select("folder", "e.*"))
+        bare = safe("value").startswith("[")
+        listed = F.coalesce(*[F.get_json_object("value", f"$.{name}") for name in ENTRY_ARRAYS])
+        items = F.from_json(F.when(bare, F.col("value")).otherwise(listed), item)
+        parts.append(text.select("folder", F.explode(items).alias("e")).select("folder", "e.*"))
     if csv_path:
         rows = _csv(spark, csv_path).select(folder.alias("folder"), "*")
         wanted = [c.split()[0] for c in schemas.TARGET_ENTRY.split(", ")]
