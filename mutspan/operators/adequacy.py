@@ -55,14 +55,12 @@ def adequate_sets(kills: DataFrame, keys: list[str], trials: int, seed: str = "c
     that kills it. The number of rounds grows with the longest such chain, about
     the logarithm of the mutants. ``kills`` holds (keys, mutant, test) pairs.
     """
-    spark = kills.sparkSession
     edges = kills.select(*keys, "mutant", "test").distinct()
-    trial = spark.range(trials).select(F.col("id").cast("int").alias("trial"))
     scope = ["trial", *keys]
     node = [*scope, "mutant"]
     # number of trials is a parameter: one copy of the matrix per trial, as in repeated runs
     pending = (
-        edges.join(F.broadcast(trial))
+        edges.withColumn("trial", F.explode(F.sequence(F.lit(0), F.lit(trials - 1))))
         .withColumn("prio", F.concat_ws(":", hashed(seed, "trial", "mutant"), F.col("mutant").cast("string")))
         .withColumn("_t", F.concat_ws(":", hashed(seed, "trial", "mutant", "test"), F.col("test").cast("string")))
     )

@@ -76,12 +76,12 @@ def choose_actions(
             F.col("bucket").alias(f"{name}_key"), F.col("samples").alias(f"_{name}_n"), F.col("best_action").alias(f"_{name}")
         )
 
-    overall = best.filter(F.col("level") == "global").agg(F.first("best_action", True).alias("_global"))
+    overall = best.filter(F.col("level") == "global").agg(F.first("best_action", True)).scalar()
     joined = (
         contexts.withColumns({"exact_key": safe("exact_key"), "coarse_key": safe("coarse_key")})
         .join(level("exact"), "exact_key", "left")
         .join(level("coarse"), "coarse_key", "left")
-        .join(F.broadcast(overall))  # one row
+        .withColumn("_global", overall)
     )
     exact = F.coalesce(F.col("_exact_n"), F.lit(0)) >= max(1, min_exact)
     coarse = F.coalesce(F.col("_coarse_n"), F.lit(0)) >= max(1, min_coarse)

@@ -114,9 +114,9 @@ def test_set_scores(kills: DataFrame, mutants: DataFrame, sets: DataFrame) -> Da
 
     ``kills`` (mutant, test), ``mutants`` (mutant, equivalent), ``sets`` (set_id, test).
     """
-    totals = mutants.agg(F.count_if(~is_true("equivalent")).alias("countable"))
+    countable = mutants.agg(F.count_if(~is_true("equivalent"))).scalar()
     killed = sets.join(kills, "test").groupBy("set_id").agg(F.count_distinct("mutant").alias("killed"))
-    every = sets.select("set_id").distinct().join(killed, "set_id", "left").join(F.broadcast(totals))  # one row
+    every = sets.select("set_id").distinct().join(killed, "set_id", "left").withColumn("countable", countable)
     return every.select(
         "set_id",
         F.coalesce("killed", F.lit(0)).alias("killed"),

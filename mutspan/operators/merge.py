@@ -13,6 +13,10 @@ from ..functions.text import first_match, or_default, ratio, safe
 from .ordering import best_per_key, first_by, latest_by, match_in_tiers
 
 KEY = ["project", "class_name", "method", "mutant"]
+RUN_SUMS = [
+    "primary_runs", "fallback_runs", "original_successes", "original_failures", "mutants_without_test", "timeout_runs",
+    "timeout_mutants", "elapsed_ms",
+]
 
 
 # --- index ------------------------------------------------------------------
@@ -78,6 +82,7 @@ def kill_details(entries: DataFrame, suites: DataFrame) -> DataFrame:
     aggregation, so each map task sends one partial row per mutant. A killed run
     counts as primary when its test list names one of the mutant's own tests.
     """
+    sums = [c for c in RUN_SUMS if c in suites.columns]
     entry = entries.select(
         *KEY,
         F.lit(1).alias("is_entry"),
@@ -100,7 +105,7 @@ def kill_details(entries: DataFrame, suites: DataFrame) -> DataFrame:
         safe("tests").alias("tests"),
         is_true("same_method_fallback").alias("same_method_fallback"),
         or_default("suite_status", "UNKNOWN").alias("suite_status"),
-        *[F.coalesce(F.col(c), F.lit(0)).alias(c) for c in ("primary_runs", "fallback_runs", "timeout_runs", "elapsed_ms")],
+        *[F.coalesce(F.col(c), F.lit(0)).alias(c) for c in sums],
     )
     rows = entry.unionByName(suite, allowMissingColumns=True)
     is_entry = F.col("is_entry") == 1
@@ -131,7 +136,7 @@ def kill_details(entries: DataFrame, suites: DataFrame) -> DataFrame:
         F.array_sort(F.array_distinct(F.flatten(F.collect_set(tests)))).alias("killing_tests"),
         F.collect_set(F.when(F.col("killed") & (F.col("tests") != ""), F.col("tests"))).alias("_killed_by"),
         F.coalesce(F.bool_or(F.lower("tests").contains("timeout")), F.lit(False)).alias("timeout_related"),
-        *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("primary_runs", "fallback_runs", "timeout_runs", "elapsed_ms")],
+        *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in sums],
     )
 
     def by_primary(text: Column) -> Column:

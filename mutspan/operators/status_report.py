@@ -96,10 +96,9 @@ def compile_error_categories(rows: DataFrame) -> DataFrame:
         .groupBy("error_category")
         .agg(F.count(F.lit(1)).alias("mutants"), F.min_by("summary", "position").alias("example"))
     )
-    total = grouped.agg(F.sum("mutants").alias("all_mutants"))
+    total = grouped.agg(F.sum("mutants").alias("all_mutants")).scalar()
     return (
-        grouped.join(F.broadcast(total))  # one row
-        .select("error_category", "mutants", ratio(F.col("mutants"), F.col("all_mutants")).alias("share"), "example")
+        grouped.select("error_category", "mutants", ratio(F.col("mutants"), total).alias("share"), "example")
         .orderBy(F.desc("mutants"), "error_category")
     )
 

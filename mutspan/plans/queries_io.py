@@ -87,7 +87,7 @@ def generation_log(spark, sf):
     ("v_suites",),
 )
 def suite_reports(spark, sf):
-    """A report per hundred rows, as JSON with the older key names in half of them."""
+    """A report per hundred rows, as JSON with another class key in half of them."""
     from ..operators.merge import suite_rows
 
     path = shared_folder(spark, "suite")
@@ -98,8 +98,8 @@ def suite_reports(spark, sf):
     even = F.col("report_no") % 2 == 0
     sinks.write_grouped_json(
         s.select(
-            F.col("report_no").cast("string").alias("targetClassName"), F.when(even, F.col("k")).alias("suiteKilledMutants"), F.when(~even, F.col("k")).alias("killedMutants"),
-            F.when(even, F.col("l")).alias("suiteLiveMutants"), F.when(~even, F.col("l")).alias("liveMutants"),
+            F.when(even, F.col("report_no").cast("string")).alias("targetClassName"), F.when(~even, F.col("report_no").cast("string")).alias("className"),
+            F.col("k").alias("suiteKilledMutants"), F.col("l").alias("suiteLiveMutants"),
         ),
         path,
     )

@@ -136,20 +136,30 @@ def suite_reports(spark: SparkSession, path) -> DataFrame:
 
 
 def shape_suite_reports(raw: DataFrame) -> DataFrame:
+    """Report fields under one name each; class and method have three names in the files."""
+    counts = {
+        "primary_runs": "suitePrimaryRuns",
+        "fallback_runs": "suiteFallbackRuns",
+        "original_successes": "suiteOriginalSuccessCount",
+        "original_failures": "suiteOriginalFailureCount",
+        "mutants_without_test": "suiteMutantsWithoutMappedTest",
+        "timeout_runs": "suiteTimeoutRuns",
+        "timeout_mutants": "suiteTimeoutMutants",
+        "elapsed_ms": "suiteElapsedMillis",
+    }
     return raw.select(
         F.col("_metadata.file_path").alias("report_id"),
-        F.col("targetClassName").alias("class_name"),
-        F.col("methodSignature").alias("method"),
+        first_non_blank("targetClassName", "className", "target").alias("class_name"),
+        first_non_blank("methodSignatureFilter", "methodSignature", "method").alias("method"),
         F.col("resultModuleHome").alias("module_home"),
         F.col("suiteStatus").alias("suite_status"),
-        F.col("sameMethodFallback").alias("same_method_fallback"),
-        F.coalesce("suitePrimaryRuns", F.lit(0)).alias("primary_runs"),
-        F.coalesce("suiteFallbackRuns", F.lit(0)).alias("fallback_runs"),
-        F.coalesce("suiteTimeoutRuns", F.lit(0)).alias("timeout_runs"),
-        F.coalesce("suiteElapsedMillis", F.lit(0)).alias("elapsed_ms"),
-        F.coalesce("suiteKilledMutants", "killedMutants").alias("killed_mutants"),
-        F.coalesce("suiteLiveMutants", "liveMutants").alias("live_mutants"),
-        F.coalesce("suiteMutantResults", "mutantResults").alias("mutant_results"),
+        F.col("suiteFailureReason").alias("suite_failure_reason"),
+        F.col("suiteMutantScore").alias("suite_score"),
+        F.coalesce("sameMethodFallback", F.lit(False)).alias("same_method_fallback"),
+        *[F.coalesce(source, F.lit(0)).alias(name) for name, source in counts.items()],
+        F.col("suiteKilledMutants").alias("killed_mutants"),
+        F.col("suiteLiveMutants").alias("live_mutants"),
+        F.col("suiteMutantResults").alias("mutant_results"),
     )
 
 

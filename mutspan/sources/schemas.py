@@ -66,11 +66,12 @@ GENERATION = (
 )
 
 SUITE_REPORT = (
-    "targetClassName string, methodSignature string, resultModuleHome string, suiteStatus string, "
-    "suiteFailureReason string, sameMethodFallback boolean, suiteMutantScore double, suitePrimaryRuns int, "
-    "suiteFallbackRuns int, suiteTimeoutRuns int, suiteElapsedMillis long, "
-    "suiteKilledMutants array<string>, killedMutants array<string>, suiteLiveMutants array<string>, "
-    "liveMutants array<string>, suiteMutantResults map<string,string>, mutantResults map<string,string>"
+    "targetClassName string, className string, target string, methodSignatureFilter string, methodSignature string, "
+    "method string, sourceModuleHome string, resultModuleHome string, suiteStatus string, suiteFailureReason string, "
+    "sameMethodFallback boolean, suiteMutantScore double, suitePrimaryRuns int, suiteFallbackRuns int, "
+    "suiteOriginalSuccessCount int, suiteOriginalFailureCount int, suiteMutantsWithoutMappedTest int, "
+    "suiteTimeoutRuns int, suiteTimeoutMutants int, suiteElapsedMillis long, "
+    "suiteKilledMutants array<string>, suiteLiveMutants array<string>, suiteMutantResults map<string,string>"
 )
 
 TARGET_ENTRY = (

@@ -23,7 +23,7 @@ def test_index_by_header_and_by_position(spark, tmp_path):
 
 def test_suite_reports_and_entries(spark, tmp_path):
     (tmp_path / "s").mkdir()
-    report = {"targetClassName": "C", "suiteKilledMutants": ["A_1"], "liveMutants": ["A_2"], "suiteMutantResults": {"A_1": "T#t", "A_3": ""}}
+    report = {"className": "C", "suiteKilledMutants": ["A_1"], "suiteLiveMutants": ["A_2"], "suiteMutantResults": {"A_1": "T#t", "A_3": ""}}
     (tmp_path / "s" / "r.json").write_text(json.dumps(report, indent=2))
     rows = {r["mutant"]: r for r in suite_rows(readers.suite_reports(spark, str(tmp_path / "s"))).collect()}
     assert rows["A_1"]["killed"] and rows["A_2"]["live"] and rows["A_1"]["tests"] == "T#t" and set(rows) == {"A_1", "A_2", "A_3"}
