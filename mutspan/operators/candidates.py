@@ -217,14 +217,19 @@ def _return_values(anchors: DataFrame, constructors: bool) -> DataFrame:
     )
 
 
-def observable_candidates(anchors: DataFrame, observers: DataFrame) -> DataFrame:
-    """Return value, best link per observer method, completion when there is neither."""
-    seen = best_observers(observers).select(
+def observable_candidates(anchors: DataFrame, best: DataFrame) -> DataFrame:
+    """Return value, best link per observer method, completion when there is neither.
+
+    ``best`` comes from ``best_observers``; it is read twice, so a caller that
+    goes on to witnesses should store it first.
+    """
+    seen = best.select(
         "anchor_id", "method_id", F.col("observer_signature").alias("observable_signature"),
         F.lit("PUBLIC_METHOD_DEPENDS_ON_MUTATED_STATE").alias("observable_kind"), "priority", F.lit(1).alias("source_order"),
     )
     strong = _return_values(anchors, constructors=False).unionByName(seen)
-    weak = anchors.join(strong.select("anchor_id"), "anchor_id", "left_anti").select(
+    silent = anchors.filter((F.lower(safe("return_type")) == "void") | F.col("is_constructor"))
+    weak = silent.join(best.select("anchor_id"), "anchor_id", "left_anti").select(
         "anchor_id", F.col("anchor_id").alias("method_id"), F.col("signature").alias("observable_signature"),
         F.lit("METHOD_COMPLETION").alias("observable_kind"), F.lit(50.0).alias("priority"), F.lit(2).alias("source_order"),
     )
@@ -250,7 +255,7 @@ def observables_fallback(anchors: DataFrame, propagation: DataFrame) -> DataFram
 
 # --- witnesses --------------------------------------------------------------------------
 def witness_chains(
-    anchors: DataFrame, methods: DataFrame, distances: DataFrame, observers: DataFrame, observables: DataFrame,
+    anchors: DataFrame, methods: DataFrame, distances: DataFrame, best: DataFrame, observables: DataFrame,
     keep: int = fixed.WITNESSES_PER_MUTANT,
 ) -> DataFrame:
     """Best entry-to-observable chains per anchor.
@@ -272,7 +277,7 @@ def witness_chains(
         "begin_line",
         (F.col("score") + near).alias("entry_part"),
     )
-    known = best_observers(observers).select("anchor_id", "method_id", F.lit(True).alias("_known"))
+    known = best.select("anchor_id", "method_id", F.lit(True).alias("_known"))
     own = F.col("method_id") == F.col("anchor_id")
     rated = observables.join(known, ["anchor_id", "method_id"], "left").select(
         "anchor_id",
@@ -286,6 +291,7 @@ def witness_chains(
         first_match([(F.col("observable_kind") == "RETURN_VALUE", 1), (F.col("is_primary"), 2)], 3).alias("hint"),
         first_match([(own, 80.0), (F.col("_known"), 45.0)], 90.0).alias("same_bonus"),
     )
+    rated = cut_lineage(rated)  # read by the ranking and by the equi-join
     observable_order = [F.desc("observable_part"), F.col("observable_distance"), F.col("hint"), F.desc("priority"), F.col("source_order"), F.col("observable_id")]
     distinct = best_per_key(rated, ["anchor_id", "observable_signature", "observable_kind"], observable_order, 1, "_r").drop("_r")
     top_entries = best_per_key(
@@ -314,6 +320,14 @@ def witness_chains(
     )
 
 
+def derive_witnesses(methods: DataFrame, calls: DataFrame, accesses: DataFrame, fields: DataFrame) -> DataFrame:
+    """Witness chains of all methods from the fact tables; shared steps are stored once."""
+    anchors = anchors_of(methods)
+    distances = call_distances(anchors, methods, calls)
+    best = cut_lineage(best_observers(field_observers(anchors, methods, accesses, fields)))
+    return witness_chains(anchors, methods, distances, best, observable_candidates(anchors, best))
+
+
 def witness_fallback(entries: DataFrame, observables: DataFrame, keep: int = 2) -> DataFrame:
     """The i-th entry with the i-th observable."""
     ranked = best_per_key(

@@ -598,7 +598,7 @@ _OBSERVABLES = f"""SELECT *, row_number() OVER (PARTITION BY anchor_id ORDER BY
 )
 def observable_candidates(spark, sf):
     anchors, m, x, f = _facts(spark, sf)
-    return cd.observable_candidates(anchors, cd.field_observers(anchors, m, x, f)).select(
+    return cd.observable_candidates(anchors, cd.best_observers(cd.field_observers(anchors, m, x, f))).select(
         "anchor_id", "method_id", "observable_kind", "priority", "observable_rank", "is_primary"
     )
 
@@ -618,10 +618,8 @@ SELECT anchor_id, witness_rank, entry_id, observable_id, observable_kind, score
     ("v_methods", "v_fields", "v_accesses", "v_calls", "v_readers", "v_observers", "v_edges", "v_distances"),
 )
 def witness_chains(spark, sf):
-    anchors, m, x, f = _facts(spark, sf)
-    d = cd.call_distances(anchors, m, v.v_calls(spark, sf))
-    observers = cd.field_observers(anchors, m, x, f)
-    chains = cd.witness_chains(anchors, m, d, observers, cd.observable_candidates(anchors, observers))
+    _, m, x, f = _facts(spark, sf)
+    chains = cd.derive_witnesses(m, v.v_calls(spark, sf), x, f)
     return chains.select("anchor_id", "witness_rank", "entry_id", "observable_id", "observable_kind", "score")
 
 
