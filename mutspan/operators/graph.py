@@ -2,31 +2,34 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.signatures import canonical_signature, simple_type
 from ..functions.text import first_match, safe
 
 
 def control_dependence(blocks: DataFrame, successors: DataFrame, postdom: DataFrame, marks: DataFrame) -> DataFrame:
     """Branches on which a statement depends: it post-dominates some but not all successors.
 
-    ``marks`` has (method, node): the statements asked for. One aggregate per
-    branch and mark; branches end in a condition.
+    ``marks`` has (method, node): the statements asked for. Starting from the
+    post-dominator rows of the successors, only pairs that hold are ever formed;
+    a pair counts when it holds for fewer successors than the branch has.
     """
-    branches = blocks.filter("tail_is_if").join(successors, ["method", "block"])
-    asked = branches.join(marks, "method")
-    hits = postdom.select("method", F.col("node").alias("succ"), F.col("dominator").alias("mark"), F.lit(True).alias("_pd"))
-    judged = asked.select("method", "block", "cond", "line", "succ", F.col("node").alias("mark")).join(
-        hits, ["method", "succ", "mark"], "left"
+    edges = blocks.filter("tail_is_if").join(successors.select("method", "block", "succ").distinct(), ["method", "block"])
+    totals = edges.groupBy("method", "block").agg(F.count(F.lit(1)).alias("_total"))
+    dominated = postdom.select("method", F.col("node").alias("succ"), F.col("dominator").alias("mark")).distinct()
+    asked = marks.select("method", F.col("node").alias("mark"))
+    hits = (
+        edges.join(dominated, ["method", "succ"])
+        .join(asked, ["method", "mark"], "left_semi")
+        .groupBy("method", "mark", "block", "cond", "line")
+        .agg(F.count(F.lit(1)).alias("_n"))
     )
-    pd = F.coalesce("_pd", F.lit(False))
+    text = F.concat(F.lit("If("), F.col("cond"), F.lit(") @"), F.col("line").cast("string"))
     return (
-        judged.groupBy("method", "mark", "block", "cond", "line")
-        .agg(F.bool_or(pd).alias("_some"), F.bool_and(pd).alias("_all"))
-        .filter(F.col("_some") & ~F.col("_all"))
-        .select("method", "mark", "block", F.concat(F.lit("If("), F.col("cond"), F.lit(") @"), F.col("line").cast("string")).alias("dependence"))
+        hits.join(totals, ["method", "block"])
+        .filter(F.col("_n") < F.col("_total"))
+        .select("method", "mark", "block", text.alias("dependence"))
     )
 
 
@@ -62,22 +65,37 @@ def changed_keys(original: DataFrame, mutant: DataFrame, key: str, value: str) -
     )
 
 
+def _plain_type(text: Column) -> Column:
+    """Type text for comparison: arrays for varargs, no java.lang., no blanks; generics stay."""
+    arrays = F.replace(F.replace(text, F.lit("..."), F.lit("[]")), F.lit("java.lang."), F.lit(""))
+    return F.regexp_replace(arrays, r"\s+", "")
+
+
+# fixed value: parts of a method text are static, return type, name, parameters; a constructor has no return type
+METHOD_TEXT = r"^(static\s+)?(.+?)\s+([A-Za-z_$][A-Za-z0-9_$]*)\s*\((.*)\)\s*$"
+
+
 def _facts(signatures: DataFrame, kind: str) -> DataFrame:
-    """Parsed signature texts of one list: last text per canonical key; constructors fall out."""
-    raw = safe("raw")
-    head = safe(F.regexp_extract(raw, r"(?s)^([^(]*)\(", 1))
-    words = F.split(head, r"\s+")
-    return_type = F.when(F.size(words) >= 2, simple_type(F.get(words, F.size(words) - 2))).otherwise(F.lit(""))
-    parsed = signatures.filter(F.col("list_kind") == kind).select(
+    """Parsed method texts of one list, one row per key; texts that are no method fall out.
+
+    The key is the lower-case name with its parameter texts. A list that holds
+    two different texts for one key contradicts itself.
+    """
+    raw = F.regexp_replace(safe("raw"), r"\s+", " ")
+
+    def part(group: int) -> Column:
+        return F.regexp_extract(raw, METHOD_TEXT, group)
+
+    parsed = signatures.filter((F.col("list_kind") == kind) & raw.rlike(METHOD_TEXT)).select(
         "group_id",
-        canonical_signature("raw").alias("key"),
-        F.concat(F.lit(" "), head, F.lit(" ")).contains(" static ").alias("is_static"),
-        return_type.alias("return_type"),
+        F.concat(F.lower(part(3)), F.lit("("), _plain_type(part(4)), F.lit(")")).alias("key"),
+        (part(1) != "").alias("is_static"),
+        _plain_type(part(2)).alias("return_type"),
         raw.alias("raw"),
     )
-    usable = parsed.filter((F.col("key") != "") & (F.col("return_type") != ""))
-    return usable.groupBy("group_id", "key").agg(
-        F.max(F.struct("raw", "is_static", "return_type")).alias(f"_{kind}")
+    return parsed.groupBy("group_id", "key").agg(
+        F.max(F.struct("raw", "is_static", "return_type")).alias(f"_{kind}"),
+        (F.min("raw") != F.max("raw")).alias(f"_{kind}_conflict"),
     )
 
 
@@ -98,8 +116,12 @@ def signature_agreement(signatures: DataFrame) -> DataFrame:
             F.when(both & (F.col(f"{a}.return_type") != F.col(f"{b}.return_type")), F.concat(F.lit(f"{label}_RETURN:"), F.col("key"))),
         ]
 
+    conflicts = [
+        F.when(F.col(f"_{k}_conflict"), F.concat(F.lit(f"{k.upper()}_CONFLICT:"), F.col("key"))) for k in ("exact", "public", "setup")
+    ]
     errors = F.array_compact(
         F.array(
+            *conflicts,
             F.when(F.col("_exact").isNotNull() & F.col("_public").isNull(), F.concat(F.lit("PUBLIC_MISSING:"), F.col("key"))),
             *differs("_exact", "_public", "PUBLIC"),
             F.when(F.col("_setup").isNotNull() & F.col("_public").isNull(), F.concat(F.lit("SETUP_NOT_PUBLIC:"), F.col("key"))),
@@ -119,7 +141,8 @@ def signature_agreement(signatures: DataFrame) -> DataFrame:
         *[F.coalesce(c, zero).alias(c) for c in ("exact_methods", "public_methods", "setup_methods")],
         F.coalesce("_all_errors", F.array().cast("array<string>")).alias("_all_errors"),
     )
-    none = F.col("exact_methods") == 0
+    contradictory = F.exists("_all_errors", lambda e: e.contains("_CONFLICT:"))
+    none = (F.col("exact_methods") == 0) & ~contradictory
     return full.select(
         "group_id",
         first_match([(none, "NOT_VERIFIED_NO_EXACT_SIGNATURES"), (F.size("_all_errors") == 0, "VERIFIED_STRICT")], "FAILED").alias("status"),

@@ -16,6 +16,7 @@ from .registry import query
 from .views import table
 
 DIM = 8
+LAST_LINE = 7  # highest line number of an order
 
 
 @query(
@@ -231,9 +232,9 @@ def control_dependence(spark, sf):
     blocks = lines.select(F.col("l_orderkey").alias("method"), n.alias("block"), F.col("is_if").alias("tail_is_if"), F.concat(F.lit("q"), n.cast("string")).alias("cond"), n.alias("line"))
     successors = blocks.select("method", "block", F.explode(F.array(F.col("block") + 1, F.col("block") + 2)).alias("succ"))
     marks = lines.filter("is_mark").select(F.col("l_orderkey").alias("method"), n.alias("node"))
-    nodes = successors.select("method", F.col("succ").alias("node")).distinct()
-    dominators = marks.select("method", F.col("node").alias("dominator"))
-    postdom = nodes.join(dominators, "method").filter((F.col("node") <= F.col("dominator")) & ((F.col("node") + F.col("dominator")) % 2 == 0))
+    last = F.greatest(F.col("succ"), F.lit(LAST_LINE))
+    # every second line behind a successor dominates it
+    postdom = successors.select("method", F.col("succ").alias("node"), F.explode(F.sequence("succ", last, F.lit(2))).alias("dominator"))
     return gr.control_dependence(blocks, successors, postdom, marks).select("method", "block", "mark", "dependence")
 
 
@@ -253,11 +254,13 @@ def def_use_edges(spark, sf):
 @query(
     "J33_signature_agreement",
     f"""
-SELECT group_id, CASE WHEN exact_methods = 0 THEN 'NOT_VERIFIED_NO_EXACT_SIGNATURES' WHEN n = 0 THEN 'VERIFIED_STRICT' ELSE 'FAILED' END AS status, exact_methods, public_methods, setup_methods,
-  CASE WHEN exact_methods = 0 THEN 0 ELSE n END AS errors FROM (SELECT group_id, count(e) AS exact_methods, count(p) AS public_methods, count(s) AS setup_methods,
+SELECT group_id, CASE WHEN exact_methods = 0 AND c = 0 THEN 'NOT_VERIFIED_NO_EXACT_SIGNATURES' WHEN n + c = 0 THEN 'VERIFIED_STRICT' ELSE 'FAILED' END AS status, exact_methods, public_methods, setup_methods,
+  CASE WHEN exact_methods = 0 AND c = 0 THEN 0 ELSE n + c END AS errors FROM (SELECT group_id, count(e) AS exact_methods, count(p) AS public_methods, count(s) AS setup_methods,
+  sum(CASE WHEN e2 <> e THEN 1 ELSE 0 END + CASE WHEN p2 <> p THEN 1 ELSE 0 END + CASE WHEN s2 <> s THEN 1 ELSE 0 END) AS c,
   sum(CASE WHEN e IS NOT NULL AND p IS NULL THEN 1 ELSE 0 END + CASE WHEN e <> p THEN 1 ELSE 0 END + CASE WHEN s IS NOT NULL AND p IS NULL THEN 1 ELSE 0 END
     + CASE WHEN s <> p THEN 1 ELSE 0 END + CASE WHEN s <> e THEN 1 ELSE 0 END) AS n
-FROM (SELECT p_brand || '.' || p_type AS group_id, p_name AS key, max(ret) FILTER (kind = 0) AS e, max(ret) FILTER (kind = 1) AS p, max(ret) FILTER (kind = 2) AS s
+FROM (SELECT p_brand || '.' || p_type AS group_id, p_name AS key, max(ret) FILTER (kind = 0) AS e, max(ret) FILTER (kind = 1) AS p, max(ret) FILTER (kind = 2) AS s,
+    min(ret) FILTER (kind = 0) AS e2, min(ret) FILTER (kind = 1) AS p2, min(ret) FILTER (kind = 2) AS s2
   FROM (SELECT *, {v.sql_pick(['void', 'int', 'long'], 'p_size % 3')} AS ret, unnest(CASE p_partkey % 4 WHEN 0 THEN [0, 1] WHEN 1 THEN [1] WHEN 2 THEN [0, 1, 2] ELSE [2] END) AS kind FROM part) GROUP BY ALL) GROUP BY 1)""",
 )
 def signature_agreement(spark, sf):
@@ -266,7 +269,7 @@ def signature_agreement(spark, sf):
         p == 2, F.array(F.lit("exact"), F.lit("public"), F.lit("setup"))
     ).otherwise(F.array(F.lit("setup")))
     ret = v.pick(["void", "int", "long"], F.col("p_size") % 3)
-    raw = F.concat(F.lit("public "), ret, F.lit(" "), F.regexp_replace("p_name", " ", "_"), F.lit("(java.util.List<String> a)"))
+    raw = F.concat(ret, F.lit(" "), F.regexp_replace("p_name", " ", "_"), F.lit("(java.util.List<String> a)"))
     rows = table(spark, sf, "part").select(F.concat("p_brand", F.lit("."), "p_type").alias("group_id"), F.explode(kinds).alias("list_kind"), raw.alias("raw"))
     out = gr.signature_agreement(rows)
     return out.withColumn("errors", F.size("errors").cast("long"))

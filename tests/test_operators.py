@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from mutspan.functions import fixed
-from mutspan.operators import adequacy, bandit, history, killmatrix, ordering, trajectory, upserts
+from mutspan.operators import adequacy, bandit, candidates, evidence, facts, graph, history, killmatrix, ordering, trajectory, upserts
 
 
 def md5(*parts):
@@ -198,3 +198,58 @@ def test_best_attempt_keeps_the_earlier_of_equals(spark):
     rows = [("m", i, "SURVIVED", False, True, True, False, 1, 5) for i in range(3)]
     df = spark.createDataFrame(rows, "mutant_id string, line_no long, target_status string, killed boolean, compile_success boolean, original_pass boolean, timed_out boolean, repair_rounds int, elapsed_ms long")
     assert trajectory.best_attempts(df).collect()[0]["line_no"] == 0
+
+
+def test_control_dependence_of_a_branch(spark):
+    # block 0 branches to 1 and 2; both meet in 3
+    blocks = spark.createDataFrame([("m", 0, True, "x > 0", 10), ("m", 1, False, "", 11), ("m", 2, False, "", 12), ("m", 3, False, "", 13)], "method string, block int, tail_is_if boolean, cond string, line int")
+    successors = spark.createDataFrame([("m", 0, 1), ("m", 0, 2), ("m", 1, 3), ("m", 2, 3)], "method string, block int, succ int")
+    postdom = spark.createDataFrame([("m", 1, 1), ("m", 1, 3), ("m", 2, 2), ("m", 2, 3), ("m", 3, 3)], "method string, node int, dominator int")
+    marks = spark.createDataFrame([("m", 1), ("m", 3)], "method string, node int")
+    got = graph.control_dependence(blocks, successors, postdom, marks).collect()
+    assert [(r["mark"], r["dependence"]) for r in got] == [(1, "If(x > 0) @10")]
+
+
+def test_signature_agreement(spark):
+    rows = [
+        ("ok", "exact", "int Size(java.lang.String, int...)"), ("ok", "public", "int size(String,int[])"), ("ok", "public", "String extra()"),
+        ("bad", "exact", "int size()"), ("bad", "exact", "void gone()"), ("bad", "public", "static long size()"), ("bad", "setup", "void init()"),
+        ("none", "public", "int f()"), ("none", "setup", "int g()"), ("none", "public", "Box(int)"),
+        ("twice", "public", "int f()"), ("twice", "public", "long f()"),
+    ]
+    got = {r["group_id"]: r for r in graph.signature_agreement(spark.createDataFrame(rows, "group_id string, list_kind string, raw string")).collect()}
+    assert got["ok"]["status"] == "VERIFIED_STRICT" and got["none"]["status"] == "NOT_VERIFIED_NO_EXACT_SIGNATURES"
+    assert got["bad"]["errors"] == ["PUBLIC_MISSING:gone()", "PUBLIC_RETURN:size()", "PUBLIC_STATIC:size()", "SETUP_NOT_PUBLIC:init()"]
+    assert got["twice"]["status"] == "FAILED" and got["twice"]["errors"] == ["PUBLIC_CONFLICT:f()"] and got["none"]["public_methods"] == 1
+
+
+def test_callee_resolution_prefers_constructor_then_file(spark):
+    methods = spark.createDataFrame(
+        [(1, True, "Box(int)", 1, 5, "a.Box", "Box"), (2, False, "run()", 1, 5, "a.Box", "Box"), (3, False, "run()", 1, 6, "a.Box", "Box"), (4, True, "Box(int)", 1, 6, "b.Box", "Box")],
+        "method_id int, is_constructor boolean, signature string, variant_id int, file_id int, qualified_name string, type_simple_name string",
+    )
+    parameters = spark.createDataFrame([(1, "int"), (4, "int")], "method_id int, parameter_type string")
+    calls = spark.createDataFrame(
+        [(1, 1, 9, "b.Box", "Box", "Box(*)"), (2, 1, 6, "a.Box", "run", "run()"), (3, 1, 9, "a.Box", "run", "run()"), (4, 1, 9, "", "run", "run()"), (5, 1, 9, "c.Box", "", "Box(*)")],
+        "call_id int, variant_id int, file_id int, callee_owner string, callee_method_name string, callee_signature string",
+    )
+    got = {r["call_id"]: (r["resolved_method_id"], r["resolved_by"]) for r in facts.resolve_callees(calls, methods, parameters).collect()}
+    assert got == {1: (4, "CONSTRUCTOR"), 2: (3, "FILE"), 3: (2, "VARIANT"), 4: (None, "NONE"), 5: (1, "CONSTRUCTOR")}
+
+
+def test_call_distance_stops_after_six_steps(spark):
+    methods = spark.createDataFrame([(i, "T", f"m{i}", f"m{i}()", "void", False) for i in range(1, 10)], "method_id int, type_id string, name string, signature string, return_type string, is_constructor boolean")
+    calls = spark.createDataFrame([(i + 1, i) for i in range(1, 9)] + [(1, 9), (3, 1)], "caller_method_id int, callee_method_id int")
+    anchors = candidates.anchors_of(methods).filter("anchor_id = 1")
+    got = {r["method_id"]: r["distance"] for r in candidates.call_distances(anchors, methods, calls).collect()}
+    assert got == {1: 0, 2: 1, 3: 1, 4: 2, 5: 3, 6: 4, 7: 5, 8: 6}
+
+
+def test_budget_keeps_required_first_and_cuts_the_rest(spark):
+    df = spark.createDataFrame(
+        [("d", [(1, 700, False, 0.5), (2, 600, True, 1.0), (3, 900, False, 0.5), (4, 5, False, 1.0)])],
+        "doc_id string, sections array<struct<section_no:int,length:int,required:boolean,keep_ratio:double>>",
+    )
+    got = {r["section_no"]: r["kept"] for r in evidence.budgeted_sections(df, "sections", 2000).collect()}
+    # 600 required, 700 fits, 700 left for 900: max(512, 350) = 512, then 5 fits
+    assert got == {2: 600, 1: 700, 3: 512, 4: 5}
