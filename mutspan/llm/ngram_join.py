@@ -320,6 +320,7 @@ def class_links(keyed: DataFrame, classes: DataFrame, gram: int, percent: int) -
 
 def components(links: DataFrame) -> DataFrame:
     """(cls, root) of every linked class: smallest reachable class, by label spreading with pointer jumps."""
+    links = staged(links, "links")
     both = staged(links.union(links.select("b", "a")).distinct(), "links")
     labels = staged(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("root")).withColumnRenamed("a", "cls"), "labels")
     while True:
