@@ -176,7 +176,7 @@ class Pieces:
     def hashes(self, data: np.ndarray) -> np.ndarray:
         """64 bits of each piece, eight bytes a step."""
         eight = np.lib.stride_tricks.as_strided(data[:8].view(_U), (len(data) - 7,), (1,))
-        h = (self.ends - self.starts).astype(_U)
+        h = mix((self.ends - self.starts).astype(_U) + _U(1))
         live, at = np.arange(len(h)), self.starts
         while len(live):
             left = self.ends[live] - at

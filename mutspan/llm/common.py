@@ -123,7 +123,7 @@ class Words:
     def hashes(self) -> np.ndarray:
         """64 bits of each word, eight bytes a step; longer words take more steps."""
         lengths = self.ends - self.starts
-        h = lengths.astype(_U) * _STEP
+        h = mix(lengths.astype(_U) * _STEP)
         padded = np.concatenate([self.data, np.zeros(8, np.uint8)])
         eight = np.lib.stride_tricks.as_strided(padded[:8].view(_U), (len(self.data) + 1,), (1,))
         live, at = np.arange(len(h)), self.starts.copy()

@@ -112,7 +112,7 @@ class Features:
 def train(texts: list[str], labels: np.ndarray, seed: int = 7) -> Model:
     """Plain SGD, a document a step, with a rate that falls to zero."""
     share = float(labels.mean()) if len(labels) else 0.5
-    if not 0 < share < 1:
+    if not len(labels) or not 0 < share < 1:
         logit = 0.0 if not len(labels) else (8.0 if share == 1 else -8.0)
         return Model(np.zeros(BUCKETS + 2, np.float32), logit)
     docs = []

@@ -6,7 +6,7 @@ wildcard that keeps their file suffix. Branches then merge, deepest position
 first: a template whose rate of bad labels does not differ from the pool of its
 siblings joins the pool's template. A template is rejected where its share of
 bad labels, smoothed towards the host's and that towards the corpus', reaches
-the threshold.
+the threshold; a template without labels is allowed.
 
 Counts are aggregated before they meet, and small tables join the rows with a
 salt, so that a host with a third of all rows is spread over many tasks.
@@ -120,7 +120,7 @@ def verdicts(rows: DataFrame) -> DataFrame:
     host_rate = smoothed(F.sum("bad").over(host), F.sum("labelled").over(host), F.lit(prior))
     judged = tree.withColumns({"host_rate": host_rate, "n": F.sum("labelled").over(own), "b": F.sum("bad").over(own)})
     judged = judged.withColumn("bad_rate", smoothed(F.col("b"), F.col("n"), F.col("host_rate")))
-    return judged.select("host", "template", "merged", "bad_rate", F.when(F.col("bad_rate") >= THRESHOLD, "block").otherwise("allow").alias("judged"))
+    return judged.select("host", "template", "merged", "bad_rate", F.when((F.col("n") > 0) & (F.col("bad_rate") >= THRESHOLD), "block").otherwise("allow").alias("judged"))
 
 
 def judge(pages: DataFrame, rules: list[Rule]) -> DataFrame:
