@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -77,9 +78,14 @@ class Block:
 
 
 def blocks(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = BLOCK_BYTES) -> Iterator[Block]:
-    """Cut Arrow batches at document bounds into blocks of about `limit` bytes; null text is empty."""
+    """Cut Arrow batches at document bounds into blocks of about `limit` bytes; null text is empty.
+
+    text names a column, or a field of a struct column as `row.text`.
+    """
+    name, _, field = text.partition(".")
     for batch in batches:
-        column = batch.column(batch.schema.get_field_index(text)).cast(pa.large_binary()).fill_null(b"")
+        column = batch.column(batch.schema.get_field_index(name))
+        column = (pc.struct_field(column, field) if field else column).cast(pa.large_binary()).fill_null(b"")
         n = len(column)
         if not n:
             continue

@@ -161,10 +161,10 @@ def sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> tuple
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """(row, score): each row as a struct, and the probability of label 1 for its whole text."""
-    rows = docs.select(F.struct("*").alias("row"), "text")
+    rows = docs.select(F.struct("*").alias("row"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in blocks(batches):
+        for block in blocks(batches, "row.text"):
             total, number = Features(block.data, block.offsets).sums(model.weight)
             logit = np.clip(model.bias + total / np.maximum(number, 1), -30, 30)
             yield pa.RecordBatch.from_arrays([block.rows.column(0), pa.array(1 / (1 + np.exp(-logit)))], names=["row", "score"])

@@ -207,11 +207,11 @@ def repeated_starts(keyed: DataFrame, window: int, gram: int, hot: int) -> DataF
 def cleaned(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot: int = HOT) -> DataFrame:
     """(row, n_words, n_removed, kept): each row as a struct, and its kept words joined by one blank."""
     keyed = with_key(docs)
-    marked = keyed.join(repeated_starts(keyed, window, gram, hot), "key", "left").select("row", "starts", "text")
+    marked = keyed.select("key", "row").join(repeated_starts(keyed, window, gram, hot), "key", "left").select("row", "starts")
     kind = marked.schema["row"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in blocks(batches):
+        for block in blocks(batches, "row.text"):
             packed = Packed(block)
             n = len(packed.starts)
             gone = np.zeros(n + 1, np.int64)
