@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mutspan.llm.common import Block, Words, binary_rows, blocks, mix, run_starts, spread_ranges
+from mutspan.llm.common import Block, Words, binary_rows, blocks, mix, spread_ranges, staged
 
 _U = np.uint64
 WINDOW = 35
@@ -106,12 +106,12 @@ def listed(docs: DataFrame, window: int, gram: int) -> DataFrame:
 
 
 def packed_strings(docs: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
-    """(bucket, n, key, start, packed) of the wanted super-k-mers, read from their documents."""
-    lists = wanted.groupBy("key").agg(F.collect_set(F.struct("bucket", "n", "start", "windows")).alias("list"))
-    met = docs.select("key", "text").join(lists, "key")
+    """(bucket, key, start, packed) of the wanted super-k-mers, read from their documents."""
+    lists = wanted.groupBy("key").agg(F.collect_set(F.struct("bucket", "start", "windows")).alias("list"))
+    met = docs.select("key", "row").join(lists, "key")  # the same exchange of documents serves the last join
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in blocks(batches):
+        for block in blocks(batches, "row.text"):
             packed = Packed(block)
             lists = block.rows.column(2)
             counts = lists.value_lengths().to_numpy()
@@ -125,11 +125,11 @@ def packed_strings(docs: DataFrame, wanted: DataFrame, window: int) -> DataFrame
             for cut in range(0, len(first), 20_000):
                 some = slice(cut, cut + 20_000)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(column("bucket")[some]), pa.array(column("n")[some]), pa.array(keys[doc[some]]), pa.array(start[some].astype(np.int32)), binary_rows(packed.buffer, a[some], (b - a)[some])],
-                    names=["bucket", "n", "key", "start", "packed"],
+                    [pa.array(column("bucket")[some]), pa.array(keys[doc[some]]), pa.array(start[some].astype(np.int32)), binary_rows(packed.buffer, a[some], (b - a)[some])],
+                    names=["bucket", "key", "start", "packed"],
                 )
 
-    return met.mapInArrow(run, "bucket long, n long, key long, start int, packed binary")
+    return met.mapInArrow(run, "bucket long, key long, start int, packed binary")
 
 
 def windows_of(packed: bytes, window: int) -> list[bytes]:
@@ -147,8 +147,8 @@ def repeated_in_bucket(rows: list[tuple[int, int, bytes]], window: int) -> list[
     return out
 
 
-def repeated_windows(strings: DataFrame, window: int, hot: int = HOT) -> DataFrame:
-    """(key, start) of every repeated window."""
+def repeated_windows(keyed: DataFrame, wanted: DataFrame, window: int, hot: int) -> DataFrame:
+    """(key, start) of every repeated window of the wanted super-k-mers (bucket, n, key, start, windows)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bucket, rows = None, []
@@ -177,7 +177,7 @@ def repeated_windows(strings: DataFrame, window: int, hot: int = HOT) -> DataFra
         close()
         yield out()
 
-    some = strings.where(F.col("n") <= hot).select("bucket", "key", "start", "packed")
+    some = packed_strings(keyed, wanted.where(F.col("n") <= hot), window)
     sorted_buckets = some.repartition("bucket").sortWithinPartitions("bucket")
     in_buckets = sorted_buckets.mapInArrow(run, "key long, start int")
 
@@ -190,7 +190,7 @@ def repeated_windows(strings: DataFrame, window: int, hot: int = HOT) -> DataFra
                     names=["key", "start", "text"],
                 )
 
-    large = strings.where(F.col("n") > hot).select("key", "start", "packed").mapInArrow(explode, "key long, start int, text binary")
+    large = packed_strings(keyed, wanted.where(F.col("n") > hot), window).select("key", "start", "packed").mapInArrow(explode, "key long, start int, text binary")
     twice = large.groupBy("text").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).select("text")
     return in_buckets.union(large.join(twice, "text", "left_semi").select("key", "start"))
 
@@ -198,9 +198,10 @@ def repeated_windows(strings: DataFrame, window: int, hot: int = HOT) -> DataFra
 def repeated_starts(keyed: DataFrame, window: int, gram: int, hot: int) -> DataFrame:
     """(key, starts): first words of the repeated windows of each document that has any."""
     parts = listed(keyed, window, gram)
-    often = parts.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
-    strings = packed_strings(keyed, parts.join(often, "bucket"), window)
-    found = repeated_windows(strings, window, hot)
+    # both are written: the join can then split a hot bucket, and what follows does not list again
+    often = staged(parts.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1), "buckets")
+    wanted = staged(parts.join(often, "bucket"), "wanted")
+    found = repeated_windows(keyed, wanted, window, hot)
     return found.groupBy("key").agg(F.collect_set("start").alias("starts"))
 
 
