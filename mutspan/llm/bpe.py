@@ -27,6 +27,8 @@ from mutspan.llm.common import blocks, mix, run_starts, spread_ranges
 
 _U = np.uint64
 LETTER, NUMBER, SPACE, OTHER, END = range(5)
+#: Text of one pair index; bounds what a worker holds.
+BLOCK_BYTES = 3_000_000
 #: Code points with the Unicode property White_Space.
 WHITE_SPACE = [0x9, 0xA, 0xB, 0xC, 0xD, 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 
@@ -196,7 +198,7 @@ class Pieces:
 class Known:
     """Ids of pieces met before in this process, at most `limit` of them."""
 
-    def __init__(self, limit: int = 400_000):
+    def __init__(self, limit: int = 250_000):
         self.limit = limit
         self.clear()
 
@@ -352,7 +354,7 @@ def encode(docs: DataFrame, path: str, id_column: str = "doc_id", text_column: s
 
 def encoded_blocks(batches, path: str, text_column: str = "text"):
     vocab = vocabulary(path)
-    for block in blocks(batches, text_column, 8_000_000):
+    for block in blocks(batches, text_column, BLOCK_BYTES):
         texts = [t.decode("utf-8", "replace") for t in block.texts()]
         ids, ends = encode_texts(texts, vocab)
         yield block.rows, ids, ends
