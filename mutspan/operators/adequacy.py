@@ -45,7 +45,7 @@ def exact_sample(df: DataFrame, keys: list[str], id_column: str, share: float, s
     return ranked.filter(F.col("_before") + F.col("_r") <= F.col("_need")).select(*df.columns)
 
 
-def adequate_sets(kills: DataFrame, keys: list[str], trials: int, seed: str = "cover", max_rounds: int = 200) -> DataFrame:
+def adequate_sets(kills: DataFrame, keys: list[str], trials: int, seed: str = "cover") -> DataFrame:
     """One random adequate test set per trial and group.
 
     The reference order is sequential: take mutants in random order, and for each
@@ -67,9 +67,7 @@ def adequate_sets(kills: DataFrame, keys: list[str], trials: int, seed: str = "c
     choice = pending.groupBy(*node).agg(F.min_by("test", "_t").alias("choice"))
     pending = cut_lineage(pending.drop("_t").join(choice, node))
     picked = None
-    for _ in range(max_rounds):
-        if pending.isEmpty():
-            break
+    while not pending.isEmpty():
         wanted = pending.groupBy(*scope, F.col("choice").alias("test")).agg(F.min("prio").alias("_p"))
         earliest = pending.join(wanted, [*scope, "test"]).groupBy(*node, "prio", "choice").agg(F.min("_p").alias("_p"))
         settled = earliest.filter(F.col("_p") == F.col("prio")).select(*node, "prio", F.col("choice").alias("test"))
@@ -78,8 +76,6 @@ def adequate_sets(kills: DataFrame, keys: list[str], trials: int, seed: str = "c
         rule = settled.groupBy(*scope, "test").agg(F.min("prio").alias("_s"))
         covered = pending.join(rule, [*scope, "test"]).filter(F.col("_s") <= F.col("prio")).select(*node).distinct()
         pending = cut_lineage(pending.join(covered, node, "left_anti"))
-    else:
-        raise RuntimeError("adequate sets need more rounds; raise max_rounds")
     if picked is None:
         return edges.select(F.lit(0).alias("trial"), *keys, "mutant", "test").limit(0)
     return picked.select("trial", *keys, "mutant", "test")

@@ -111,6 +111,14 @@ def policy_rows(log: DataFrame) -> DataFrame:
     )
 
 
+def vectors(column, dim: int) -> np.ndarray:
+    """Rows of a column of vectors; another length than dim is an error, not cut."""
+    found = np.stack(column.to_numpy()).astype(float)
+    if found.shape[1] != dim:
+        raise ValueError(f"vectors have {found.shape[1]} numbers, the model has {dim}")
+    return found
+
+
 def linear_statistics(log: DataFrame, dim: int, ridge: float = 1.0) -> DataFrame:
     """A = ridge I + sum w x x', b = sum w r x per action, as (action, row, col, value) rows.
 
@@ -124,7 +132,7 @@ def linear_statistics(log: DataFrame, dim: int, ridge: float = 1.0) -> DataFrame
         total: dict[str, list] = {}
         for batch in batches:
             for action, part in batch.groupby("action", sort=False):
-                x = np.stack(part["x"].to_numpy())[:, :dim].astype(float)
+                x = vectors(part["x"], dim)
                 w = np.maximum(0.0, part["weight"].to_numpy(dtype=float))
                 r = part["reward"].to_numpy(dtype=float)
                 cell = total.setdefault(action, [0, np.zeros((dim, dim)), np.zeros(dim)])
@@ -221,7 +229,7 @@ def linear_scores(contexts: DataFrame, models: DataFrame, dim: int, alpha: float
         for batch in batches:
             if not len(batch):
                 continue
-            x = np.stack(batch["x"].to_numpy())[:, :dim].astype(float)
+            x = vectors(batch["x"], dim)
             width = np.stack([np.einsum("ni,ij,nj->n", x, inv, x) for inv in inverses], axis=1)
             values = x @ theta.T + alpha * np.sqrt(np.maximum(0.0, width))
             best = values.argmax(axis=1)

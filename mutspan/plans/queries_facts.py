@@ -447,11 +447,11 @@ def feedback_imports(spark, sf):
     """
 SELECT part_id, value, seq FROM (SELECT *, row_number() OVER (PARTITION BY part_id ORDER BY is_new DESC, seq DESC) AS rn FROM (
   SELECT p_partkey AS part_id, 'old' AS value, p_partkey AS seq, 0 AS is_new FROM part
-  UNION ALL SELECT l_partkey, l_returnflag || l_linenumber, l_orderkey * 10 + l_linenumber, 1 FROM (SELECT DISTINCT l_partkey, l_returnflag, l_linenumber, l_orderkey FROM lineitem WHERE l_quantity > 25))) WHERE rn = 1""",
+  UNION ALL SELECT l_partkey, l_returnflag || l_linenumber, l_orderkey * 10 + l_linenumber, 1 FROM (SELECT DISTINCT l_partkey, l_returnflag, l_linenumber, l_orderkey FROM lineitem))) WHERE rn = 1""",
 )
 def latest_upsert(spark, sf):
     old = table(spark, sf, "part").select(F.col("p_partkey").alias("part_id"), F.lit("old").alias("value"), F.col("p_partkey").alias("seq"))
-    li = table(spark, sf, "lineitem").filter("l_quantity > 25")
+    li = table(spark, sf, "lineitem")
     new = li.select(F.col("l_partkey").alias("part_id"), F.concat("l_returnflag", F.col("l_linenumber").cast("string")).alias("value"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seq"))
     return up.upsert_latest(old, new, ["part_id"])
 

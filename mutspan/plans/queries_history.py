@@ -15,7 +15,8 @@ from . import views as v
 from .registry import query
 from .views import table
 
-DIM = 8
+#: Length of the vectors of the embeddings table.
+DIM = 64
 LAST_LINE = 7  # highest line number of an order
 
 
@@ -151,16 +152,16 @@ def _linear_log(spark, sf):
 def linear_rows(e):
     n = F.col("vec_id")
     return e.select(
-        v.pick(fixed.EVIDENCE_ACTIONS, F.col("label") % 6).alias("action"), F.slice("embedding", 1, DIM).cast("array<double>").alias("x"),
+        v.pick(fixed.EVIDENCE_ACTIONS, F.col("label") % 6).alias("action"), F.col("embedding").cast("array<double>").alias("x"),
         (n % 10 - 4).cast("double").alias("reward"), (1.0 / F.sqrt((n % 9 + 1).cast("double"))).alias("weight"), n.alias("context_id"),
         (n % 7 != 0).alias("visible_code"), (n % 11 == 0).alias("skipped"), F.lit(False).alias("scaffold"),
     )
 
 
 LINEAR_SQL = """
-SELECT action, 'A' AS part, CAST(i AS INT) AS row, CAST(j AS INT) AS col, round(sum(w * xi * xj) + CASE WHEN i = j THEN 1.0 ELSE 0.0 END, 6) AS value FROM lin_log, range(8) r1(i), range(8) r2(j),
+SELECT action, 'A' AS part, CAST(i AS INT) AS row, CAST(j AS INT) AS col, round(sum(w * xi * xj) + CASE WHEN i = j THEN 1.0 ELSE 0.0 END, 6) AS value FROM lin_log, range(64) r1(i), range(64) r2(j),
   LATERAL (SELECT x[i + 1] AS xi, x[j + 1] AS xj) GROUP BY action, i, j
-UNION ALL SELECT action, 'b', CAST(i AS INT), 0, round(sum(w * reward * x[i + 1]), 6) FROM lin_log, range(8) r1(i) GROUP BY action, i"""
+UNION ALL SELECT action, 'b', CAST(i AS INT), 0, round(sum(w * reward * x[i + 1]), 6) FROM lin_log, range(64) r1(i) GROUP BY action, i"""
 
 
 @query("A27_linear_statistics", LINEAR_SQL, ("lin_log",))
@@ -362,13 +363,13 @@ def screened_assertions(spark, sf):
 @query(
     "M14_cache_misses",
     """
-SELECT sha256('ns' || chr(10) || text) AS cache_key, min(conv_id * 1000 + turn) AS first_request, count(*) AS requests FROM conversations WHERE role <> 'system'
-AND sha256('ns' || chr(10) || text) NOT IN (SELECT sha256('ns' || chr(10) || text) FROM conversations WHERE turn = 0) GROUP BY 1""",
+SELECT sha256('ns' || chr(10) || text) AS cache_key, min(conv_id * 1000 + turn) AS first_request, count(*) AS requests FROM conversations
+WHERE sha256('ns' || chr(10) || text) NOT IN (SELECT sha256('ns' || chr(10) || text) FROM conversations WHERE turn = 0) GROUP BY 1""",
 )
 def cache_misses(spark, sf):
     c = table(spark, sf, "conversations").withColumnRenamed("text", "prompt").withColumn("request_no", F.col("conv_id") * 1000 + F.col("turn"))
     cache = ev.with_cache_key(c.filter("turn = 0"), "ns").select("cache_key").distinct()
-    return ev.cache_misses(c.filter("role <> 'system'"), cache, "ns", "request_no")
+    return ev.cache_misses(c, cache, "ns", "request_no")
 
 
 @query(
