@@ -346,12 +346,11 @@ def stored_or_derived(stored: DataFrame, derived: DataFrame, key: str) -> DataFr
 
 
 # --- context -------------------------------------------------------------------------------
-def context_sections(sections: dict[str, DataFrame], key: str, list_rows: int = 10_000) -> DataFrame:
-    """Everything known about each mutant as (key, section, part, items) rows.
+def context_sections(sections: dict[str, DataFrame], key: str) -> DataFrame:
+    """Everything known about each mutant, one (key, section, items_total, item) row per item.
 
-    Items are JSON texts, sorted inside a part. A section of more than
-    ``list_rows`` items is cut by hash into several parts, so no single row or
-    task has to hold an oversized list.
+    Items are JSON texts. The long form is the same at every size, so that no
+    row or task has to hold a whole section.
     """
     stacked = None
     for name, df in sections.items():
@@ -359,6 +358,4 @@ def context_sections(sections: dict[str, DataFrame], key: str, list_rows: int =
         rows = df.select(key, F.lit(name).alias("section"), F.to_json(F.struct(*body)).alias("item"))
         stacked = rows if stacked is None else stacked.unionByName(rows)
     sizes = stacked.groupBy(key, "section").agg(F.count(F.lit(1)).alias("items_total"))
-    parts = F.ceil(F.col("items_total") / F.lit(list_rows))
-    numbered = stacked.join(sizes, [key, "section"]).withColumn("part", F.pmod(F.xxhash64("item"), parts).cast("int"))
-    return numbered.groupBy(key, "section", "items_total", "part").agg(F.array_sort(F.collect_list("item")).alias("items"))
+    return stacked.join(sizes, [key, "section"]).select(key, "section", "items_total", "item")

@@ -13,19 +13,33 @@ from ..functions.text import first_match, ratio, safe
 from .ordering import best_per_key, first_by
 
 
-def complete_results(originals: DataFrame, results: DataFrame, failures: DataFrame, timeout_millis: int) -> DataFrame:
-    """Outcome pairs of all runs, failed workers included.
-
-    A test without a mutant result counts as its original result, which can
-    never kill; so such pairs are not made. A failed worker stands for all
-    tests of its class with one text.
+def complete_results(originals: DataFrame, results: DataFrame, runs: DataFrame, timeout_millis: int) -> DataFrame:
+    """Outcome counts of all runs (class_name, mutant, original_result, mutant_result, tests), missing results included.
+
+    ``originals`` (class_name, test, original_result), ``results`` (class_name,
+    mutant, test, mutant_result), ``runs`` (class_name, mutant, succeeded,
+    timed_out, message). A test that a successful run does not report counts as
+    "pass". A run that failed, or reported nothing, stands for all tests of its
+    class with one text. Defaults are counted per original result, so no grid of
+    mutants and tests is built; tests without an original result get none.
     """
-    recorded = results.join(originals, ["class_name", "test"], "left")
-    failed = failures.select(
-        "class_name", "mutant", worker_failure_text(is_true("timed_out"), "message", timeout_millis).alias("mutant_result")
-    ).join(originals, "class_name")
-    columns = ["class_name", "mutant", "test", "original_result", "mutant_result"]
-    return recorded.select(*columns).unionByName(failed.select(*columns))
+    keys = ["class_name", "mutant"]
+    recorded = results.join(originals, ["class_name", "test"], "left").groupBy(*keys, "original_result", "mutant_result")
+    recorded = recorded.agg(F.count(F.lit(1)).alias("tests"))
+    reported = recorded.groupBy(*keys, "original_result").agg(F.sum("tests").alias("_reported"))
+    any_result = reported.select(*keys).distinct().withColumn("_any", F.lit(True))
+    judged = runs.join(any_result, keys, "left").withColumn("_good", is_true("succeeded") & is_true("_any"))
+    good, failed = judged.filter("_good"), judged.filter(~F.col("_good"))
+    known = originals.filter(F.col("original_result").isNotNull()).groupBy("class_name", "original_result")
+    known = known.agg(F.count(F.lit(1)).alias("_all"))
+    columns = [*keys, "original_result", "mutant_result", "tests"]
+    missing = good.select(*keys).join(known, "class_name").join(reported, [*keys, "original_result"], "left").select(
+        *keys, "original_result", F.lit("pass").alias("mutant_result"), (F.col("_all") - F.coalesce("_reported", F.lit(0))).alias("tests")
+    )
+    text = worker_failure_text(is_true("timed_out"), "message", timeout_millis).alias("mutant_result")
+    stood_for = failed.select(*keys, text).join(known.withColumnRenamed("_all", "tests"), "class_name")
+    seen = recorded.join(good.select(*keys), keys, "left_semi")
+    return seen.select(*columns).unionByName(missing.filter("tests > 0")).unionByName(stood_for.select(*columns))
 
 
 def with_kills(outcomes: DataFrame) -> DataFrame:
@@ -41,18 +55,16 @@ def mutant_verdicts(kills: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def mutants_per_test(kills: DataFrame, keys: list[str], list_rows: int = 10_000) -> DataFrame:
-    """Mutants killed by each test, in lists of about ``list_rows`` entries.
+def mutants_per_test(kills: DataFrame, keys: list[str]) -> DataFrame:
+    """One row (keys, killed_mutants, mutant) per test and mutant that it kills.
 
-    One test may kill a large share of all mutants, so its list is cut by a hash
-    into parts; the parts together hold every mutant.
+    One test may kill a large share of all mutants, so the list stays in its
+    long form at every size.
     """
     # filtered after the aggregate: pushed below it, the flag's expression would be repeated in the filter
     pairs = kills.groupBy(*keys, "mutant").agg(F.bool_or("kills").alias("_k")).filter("_k").drop("_k")
     sizes = pairs.groupBy(*keys).agg(F.count(F.lit(1)).alias("killed_mutants"))
-    parts = F.ceil(F.col("killed_mutants") / F.lit(list_rows))
-    numbered = pairs.join(sizes, keys).withColumn("part", F.pmod(F.xxhash64("mutant"), parts).cast("int"))
-    return numbered.groupBy(*keys, "killed_mutants", "part").agg(F.array_sort(F.collect_list("mutant")).alias("mutants"))
+    return pairs.join(sizes, keys).select(*keys, "killed_mutants", "mutant")
 
 
 def kills_per_test(kills: DataFrame) -> DataFrame:

@@ -52,11 +52,11 @@ def _mutants(spark, sf):
 
 @query(
     "J1_mutants_with_project",
-    "SELECT 'p' || (o_orderkey % 7) AS project, count(*) AS n FROM orders WHERE o_orderkey % 7 <> 6 GROUP BY 1",
+    "SELECT 'p' || (o_orderkey % 7) AS project, count(*) AS n FROM orders GROUP BY 1",
 )
 def mutants_with_project(spark, sf):
     m = _mutants(spark, sf).drop("project")
-    projects = table(spark, sf, "nation").filter("n_nationkey < 6").select(
+    projects = table(spark, sf, "nation").select(
         F.concat(F.lit("P"), F.col("n_nationkey").cast("string")).alias("project_id"), F.concat(F.lit("p"), F.col("n_nationkey").cast("string")).alias("name")
     )
     return _n(fc.mutants_with_project(m, projects), "project")
@@ -92,7 +92,7 @@ FROM orders JOIN v_methods m ON m.method_id = o_custkey LEFT JOIN v_types t ON t
 def file_and_method_links(spark, sf):
     m = _mutants(spark, sf)
     o = F.col("mutant_row_id")
-    files = table(spark, sf, "nation").filter("n_nationkey < 20").select(
+    files = table(spark, sf, "nation").select(
         F.col("n_nationkey").cast("long").alias("file_id"),
         F.concat(F.when(F.col("n_nationkey") < 10, F.lit("src/")).otherwise(F.lit("mut/")), (F.col("n_nationkey") % 10).cast("string"), F.lit(".java")).alias("path"),
         F.lit("org.demo").alias("package_name"),
@@ -657,10 +657,10 @@ def stored_or_derived(spark, sf):
 @query(
     "M12_context_sections",
     """
-SELECT mutant_row_id, section, count(*) AS items_total, 0 AS part FROM (
-  SELECT o_orderkey AS mutant_row_id, 'calls' AS section FROM orders JOIN v_calls ON caller_method_id = o_custkey
-  UNION ALL SELECT o_orderkey, 'fields' FROM orders JOIN (SELECT DISTINCT method_id, field_id FROM v_accesses JOIN v_fields USING (field_id)) ON method_id = o_custkey
-  UNION ALL SELECT o_orderkey, 'method' FROM orders JOIN v_methods ON method_id = o_custkey) GROUP BY ALL""",
+SELECT mutant_row_id, section, count(*) AS items_total, count(*) AS items, min(key) AS first_key, max(key) AS last_key FROM (
+  SELECT o_orderkey AS mutant_row_id, 'calls' AS section, CAST(call_id AS VARCHAR) AS key FROM orders JOIN v_calls ON caller_method_id = o_custkey
+  UNION ALL SELECT o_orderkey, 'fields', CAST(field_id AS VARCHAR) FROM orders JOIN (SELECT DISTINCT method_id, field_id FROM v_accesses JOIN v_fields USING (field_id)) ON method_id = o_custkey
+  UNION ALL SELECT o_orderkey, 'method', name FROM orders JOIN v_methods ON method_id = o_custkey) GROUP BY ALL""",
     ("v_methods", "v_fields", "v_accesses", "v_calls"),
 )
 def context_sections(spark, sf):
@@ -673,4 +673,6 @@ def context_sections(spark, sf):
         return mutants.join(df, "method_id").drop("method_id")
 
     sections = {"method": of_mutant(m), "calls": of_mutant(calls), "fields": of_mutant(fields)}
-    return cd.context_sections(sections, "mutant_row_id").select("mutant_row_id", "section", "items_total", "part")
+    key = F.coalesce(*[F.get_json_object("item", f"$.{c}") for c in ("call_id", "field_id", "name")])
+    rows = cd.context_sections(sections, "mutant_row_id").groupBy("mutant_row_id", "section", "items_total")
+    return rows.agg(F.count(F.lit(1)).alias("items"), F.min(key).alias("first_key"), F.max(key).alias("last_key"))

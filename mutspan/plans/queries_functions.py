@@ -90,37 +90,35 @@ def operator_encodings(spark, sf):
 _SIGNATURES = [
     "void_run(int)",
     "boolean_accept()",
-    "org.demo.Box#static java.util.List<String> list(java.util.Map<String, List<int[]>> m, final String... names)",
+    "org.demo.Box#static java.util.List<String> list(java.util.Map<String, List<int[]>>, final String...)",
     "public int org.demo.Outer$Inner.size(@NonNull java.lang.String[])",
     "demo.Box.area",
     "no signature",
     "Box(*,*)",
+    "void put(@Size(min=1, max=2) java.lang.String, A<B<C<D<E<F<G<H<I, J>>>>>>>>, int[])",
 ]
-_CANONICAL = ["void_run(int)", "boolean_accept()", "list(Map m,String[]names)", "size(String[])", "", "", "Box(*,*)"]
-_SIMPLE = ["run", "accept", "list", "size", "area", "no signature", "Box"]
-_ARITY = [-1, -1, -1, -1, -1, -1, 2]
+_CANONICAL = ["void_run(int)", "boolean_accept()", "list(Map,String[])", "size(String[])", "", "", "Box(*,*)", "put(String,A,int[])"]
+_SIMPLE = ["run", "accept", "List<String> list", "size", "area", "no signature", "Box", "void put"]
+_PARAMETERS = ["1", "0", "2", "1", "0", "0", "2", "3"]
 
 
 @query(
     "F10_F14_signatures",
     f"""
-SELECT sig, n, {sql_pick(['void_run(int)', 'boolean_accept()', 'list(Map,String[])', 'size(String[])', '', '', 'Box(*,*)'], 'i')} AS canonical,
-  {sql_pick(['run', 'accept', '', 'size', 'area', 'no signature', 'Box'], 'i')} AS simple_name,
-  CAST({sql_pick(['1', '0', '2', '1', '0', '0', '2'], 'i')} AS INT) AS parameters,
+SELECT sig, n, {sql_pick(_CANONICAL, 'i')} AS canonical, {sql_pick(_SIMPLE, 'i')} AS simple_name,
+  CAST({sql_pick(_PARAMETERS, 'i')} AS INT) AS parameters,
   CASE WHEN i = 6 THEN 2 ELSE -1 END AS wildcard_arity, 'Inner' AS simple_class
-FROM (SELECT i, n, {sql_pick(_SIGNATURES[:2] + [_SIGNATURES[2].replace(' m, final String... names', ', final String...')] + _SIGNATURES[3:], 'i')} AS sig
+FROM (SELECT i, n, {sql_pick(_SIGNATURES, 'i')} AS sig
   FROM (SELECT p_partkey % {len(_SIGNATURES)} AS i, count(*) AS n FROM part GROUP BY 1))""",
 )
 def signature_forms(spark, sf):
-    texts = list(_SIGNATURES)
-    texts[2] = texts[2].replace(" m, final String... names", ", final String...")
-    parts = table(spark, sf, "part").select((F.col("p_partkey") % len(texts)).alias("i"))
-    rows = _count(parts, "i").select(v.pick(texts, F.col("i")).alias("sig"), "n", "i")
+    parts = table(spark, sf, "part").select((F.col("p_partkey") % len(_SIGNATURES)).alias("i"))
+    rows = _count(parts, "i").select(v.pick(_SIGNATURES, F.col("i")).alias("sig"), "n", "i")
     return rows.select(
         "sig",
         "n",
         signatures.canonical_signature("sig").alias("canonical"),
-        F.when(F.col("i") == 2, F.lit("")).otherwise(signatures.method_simple_name("sig")).alias("simple_name"),
+        signatures.method_simple_name("sig").alias("simple_name"),
         F.size(signatures.parameter_types("sig")).alias("parameters"),
         signatures.wildcard_constructor_arity(F.lit("demo.Box<T>"), F.lit("super"), "sig").alias("wildcard_arity"),
         signatures.simple_class_name(F.lit("org.demo.Outer$Inner")).alias("simple_class"),

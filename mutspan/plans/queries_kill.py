@@ -30,39 +30,39 @@ def mutant_verdicts(spark, sf):
 @query(
     "A19_mutants_per_test",
     """
-SELECT class_name, test, count(DISTINCT mutant) AS killed_mutants, 0 AS part, array_to_string(list_sort(list(DISTINCT mutant)), ',') AS mutants
-FROM v_kills WHERE kills GROUP BY ALL""",
+SELECT class_name, test, count(*) OVER (PARTITION BY class_name, test) AS killed_mutants, mutant
+FROM (SELECT DISTINCT class_name, test, mutant FROM v_kills WHERE kills)""",
     ("v_outcomes", "v_kills"),
 )
 def mutants_per_test(spark, sf):
-    out = km.mutants_per_test(_kills(spark, sf), ["class_name", "test"])
-    return out.withColumn("mutants", F.array_join(F.col("mutants").cast("array<string>"), ","))
+    return km.mutants_per_test(_kills(spark, sf), ["class_name", "test"])
 
 
 @query(
     "A20_failed_workers",
     """
+WITH r AS (SELECT class_name, mutant, test, list_position(TEXTS, min(mutant_result)) AS m FROM v_outcomes GROUP BY ALL),
+grid AS (SELECT base.class_name, test, o, o_orderkey AS mutant, o_orderstatus = 'P' AS late, o_orderkey NOT IN (SELECT mutant FROM r) AS silent
+  FROM orders JOIN base ON base.class_name = 'C' || (o_orderkey % 50))
 SELECT class_name, kills, count(*) AS outcomes FROM (
   SELECT class_name, CASE WHEN o = m THEN false WHEN o = 3 OR m = 3 THEN o <> 3 AND m = 3 WHEN o = 5 OR m = 5 THEN o <> 5 AND m = 5
     WHEN o IN (4, 6) OR m IN (4, 6) THEN false ELSE true END AS kills
-  FROM (SELECT class_name, mutant, test, list_position(TEXTS, min(mutant_result)) AS m FROM v_outcomes GROUP BY ALL) JOIN base USING (class_name, test)
-  UNION ALL
-  SELECT 'C' || (o_orderkey % 50) AS class_name, o <> 3 AS kills FROM orders JOIN base ON class_name = 'C' || (o_orderkey % 50)
-  WHERE o_orderstatus = 'P' AND o_totalprice > 490000
+  FROM (SELECT class_name, o, CASE WHEN late THEN 3 WHEN silent THEN 8 ELSE coalesce(r.m, 1) END AS m FROM grid LEFT JOIN r USING (class_name, mutant, test))
 ) GROUP BY ALL""".replace("TEXTS", v.sql_list(v.OUTCOME_TEXTS)),
     ("v_outcomes", "base"),
 )
 def failed_workers(spark, sf):
+    """Runs of pending orders ended late; tests that the other runs do not report pass."""
     o = v.v_outcomes(spark, sf)
     originals = o.groupBy("class_name", "test").agg(F.min("original_result").alias("original_result"))
     results = o.groupBy("class_name", "mutant", "test").agg(F.min("mutant_result").alias("mutant_result"))
-    broken = table(spark, sf, "orders").filter("o_orderstatus = 'P' AND o_totalprice > 490000")
-    failures = broken.select(
+    late = F.col("o_orderstatus") == "P"
+    runs = table(spark, sf, "orders").select(
         F.concat(F.lit("C"), (F.col("o_orderkey") % 50).cast("string")).alias("class_name"), F.col("o_orderkey").alias("mutant"),
-        F.lit(True).alias("timed_out"), F.lit("").alias("message"),
+        (~late).alias("succeeded"), late.alias("timed_out"), F.lit("").alias("message"),
     )
-    full = km.complete_results(originals, results, failures, 3000)
-    return km.with_kills(full).groupBy("class_name", "kills").agg(F.count(F.lit(1)).alias("outcomes"))
+    full = km.complete_results(originals, results, runs, 3000)
+    return km.with_kills(full).groupBy("class_name", "kills").agg(F.sum("tests").alias("outcomes"))
 
 
 @query(
@@ -89,13 +89,17 @@ def live_minus_killed(spark, sf):
 _OLD = "CASE o_orderstatus WHEN 'F' THEN 'KILLED' WHEN 'P' THEN 'EQUIVALENT' ELSE 'LIVE' END"
 
 
-def _histories(spark, sf):
-    """Stored states of most orders, and the states of a new run from their lines."""
+def _states(orders):
     s = F.col("o_orderstatus")
-    old = table(spark, sf, "orders").filter(F.col("o_orderpriority") != "5-LOW").select(
+    return orders.select(
         F.col("o_orderkey").alias("mutant"),
         F.when(s == "F", F.lit("KILLED")).when(s == "P", F.lit("EQUIVALENT")).otherwise(F.lit("LIVE")).alias("state"),
     )
+
+
+def _histories(spark, sf):
+    """Stored states of most orders, and the states of a new run from their lines."""
+    old = _states(table(spark, sf, "orders").filter(F.col("o_orderpriority") != "5-LOW"))
     run = v.v_matrix(spark, sf).groupBy("mutant").agg(F.bool_or("kills").alias("k")).select(
         "mutant", F.when(F.col("k"), F.lit("KILLED")).otherwise(F.lit("LIVE")).alias("state")
     )
@@ -131,10 +135,10 @@ def history_scores(spark, sf):
     "M5_marked_equivalents",
     f"""
 SELECT mutant, CASE WHEN state = 'LIVE' AND mutant IN (SELECT o_orderkey FROM orders WHERE o_totalprice > 300000) THEN 'EQUIVALENT' ELSE state END AS state
-FROM (SELECT o_orderkey AS mutant, {_OLD} AS state FROM orders WHERE o_orderpriority <> '5-LOW')""",
+FROM (SELECT o_orderkey AS mutant, {_OLD} AS state FROM orders)""",
 )
 def marked_equivalents(spark, sf):
-    old, _ = _histories(spark, sf)
+    old = _states(table(spark, sf, "orders"))
     marks = table(spark, sf, "orders").filter("o_totalprice > 300000").select(F.col("o_orderkey").alias("mutant"))
     return km.mark_equivalent(old, marks, ["mutant"])
 
@@ -192,11 +196,11 @@ SELECT mutant, count(*) AS candidates, count_if(source = 0) AS own, arg_min(test
   UNION ALL SELECT mutant, test_set_name, test_no, 1 FROM (SELECT m.mutant, t.test_set_name, t.test_no, row_number() OVER (PARTITION BY m.class_name, m.method, m.mutant ORDER BY t.test_no) AS rn
     FROM m JOIN t ON t.class_name = m.class_name AND t.method = m.method LEFT JOIN t own ON own.mutant = m.mutant AND own.first_row
     WHERE own.mutant IS NULL OR NOT (t.test_set_name = own.test_set_name AND t.mutant = m.mutant)) WHERE rn <= 50) GROUP BY 1""",
-    ("v_customers", "v_entries", "m", "t"),
+    ("v_entries", "m", "t"),
 )
 def mapped_candidates(spark, sf):
     tests = v.v_entries(spark, sf).select("class_name", "method", "mutant", "test_set_name", F.col("row_no").alias("test_no"))
-    mutants = v.v_customers(spark, sf).select("class_name", "method", "mutant")
+    mutants = v.all_customers(spark, sf).select("class_name", "method", "mutant")
     c = km.mapped_candidates(mutants, tests)
     return c.groupBy("mutant").agg(
         F.count(F.lit(1)).alias("candidates"),

@@ -73,16 +73,6 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf.rstrip('/')}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Rows of a table in fewer files than cores, dealt out to all cores.
-
-    For heavy work per row only. A large table has more files than cores and
-    stays as it is: no shuffle is added there.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df.inputFiles()) < cores else df
-
-
 def _text(*parts: Column | str) -> Column:
     return F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
 
@@ -189,7 +179,7 @@ def v_feedback(events: DataFrame, targets) -> DataFrame:
 
 # --- outcomes, matrix ---------------------------------------------------------------
 def v_outcomes(spark: SparkSession, sf: str) -> DataFrame:
-    li = spread(table(spark, sf, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_returnflag", "l_linestatus"))
+    li = table(spark, sf, "lineitem")
     original = F.when(F.col("l_linestatus") == "O", F.lit("pass")).otherwise(
         pick(OUTCOME_TEXTS, F.col("l_partkey") % len(OUTCOME_TEXTS))
     )
@@ -272,8 +262,17 @@ def v_suites(spark: SparkSession, sf: str) -> DataFrame:
 
 def v_customers(spark: SparkSession, sf: str) -> DataFrame:
     """Whitelist of index keys: customers outside one market segment."""
+    return _index_keys(table(spark, sf, "customer").filter(F.col("c_mktsegment") != "MACHINERY"))
+
+
+def all_customers(spark: SparkSession, sf: str) -> DataFrame:
+    """Index keys of every customer."""
+    return _index_keys(table(spark, sf, "customer"))
+
+
+def _index_keys(customers: DataFrame) -> DataFrame:
     c = F.col("c_custkey")
-    return table(spark, sf, "customer").filter(F.col("c_mktsegment") != "MACHINERY").select(
+    return customers.select(
         c.alias("index_row"),
         _text("proj", c % 5).alias("project"),
         _text("C", c % 20).alias("class_name"),
@@ -502,7 +501,7 @@ SQL_VIEWS["succs"] = "SELECT l_orderkey, l_linenumber AS block, unnest([l_linenu
 SQL_VIEWS["docs"] = "SELECT doc_id, list_transform(string_split(text, chr(10)), lambda x: length(x)) AS lens FROM documents"
 SQL_VIEWS["base"] = f"""
 SELECT class_name, test, list_position({sql_list(OUTCOME_TEXTS)}, min(original_result)) AS o FROM v_outcomes GROUP BY ALL"""
-SQL_VIEWS["m"] = "SELECT class_name, method, mutant FROM v_customers"
+SQL_VIEWS["m"] = "SELECT 'C' || (c_custkey % 20) AS class_name, 'm' || (c_custkey % 200) AS method, 'M' || c_custkey AS mutant FROM customer"
 SQL_VIEWS["t"] = """
 SELECT class_name, method, mutant, test_set_name, test_no, row_number() OVER (PARTITION BY class_name, mutant ORDER BY test_no) = 1 AS first_row
 FROM (SELECT class_name, method, mutant, test_set_name, min(row_no) AS test_no FROM v_entries GROUP BY ALL)"""

@@ -190,8 +190,24 @@ def test_scores_stay_in_range_and_lists_cover_all(spark):
     verdicts = killmatrix.mutant_verdicts(kills, ["class_name", "mutant"])
     score = killmatrix.suite_scores(verdicts, "class_name").collect()[0]
     assert score["killed"] + score["live"] == 40 and 0 <= score["score"] <= 100
-    parts = killmatrix.mutants_per_test(kills, ["class_name", "test"], 4).filter("test = 0").collect()
-    assert len(parts) > 1 and sorted(m for p in parts for m in p["mutants"]) == list(range(0, 40, 4))
+    rows = killmatrix.mutants_per_test(kills, ["class_name", "test"]).filter("test = 0").collect()
+    assert sorted(r["mutant"] for r in rows) == list(range(0, 40, 4)) and {r["killed_mutants"] for r in rows} == {10}
+
+
+def test_missing_results_have_defaults(spark):
+    originals = spark.createDataFrame([("C", "a", "pass"), ("C", "b", "java.lang.AssertionError: x"), ("C", "c", "pass")], "class_name string, test string, original_result string")
+    results = spark.createDataFrame([("C", 1, "a", "pass"), ("C", 2, "a", "pass")], "class_name string, mutant int, test string, mutant_result string")
+    runs = spark.createDataFrame([("C", 1, True, False, ""), ("C", 2, False, False, "lost"), ("C", 3, True, False, None)], "class_name string, mutant int, succeeded boolean, timed_out boolean, message string")
+    out = killmatrix.with_kills(killmatrix.complete_results(originals, results, runs, 3000))
+    got = {}
+    for r in out.collect():
+        key = (r["mutant"], r["original_result"] == "pass", r["mutant_result"], r["kills"])
+        got[key] = got.get(key, 0) + r["tests"]
+    assert got == {
+        (1, True, "pass", False): 2, (1, False, "pass", True): 1,  # b is not reported, so it passes and kills
+        (2, True, "worker_error: lost", False): 2, (2, False, "worker_error: lost", False): 1,
+        (3, True, "worker_error", True): 2, (3, False, "worker_error", True): 1,
+    }
 
 
 def test_best_attempt_keeps_the_earlier_of_equals(spark):
