@@ -6,9 +6,11 @@
 2. Under one order of all tokens (rare first) two similar documents share a
    token of their prefixes, n - ceil(n * 85 / 100) + 1 tokens long. Documents
    whose prefixes hold no shared token have no partner.
-3. Documents with equal shingle sets are one class. Classes are partitioned
-   into groups of similar ones, by smallest shingle hash, in chunks of bounded
-   size; the token-group matrix holds each group's union of prefix tokens.
+3. Documents with equal shingle sets are one class. A class joins the group of
+   the prefix token that most classes hold: of many near copies nearly all hold
+   the first such token, nearly all others the second, and so on, so they form
+   a few groups. Groups are cut into chunks of bounded size; the token-group
+   matrix holds each group's union of prefix tokens.
 4. A class meets a group only through a token of the matrix. There its overlap
    with the group's whole union is bounded first, and only a group that can
    still reach the needed overlap is opened and compared member by member.
@@ -115,11 +117,8 @@ def deal_tokens(batches: Iterator[pa.RecordBatch], buckets: int, gram: int) -> I
             runs = run_starts(which)
             ends = np.append(runs[1:], len(which))
             low, doc = cell.astype(np.uint32), doc.astype(np.uint16)
-            small = n > 0
-            first = np.zeros(len(n), np.int64)
-            first[small] = sets[bounds[:-1][small]].view(np.int64)
             info = {
-                "ids": rows.column(0).to_pylist(), "keys": rows.column(2).to_pylist(), "n": n, "d1": d1, "d2": d2, "least": first, "own": own, "hot": hot_docs,
+                "ids": rows.column(0).to_pylist(), "keys": rows.column(2).to_pylist(), "n": n, "d1": d1, "d2": d2, "own": own, "hot": hot_docs,
             }
             cuts = list(zip(runs.tolist(), ends.tolist()))
             counts = [count[a:b][doc[a:b] == _HOT].tobytes() for a, b in cuts]
@@ -201,17 +200,17 @@ def choose_prefixes(rows: pa.Table, percent: int) -> pa.Table:
     return pa.table(
         {
             "doc_id": pa.array(info["ids"], pa.int64()), "key": pa.array(info["keys"], pa.int64()), "n": pa.array(n), "d1": pa.array(info["d1"]),
-            "d2": pa.array(info["d2"]), "least": pa.array(info["least"]), "tokens": pa.array(tokens, pa.list_(pa.int64())),
+            "d2": pa.array(info["d2"]), "tokens": pa.array(tokens, pa.list_(pa.int64())),
         }
     )
 
 
 def profiles(keyed: DataFrame, gram: int, percent: int) -> DataFrame:
-    """(doc_id, key, n, d1, d2, least, tokens) of every document (doc_id, text, key)."""
+    """(doc_id, key, n, d1, d2, tokens) of every document (doc_id, text, key)."""
     buckets = max(64, 4 * partitions(keyed.sparkSession))
     dealt = keyed.mapInArrow(lambda batches: deal_tokens(batches, buckets, gram), _KEY)
     counted = dealt.groupBy("bucket").applyInArrow(count_tokens, _KEY)
-    schema = "doc_id long, key long, n long, d1 long, d2 long, least long, tokens array<long>"
+    schema = "doc_id long, key long, n long, d1 long, d2 long, tokens array<long>"
     return counted.groupBy("block").applyInArrow(lambda rows: choose_prefixes(rows, percent), schema)
 
 
@@ -289,28 +288,37 @@ def open_group(members: pa.Table, queries: pa.Table, percent: int) -> pa.Table:
     return pa.table({"a": pa.array(a, pa.string()), "b": pa.array(b, pa.string())})
 
 
+def with_groups(classes: DataFrame) -> DataFrame:
+    """(cls, lead, tokens): the prefix token that most classes hold, and the tokens that others hold as well."""
+    entry = classes.select("cls", F.explode("tokens").alias("token"))
+    held = entry.groupBy("token").agg(F.count(F.lit(1)).alias("classes")).where(F.col("classes") > 1)
+    popular = F.max_by("token", F.struct("classes", "token")).alias("lead")
+    return entry.join(held, "token").groupBy("cls").agg(popular, F.collect_list("token").alias("tokens"))
+
+
 def class_links(keyed: DataFrame, classes: DataFrame, gram: int, percent: int) -> DataFrame:
-    """(a, b) links that connect the similar classes among `classes` (cls, key, least, tokens)."""
-    per_least = classes.groupBy("least").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("chunks"))
-    members = classes.join(per_least, "least").withColumn("chunk", F.expr("pmod(xxhash64(cls), chunks)").cast("int"))
-    members = staged(members.select("cls", "least", "chunk", "chunks", "tokens"), "members")
-    entry = members.select("cls", "least", F.explode("tokens").alias("token"))
-    matrix = entry.groupBy("token", "least").agg(F.count(F.lit(1)).alias("n"))
+    """(a, b) links that connect the similar classes among `classes` (cls, key, tokens)."""
+    grouped = staged(with_groups(classes), "grouped")
+    per_lead = grouped.groupBy("lead").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("chunks"))
+    members = grouped.join(per_lead, "lead").withColumn("chunk", F.expr("pmod(xxhash64(cls), chunks)").cast("int"))
+    members = staged(members.select("cls", "lead", "chunk", "chunks", "tokens"), "members")
+    entry = members.select("cls", "lead", F.explode("tokens").alias("token"))
+    matrix = entry.groupBy("token", "lead").agg(F.count(F.lit(1)).alias("n"))
     shared = matrix.groupBy("token").agg(F.count(F.lit(1)).alias("groups")).where(F.col("groups") > 1).select("token")
-    several = matrix.join(shared, "token").select("token", F.col("least").alias("other"))
-    met = entry.join(several, "token").where(F.col("other") > F.col("least")).select("cls", "other").distinct()
-    across = met.join(per_least.withColumnRenamed("least", "other"), "other")
-    across = across.select("cls", F.col("other").alias("least"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"))
+    several = matrix.join(shared, "token").select("token", F.col("lead").alias("other"))
+    met = entry.join(several, "token").where(F.col("other") > F.col("lead")).select("cls", "other").distinct()
+    across = met.join(per_lead.withColumnRenamed("lead", "other"), "other")
+    across = across.select("cls", F.col("other").alias("lead"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"))
     # other chunks of the own group
     beside = members.where(F.col("chunk") + 1 < F.col("chunks"))
-    beside = beside.select("cls", "least", F.explode(F.sequence(F.col("chunk") + 1, F.col("chunks") - 1)).alias("chunk"))
+    beside = beside.select("cls", "lead", F.explode(F.sequence(F.col("chunk") + 1, F.col("chunks") - 1)).alias("chunk"))
     asked = staged(across.union(beside), "asked")
-    splits = asked.groupBy("least", "chunk").agg(F.ceil(F.count(F.lit(1)) / QUERIES).cast("int").alias("splits"))
-    sets = staged(class_sets(keyed, classes, gram), "sets")
+    splits = asked.groupBy("lead", "chunk").agg(F.ceil(F.count(F.lit(1)) / QUERIES).cast("int").alias("splits"))
+    sets = staged(class_sets(keyed, classes.join(grouped.select("cls"), "cls", "left_semi"), gram), "sets")
     part = F.explode(F.sequence(F.lit(0), F.coalesce("splits", F.lit(1)) - 1)).alias("part")
-    held = members.drop("tokens").join(splits, ["least", "chunk"], "left").select("cls", "least", "chunk", part)
-    asked = asked.join(splits, ["least", "chunk"]).withColumn("part", F.expr("pmod(xxhash64(cls), splits)").cast("int"))
-    cell = ["least", "chunk", "part"]
+    held = members.drop("tokens").join(splits, ["lead", "chunk"], "left").select("cls", "lead", "chunk", part)
+    asked = asked.join(splits, ["lead", "chunk"]).withColumn("part", F.expr("pmod(xxhash64(cls), splits)").cast("int"))
+    cell = ["lead", "chunk", "part"]
     with_sets = lambda side: side.join(sets, "cls").select(*[F.col(c).alias(c) for c in (*cell, "cls", "shingles")])
     held, asked = with_sets(held), with_sets(asked)
     return (
@@ -342,7 +350,7 @@ def similar_documents(docs: DataFrame, gram: int = GRAM, percent: int = PERCENT)
     cls = F.concat(F.hex("d1"), F.lit("-"), F.hex("d2"))
     rows = rows.withColumn("cls", cls)
     classes = rows.where(F.col("n") > 0).groupBy("cls").agg(
-        F.min("doc_id").alias("first_id"), F.min("key").alias("key"), F.min("least").alias("least"), F.first("tokens", ignorenulls=True).alias("tokens")
+        F.min("doc_id").alias("first_id"), F.min("key").alias("key"), F.first("tokens", ignorenulls=True).alias("tokens")
     )
     classes = staged(classes, "classes")
     links = class_links(keyed, classes.where(F.size("tokens") > 0), gram, percent)
