@@ -279,6 +279,45 @@ PROFILE_LIMITS = {
     "COMPACT": (10000, 1, 2, 2, 0),
 }
 
+# --- fixed values: evidence sections per action -----------------------------
+# sections that an action leaves out, whatever else it keeps
+PROFILE_SECTIONS_LEFT_OUT = {
+    "MUTATION_HEAVY": ["entryGraphEvidence", "entryEvidence", "liftedReachabilityPlan", "publicApiEvidence"],
+    "ENTRY_HEAVY": ["mutationGraphEvidence", "mutationEvidence"],
+    "COMPILE_HEAVY": [
+        "mutationGraphEvidence", "entryGraphEvidence", "entryEvidence", "mutationEvidence", "liftedReachabilityPlan",
+        "observableSelectionPlan", "inputDistinguishPlan", "propagationPlan",
+    ],
+    "ASSERTION_HEAVY": ["mutationGraphEvidence", "entryGraphEvidence", "entryEvidence", "publicApiEvidence"],
+    "COMPACT": [
+        "mutationGraphEvidence", "entryGraphEvidence", "entryEvidence", "publicApiEvidence", "mutationEvidence", "liftedReachabilityPlan",
+    ],
+}
+# sections that an action keeps; an action that is not named here keeps all others
+PROFILE_SECTIONS_KEPT = {
+    "COMPILE_HEAVY": [
+        "mutation", "entry", "executableTestPlan", "invocation", "assertions", "primaryChain", "alternativeChains", "compilationFacts",
+        "entrySelection", "selectedEntry", "canonicalCore", "publicApiEvidence", "observablePlan", "mutationKillPlan",
+        "observableDifferencePlan", "ripExecutionPlan", "entryChainPlan", "reachabilityGuardsPlan", "distinguishingInputGuidance",
+        "indirectEntryTestPlan", "symbolicRipPlan", "symbolicFeasibility", "assertionPlan", "entryParameterControlPlan",
+        "killabilityPlan", "evidenceQuality", "codeKbContext", "apiRoleFacts",
+    ],
+    "ASSERTION_HEAVY": [
+        "mutation", "entry", "executableTestPlan", "invocation", "assertions", "primaryChain", "alternativeChains", "compilationFacts",
+        "entrySelection", "selectedEntry", "canonicalCore", "observablePlan", "mutationKillPlan", "inputDistinguishPlan",
+        "propagationPlan", "assertionPlan", "ripExecutionPlan", "observableDifferencePlan", "entryChainPlan", "reachabilityGuardsPlan",
+        "distinguishingInputGuidance", "indirectEntryTestPlan", "symbolicRipPlan", "symbolicFeasibility", "observableSelectionPlan",
+        "killabilityPlan", "evidenceQuality", "codeKbContext", "apiRoleFacts", "mutationEvidence",
+    ],
+    "COMPACT": [
+        "mutation", "entry", "executableTestPlan", "invocation", "assertions", "primaryChain", "alternativeChains", "compilationFacts",
+        "entrySelection", "selectedEntry", "canonicalCore", "observablePlan", "mutationKillPlan", "inputDistinguishPlan",
+        "propagationPlan", "assertionPlan", "ripExecutionPlan", "observableDifferencePlan", "entryChainPlan", "reachabilityGuardsPlan",
+        "distinguishingInputGuidance", "indirectEntryTestPlan", "symbolicRipPlan", "symbolicFeasibility", "observableSelectionPlan",
+        "entryParameterControlPlan", "killabilityPlan", "evidenceQuality", "codeKbContext", "apiRoleFacts",
+    ],
+}
+
 # --- fixed values: compile-error kinds, first match wins --------------------
 # (label, alternatives); all words of one alternative must occur in the lower-case text
 COMPILE_ERROR_KINDS = [

@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 
 from ..functions import fixed
 from ..functions.keys import prompt_cache_key
-from ..functions.text import safe
+from ..functions.text import first_match, safe
 
 MIN_PARTIAL_CHARS = 512
 
@@ -67,16 +67,28 @@ def apply_profile(items: DataFrame, profiles: DataFrame, key: str) -> DataFrame:
     """Evidence items per key cut to the list limits of the key's action.
 
     ``items`` has (key, action, kind, item_no); kinds are entry, method, field,
-    graph. A limit of -1 keeps all.
+    graph. A limit of -1 keeps all, as does an action that is null or unknown.
     """
     long = profiles.unpivot(
         ["action"], ["entry_limit", "method_limit", "field_limit", "graph_limit"], "kind", "list_limit"
     ).withColumn("kind", F.regexp_replace("kind", "_limit$", ""))
-    joined = items.join(F.broadcast(long), ["action", "kind"])  # six actions x four kinds
+    joined = items.join(F.broadcast(long), ["action", "kind"], "left")  # six actions x four kinds
+    joined = joined.fillna(-1, ["list_limit"])
     rank = W.partitionBy(key, "action", "kind").orderBy("item_no")
     return joined.withColumn("_r", F.row_number().over(rank)).filter((F.col("list_limit") < 0) | (F.col("_r") <= F.col("list_limit"))).drop("_r")
 
 
+def keeps_section(action: Column, section: Column) -> Column:
+    """Whether an action's profile keeps an evidence section; a null or unknown action keeps all."""
+    rules = []
+    for name, left_out in fixed.PROFILE_SECTIONS_LEFT_OUT.items():
+        rule = ~section.isin(left_out)
+        if name in fixed.PROFILE_SECTIONS_KEPT:
+            rule = rule & section.isin(fixed.PROFILE_SECTIONS_KEPT[name])
+        rules.append((action == name, rule))
+    return first_match(rules, F.lit(True))
+
+
 def prioritized_rows(parts: list[DataFrame], key: str) -> DataFrame:
     """Union of row lists: earlier lists first, each row once."""
     tiers = [df.select(key).distinct().withColumn("tier", F.lit(i)) for i, df in enumerate(parts)]

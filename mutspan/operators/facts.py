@@ -64,9 +64,14 @@ def find_mutants(requests: DataFrame, mutants: DataFrame) -> DataFrame:
         "mutant_row_id", F.col("mutant_id").alias("found_id"), F.col("project").alias("f_project"),
         F.col("class_name").alias("f_class"), F.col("method").alias("f_method"), F.col("operator").alias("f_operator"),
     )
+    def smallest(*keys: str) -> DataFrame:
+        # one row per key, so that a name that many classes have multiplies nothing
+        return known.groupBy(*keys).agg(F.min(F.struct("mutant_row_id", F.col("found_id").alias("id"))).alias("hit"))
+
     usable = asked.filter((F.col("legacy") != "") & (F.col("legacy") != F.col("wanted")))
     scoped = usable.filter((F.col("w_project") != "") & (F.col("w_class") != "") & (F.col("w_method") != ""))
-    hits = [asked.join(known, F.col("wanted") == F.col("found_id")).withColumn("tier", F.lit(1))]
+    picked = lambda df, tier: df.select("request_id", "hit.mutant_row_id", F.col("hit.id").alias("found_id"), F.lit(tier).alias("tier"))
+    hits = [picked(asked.join(smallest("found_id"), F.col("wanted") == F.col("found_id")), 1)]
     for cls in (F.col("w_class"), simple_class_name("w_class")):
         for name in ("found_id", "f_operator"):
             condition = [
@@ -75,11 +80,11 @@ def find_mutants(requests: DataFrame, mutants: DataFrame) -> DataFrame:
                 F.col("w_method") == F.col("f_method"),
                 F.col("legacy") == F.col(name),
             ]
-            hits.append(scoped.join(known, condition).withColumn("tier", F.lit(2)))
-    hits.append(usable.join(known, F.col("legacy") == F.col("found_id")).withColumn("tier", F.lit(3)))
+            hits.append(picked(scoped.join(smallest("f_project", "f_class", "f_method", name), condition), 2))
+    hits.append(picked(usable.join(smallest("found_id"), F.col("legacy") == F.col("found_id")), 3))
     found = reduce(DataFrame.unionByName, hits)
     return first_by(
-        found.select("request_id", "mutant_row_id", "found_id", "tier"),
+        found,
         ["request_id"],
         [F.col("tier"), F.col("mutant_row_id")],
     )
@@ -236,12 +241,13 @@ def constructors_by_arity(requests: DataFrame, methods: DataFrame, parameters: D
         .select("variant_id", "qualified_name", "type_simple_name", "method_id", F.coalesce("_n", F.lit(0)).alias("arity"))
     )
     asked = requests.filter((safe("owner") != "") & (F.col("arity") >= 0)).withColumn("_simple", simple_owner("owner"))
-    exact = asked.join(
-        known.withColumnRenamed("qualified_name", "owner"), ["variant_id", "owner", "arity"]
-    ).select("request_id", "method_id", F.lit(0).alias("_tier"))
-    short = asked.join(
-        known.withColumnRenamed("type_simple_name", "_simple"), ["variant_id", "_simple", "arity"]
-    ).select("request_id", "method_id", F.lit(1).alias("_tier"))
+
+    def by(name: str, column: str, tier: int) -> DataFrame:
+        # one constructor per key before the join: the smallest id wins anyway
+        one = known.groupBy("variant_id", F.col(name).alias(column), "arity").agg(F.min("method_id").alias("method_id"))
+        return asked.join(one, ["variant_id", column, "arity"]).select("request_id", "method_id", F.lit(tier).alias("_tier"))
+
+    exact, short = by("qualified_name", "owner", 0), by("type_simple_name", "_simple", 1)
     best = first_by(exact.unionByName(short), ["request_id"], [F.col("_tier"), F.col("method_id")])
     return best.select("request_id", "method_id")
 

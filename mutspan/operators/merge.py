@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -174,23 +176,26 @@ def match_baseline(reported: DataFrame, index: DataFrame) -> DataFrame:
     """Index keys of baseline report rows; the first tier with a match counts.
 
     Tiers: (project, class, mutant); statistic file and mutant; (class, mutant).
-    A report row that meets several keys keeps them all and is flagged.
+    A report row that meets several keys keeps them all and is flagged. A blank
+    key part matches nothing; only rows without a match go on to the next tier.
     """
     keys = index.select(*[F.col(c).alias(f"index_{c}") for c in KEY], F.col("statistic_file").alias("index_file"))
 
-    def tier(number: int, pairs: list[tuple[str, str]]) -> DataFrame:
-        condition = [safe(a) == safe(b) for a, b in pairs]
-        return reported.join(keys, condition, "inner").withColumn("tier", F.lit(number))
-
     class_and_mutant = [("class_name", "index_class_name"), ("mutant", "index_mutant")]
-    hits = (
-        tier(1, [("project", "index_project"), *class_and_mutant])
-        .unionByName(tier(2, [("statistic_file", "index_file"), ("mutant", "index_mutant")]))
-        .unionByName(tier(3, class_and_mutant))
-    )
+    tiers = [
+        [("project", "index_project"), *class_and_mutant],
+        [("statistic_file", "index_file"), ("mutant", "index_mutant")],
+        class_and_mutant,
+    ]
+    hits, rest = [], reported
+    for number, pairs in enumerate(tiers, start=1):
+        usable = keys.filter(reduce(lambda a, b: a & b, [safe(c) != "" for _, c in pairs]))
+        condition = [safe(a) == safe(b) for a, b in pairs]
+        hits.append(rest.join(usable, condition).withColumn("tier", F.lit(number)))
+        rest = rest.join(usable, condition, "left_anti")
     row = W.partitionBy("report_id", "mutant")
-    best = hits.withColumn("_best", F.min("tier").over(row)).filter(F.col("tier") == F.col("_best"))
-    return best.withColumn("ambiguous", F.count(F.lit(1)).over(row) > 1).drop("_best", "index_file")
+    every = reduce(DataFrame.unionByName, hits)
+    return every.withColumn("ambiguous", F.count(F.lit(1)).over(row) > 1).drop("index_file")
 
 
 def baseline_kill_details(matched: DataFrame) -> DataFrame:

@@ -113,14 +113,15 @@ def match_in_tiers(
     """Look up ``payload`` of ``right`` by the first tier of keys that matches.
 
     Each tier is (keys of left, keys of right). The right side is cut to one row
-    per key (smallest payload), so a tier never multiplies rows. Rows without a
-    match keep null payload and tier 0.
+    per key (smallest payload), so a tier never multiplies rows. A null key
+    matches nothing. Rows without a match keep null payload and tier 0.
     """
     out = left
     for number, (left_keys, right_keys) in enumerate(tiers, start=1):
         names = [f"_k{number}_{i}" for i in range(len(left_keys))]
         lookup = (
             right.select(*[k.alias(n) for k, n in zip(right_keys, names)], F.struct(*payload).alias(f"_p{number}"))
+            .dropna(subset=names)
             .groupBy(*names)
             .agg(F.min(f"_p{number}").alias(f"_p{number}"))
         )

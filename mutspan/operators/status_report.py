@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed, status
 from ..functions.compile_errors import coarse_compile_category, compile_error_summary
-from ..functions.keys import operator_family
+from ..functions.keys import id_part, operator_family
 from ..functions.status import is_true
-from ..functions.text import ratio, safe
+from ..functions.text import first_non_blank, ratio, safe
 from .ordering import match_in_tiers, ordered_text
 from .trajectory import LINE
 
@@ -165,16 +165,23 @@ def skip_categories(df: DataFrame) -> DataFrame:
 def match_index(records: DataFrame, index: DataFrame) -> DataFrame:
     """Index row of each record: by id, by the four key parts, by row number.
 
-    A row number counts only when the row it names has the same four parts.
+    Parts that a record lacks are taken from its id. A row number counts only
+    when the row it names has the same four parts. A blank id, and a key of four
+    blank parts, match nothing.
     """
     parts = ["project", "class_name", "method", "operator"]
-    left_parts = [safe(c) for c in parts]
-    right_parts = [safe(c) for c in parts]
+    known_id = F.nullif(safe("mutant_id"), F.lit(""))
+
+    def key(cells: list[Column]) -> list[Column]:
+        return [F.when(F.concat(*cells) != "", cells[0]), *cells[1:]]
+
+    left_parts = key([first_non_blank(c, id_part("mutant_id", i)) for i, c in enumerate(parts)])
+    right_parts = key([safe(c) for c in parts])
     return match_in_tiers(
         records,
         index.withColumn("index_row", F.col("row_no")),
         [
-            ([safe("mutant_id")], [safe("mutant_id")]),
+            ([known_id], [known_id]),
             (left_parts, right_parts),
             ([F.col("task_row"), *left_parts], [F.col("row_no"), *right_parts]),
         ],

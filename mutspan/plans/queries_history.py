@@ -326,23 +326,52 @@ def budgeted_sections(spark, sf):
     return ev.budgeted_sections(_sections(spark, sf), "sections", 3000)
 
 
+def _action():
+    """An evidence action by order; two of eight orders have an unknown one or none."""
+    k = F.col("l_orderkey") % 8
+    return F.when(k < 6, v.pick(fixed.EVIDENCE_ACTIONS, k)).when(k == 6, "OTHER")
+
+
 @query(
     "W24_evidence_profiles",
     """
-SELECT action, kind, count(*) AS kept FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey, kind ORDER BY item) AS rn FROM (SELECT l_orderkey, l_partkey * 10 + l_linenumber AS item,
-  list_extract(ACTIONS, CAST(l_orderkey % 6 AS INT) + 1) AS action, list_extract(['entry', 'method', 'field', 'graph'], CAST(l_suppkey % 4 AS INT) + 1) AS kind FROM lineitem))
-JOIN (SELECT unnest(ACTIONS) AS action, unnest([[-1,-1,-1,-1],[2,4,4,4],[3,3,2,3],[1,2,2,0],[2,3,3,0],[1,2,2,0]]) AS lim) USING (action)
-WHERE lim[list_position(['entry', 'method', 'field', 'graph'], kind)] < 0 OR rn <= lim[list_position(['entry', 'method', 'field', 'graph'], kind)] GROUP BY ALL""".replace(
+SELECT action, kind, count(*) AS kept, CAST(sum(item) AS BIGINT) AS items FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey, kind ORDER BY item) AS rn FROM (SELECT l_orderkey, l_partkey * 10 + l_linenumber AS item,
+  CASE WHEN l_orderkey % 8 < 6 THEN list_extract(ACTIONS, CAST(l_orderkey % 8 AS INT) + 1) WHEN l_orderkey % 8 = 6 THEN 'OTHER' END AS action,
+  list_extract(['entry', 'method', 'field', 'graph'], CAST(l_suppkey % 4 AS INT) + 1) AS kind FROM lineitem))
+LEFT JOIN (SELECT unnest(ACTIONS) AS action, unnest([[-1,-1,-1,-1],[2,4,4,4],[3,3,2,3],[1,2,2,0],[2,3,3,0],[1,2,2,0]]) AS lim) USING (action)
+WHERE lim IS NULL OR lim[list_position(['entry', 'method', 'field', 'graph'], kind)] < 0 OR rn <= lim[list_position(['entry', 'method', 'field', 'graph'], kind)] GROUP BY ALL""".replace(
         "ACTIONS", v.sql_list(fixed.EVIDENCE_ACTIONS)
     ),
 )
 def evidence_profiles(spark, sf):
     li = table(spark, sf, "lineitem")
     items = li.select(
-        "l_orderkey", (F.col("l_partkey") * 10 + F.col("l_linenumber")).alias("item_no"), v.pick(fixed.EVIDENCE_ACTIONS, F.col("l_orderkey") % 6).alias("action"),
+        "l_orderkey", (F.col("l_partkey") * 10 + F.col("l_linenumber")).alias("item_no"), _action().alias("action"),
         v.pick(["entry", "method", "field", "graph"], F.col("l_suppkey") % 4).alias("kind"),
     )
-    return ev.apply_profile(items, ev.profile_table(spark), "l_orderkey").groupBy("action", "kind").agg(F.count(F.lit(1)).alias("kept"))
+    kept = ev.apply_profile(items, ev.profile_table(spark), "l_orderkey")
+    return kept.groupBy("action", "kind").agg(F.count(F.lit(1)).alias("kept"), F.sum("item_no").alias("items"))
+
+
+SECTIONS = sorted({s for lists in (fixed.PROFILE_SECTIONS_LEFT_OUT, fixed.PROFILE_SECTIONS_KEPT) for names in lists.values() for s in names}) + ["notes"]
+
+
+@query(
+    "W24_profile_sections",
+    f"""
+SELECT coalesce(action, '') AS action, section, count(*) AS kept FROM (SELECT
+  CASE WHEN l_orderkey % 8 < 6 THEN list_extract({v.sql_list(fixed.EVIDENCE_ACTIONS)}, CAST(l_orderkey % 8 AS INT) + 1) WHEN l_orderkey % 8 = 6 THEN 'OTHER' END AS action,
+  list_extract({v.sql_list(SECTIONS)}, CAST(l_partkey % {len(SECTIONS)} AS INT) + 1) AS section FROM lineitem)
+WHERE (action || '/' || section) IS NULL OR (action || '/' || section NOT IN ({{left_out}}) AND (action NOT IN ({{strict}}) OR action || '/' || section IN ({{kept}}))) GROUP BY ALL""".format(
+        left_out=", ".join(f"'{a}/{s}'" for a, names in fixed.PROFILE_SECTIONS_LEFT_OUT.items() for s in names),
+        strict=", ".join(f"'{a}'" for a in fixed.PROFILE_SECTIONS_KEPT),
+        kept=", ".join(f"'{a}/{s}'" for a, names in fixed.PROFILE_SECTIONS_KEPT.items() for s in names),
+    ),
+)
+def profile_sections(spark, sf):
+    rows = table(spark, sf, "lineitem").select(_action().alias("action"), v.pick(SECTIONS, F.col("l_partkey") % len(SECTIONS)).alias("section"))
+    kept = rows.filter(ev.keeps_section(F.col("action"), F.col("section")))
+    return kept.groupBy(F.coalesce("action", F.lit("")).alias("action"), "section").agg(F.count(F.lit(1)).alias("kept"))
 
 
 _TESTS = ["x = 1;", "assertTrue(true);", "assertNotNull(x); assertNotNull(y);", "assertEquals(1, f(x)); assertTrue(true);", "assertSame(a, b);", "assertFalse(\"m\", false); assertTrue(true);", "fail();"]

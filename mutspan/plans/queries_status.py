@@ -261,17 +261,27 @@ def record_histogram(spark, sf):
 @query(
     "J20_match_log_to_index",
     """
-SELECT mutant_id, coalesce(a.row_no, b.row_no) AS index_row, CASE WHEN a.row_no IS NOT NULL THEN 1 WHEN b.row_no IS NOT NULL THEN 2 ELSE 0 END AS tier
-FROM (SELECT DISTINCT mutant_id, project, class_name, method, operator FROM v_traj) t
-LEFT JOIN (SELECT mutant_id AS aid, min(row_no) AS row_no FROM v_index GROUP BY 1) a ON a.aid = t.mutant_id
+WITH t AS (SELECT DISTINCT user_id, CASE WHEN user_id % 7 IN (0, 2) THEN '' ELSE mutant_id END AS mutant_id,
+  CASE WHEN user_id % 7 = 1 THEN string_split(mutant_id, '::')[1] WHEN user_id % 7 <> 2 THEN project END AS project,
+  CASE WHEN user_id % 7 = 1 THEN string_split(mutant_id, '::')[2] WHEN user_id % 7 <> 2 THEN class_name END AS class_name,
+  CASE WHEN user_id % 7 = 1 THEN string_split(mutant_id, '::')[3] WHEN user_id % 7 <> 2 THEN method END AS method,
+  CASE WHEN user_id % 7 = 1 THEN string_split(mutant_id, '::')[4] WHEN user_id % 7 <> 2 THEN operator END AS operator FROM v_traj)
+SELECT user_id, mutant_id, coalesce(a.row_no, b.row_no) AS index_row, CASE WHEN a.row_no IS NOT NULL THEN 1 WHEN b.row_no IS NOT NULL THEN 2 ELSE 0 END AS tier
+FROM t LEFT JOIN (SELECT mutant_id AS aid, min(row_no) AS row_no FROM v_index WHERE mutant_id <> '' GROUP BY 1) a ON a.aid = t.mutant_id
 LEFT JOIN (SELECT project, class_name, method, operator, min(row_no) AS row_no FROM v_index GROUP BY ALL) b
   ON b.project = t.project AND b.class_name = t.class_name AND b.method = t.method AND b.operator = t.operator""",
     ("v_traj", "v_index"),
 )
 def match_log_to_index(spark, sf):
     t = v.v_traj(spark, sf)
-    records = t.select("mutant_id", "project", "class_name", "method", "operator", keys.row_number_of_task("task_id").alias("task_row")).distinct()
-    return sr.match_index(records, v.v_index(t)).select("mutant_id", "index_row", "tier")
+    kind = F.col("user_id") % 7  # some records lack their id, some their parts, some both
+    records = t.select(
+        "user_id",
+        F.when(kind.isin(0, 2), "").otherwise(F.col("mutant_id")).alias("mutant_id"),
+        *[F.when(~kind.isin(1, 2), F.col(c)).otherwise("").alias(c) for c in ("project", "class_name", "method", "operator")],
+        keys.row_number_of_task("task_id").alias("task_row"),
+    ).distinct()
+    return sr.match_index(records, v.v_index(t)).select("user_id", "mutant_id", "index_row", "tier")
 
 
 @query(
