@@ -37,12 +37,16 @@ def exact_sample(df: DataFrame, keys: list[str], id_column: str, share: float, s
     plan = counts.select(
         *group,
         "_b",
+        "_n",
         F.coalesce(F.sum("_n").over(running), F.lit(0)).alias("_before"),
         F.floor(F.sum("_n").over(W.partitionBy(*group)) * F.lit(share) + F.lit(0.5)).alias("_need"),
     ).filter(F.col("_before") < F.col("_need"))
+    whole = F.col("_before") + F.col("_n") <= F.col("_need")
+    sure = hashed_rows.join(plan.filter(whole).select(*group, "_b"), [*group, "_b"], "left_semi")
     inside = W.partitionBy(*group, "_b").orderBy("_h", id_column)
-    ranked = hashed_rows.join(plan, [*group, "_b"]).withColumn("_r", F.row_number().over(inside))
-    return ranked.filter(F.col("_before") + F.col("_r") <= F.col("_need")).select(*df.columns)
+    ranked = hashed_rows.join(plan.filter(~whole), [*group, "_b"]).withColumn("_r", F.row_number().over(inside))
+    border = ranked.filter(F.col("_before") + F.col("_r") <= F.col("_need"))
+    return sure.select(*df.columns).unionByName(border.select(*df.columns))
 
 
 def adequate_sets(kills: DataFrame, keys: list[str], trials: int, seed: str = "cover") -> DataFrame:

@@ -192,9 +192,21 @@ def _readers(anchors: DataFrame, methods: DataFrame, accesses: DataFrame, fields
     return wanted.join(touching, ["type_id", "field_id"]).filter(F.col("method_id") != F.col("anchor_id"))
 
 
-def field_reader_reasons(anchors: DataFrame, methods: DataFrame, accesses: DataFrame, fields: DataFrame) -> DataFrame:
-    """Why a method of the same type is tied to the anchor, one joined text per method."""
-    reason = F.concat(F.lit("uses affected field '"), F.col("field_name"), F.lit("' as "), F.lower("access_kind"))
+def uses_reason() -> Column:
+    return F.concat(F.lit("uses affected field '"), F.col("field_name"), F.lit("' as "), F.lower("access_kind"))
+
+
+def reads_or_writes_reason() -> Column:
+    verb = F.when(F.lower(safe("access_kind")) == "read", F.lit("reads ")).otherwise(F.lit("writes "))
+    return F.concat(verb, F.lit("affected field '"), F.col("field_name"), F.lit("'"))
+
+
+def field_reader_reasons(anchors: DataFrame, methods: DataFrame, accesses: DataFrame, fields: DataFrame, reason: Column | None = None) -> DataFrame:
+    """Why a method of the same type is tied to the anchor, one joined text per method.
+
+    ``reason`` is the text of one access: `uses_reason` (the default) or `reads_or_writes_reason`.
+    """
+    reason = uses_reason() if reason is None else reason
     rows = _readers(anchors, methods, accesses, fields, []).select(
         "anchor_id", "method_id", F.struct("field_id", F.lower("access_kind").alias("k"), reason.alias("reason")).alias("r")
     )

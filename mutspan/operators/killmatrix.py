@@ -46,12 +46,27 @@ def with_kills(outcomes: DataFrame) -> DataFrame:
     return with_runner_kill(outcomes, "original_result", "mutant_result")
 
 
-def mutant_verdicts(kills: DataFrame, keys: list[str]) -> DataFrame:
-    """Killed or live per mutant, with its killing tests."""
-    return kills.groupBy(*keys).agg(
-        F.bool_or("kills").alias("killed"),
-        F.array_sort(F.collect_set(F.when(F.col("kills"), F.col("test")))).alias("killing_tests"),
-        F.count_distinct("test").alias("tests_run"),
+def mutant_verdicts(kills: DataFrame, keys: list[str], mutants: DataFrame | None = None) -> DataFrame:
+    """Killed or live per mutant, with its killing tests.
+
+    With ``mutants``, a mutant whose run left no row is live with no tests.
+    """
+    # one row per mutant and test first, so that the second aggregate counts and lists without distinct sets
+    pairs = kills.groupBy(*keys, "test").agg(F.bool_or("kills").alias("_k"))
+    verdicts = pairs.groupBy(*keys).agg(
+        F.coalesce(F.bool_or("_k"), F.lit(False)).alias("killed"),
+        F.array_sort(F.collect_list(F.when(F.col("_k"), F.col("test")))).alias("killing_tests"),
+        F.count("test").alias("tests_run"),
+    )
+    if mutants is None:
+        return verdicts
+    every = mutants.select(*keys).distinct().join(verdicts, keys, "left")
+    none = F.array().cast(verdicts.schema["killing_tests"].dataType)
+    return every.select(
+        *keys,
+        F.coalesce("killed", F.lit(False)).alias("killed"),
+        F.coalesce("killing_tests", none).alias("killing_tests"),
+        F.coalesce("tests_run", F.lit(0)).alias("tests_run"),
     )
 
 
@@ -121,6 +136,13 @@ def mark_equivalent(history: DataFrame, marks: DataFrame, keys: list[str]) -> Da
     return history.join(marked, keys, "left").select(*keys, state.alias("state"))
 
 
+def mark_equivalent_rows(matrix: DataFrame, marks: DataFrame, keys: list[str]) -> DataFrame:
+    """Matrix rows (keys, total, equivalent): a marked mutant becomes equivalent if no test kills it."""
+    marked = marks.select(*keys).distinct().withColumn("_marked", F.lit(True))
+    flag = (is_true("_marked") & (F.col("total") == 0)) | is_true("equivalent")
+    return matrix.join(marked, keys, "left").select(*keys, "total", F.coalesce(flag, F.lit(False)).alias("equivalent"))
+
+
 def test_set_scores(kills: DataFrame, mutants: DataFrame, sets: DataFrame) -> DataFrame:
     """killed / (all - equivalent) per test set.
 

@@ -165,6 +165,17 @@ def field_reader_reasons(spark, sf):
     return fc.field_reader_reasons(*_facts(spark, sf))
 
 
+@query(
+    "J9_field_access_reasons",
+    """
+SELECT anchor_id, method_id, string_agg(CASE access_kind WHEN 'READ' THEN 'reads' ELSE 'writes' END || ' affected field ' || chr(39) || field_name || chr(39), '; ' ORDER BY field_id, access_kind) AS reasons
+FROM v_readers GROUP BY ALL""",
+    ("v_methods", "v_fields", "v_accesses", "v_readers"),
+)
+def field_access_reasons(spark, sf):
+    return fc.field_reader_reasons(*_facts(spark, sf), fc.reads_or_writes_reason())
+
+
 _PROPAGATION = """SELECT DISTINCT r.anchor_id, r.field_id, r.field_name, r.method_id, r.access_kind, x.line_number, r.begin_line,
   CASE r.visibility WHEN 'public' THEN 60.0::DOUBLE WHEN 'protected' THEN 45.0 WHEN 'package-private' THEN 35.0 ELSE 0.0 END + CASE WHEN r.access_kind = 'READ' THEN 80.0 ELSE 35.0 END
   + CASE WHEN r.return_type <> 'void' THEN 15.0 ELSE 0.0 END AS score, r.signature
@@ -316,6 +327,14 @@ def distinct_imports(spark, sf):
     return fc.distinct_imports(_imports(spark, sf).filter(F.col("method_id").isNull()), ["file_id"])
 
 
+@query(
+    "M10_method_imports",
+    f"SELECT method_id, import_value, source_kind, max(priority) AS priority FROM ({_IMPORT_SQL}) WHERE method_id IS NOT NULL GROUP BY ALL",
+)
+def method_imports(spark, sf):
+    return fc.distinct_imports(_imports(spark, sf).filter(F.col("method_id").isNotNull()), ["method_id"])
+
+
 _EVENTS_SQL = """SELECT o_orderkey AS event_id, 'AOIS_' || (o_custkey % 200) AS mutant_id, o_totalprice / 1000000 AS confidence FROM orders"""
 _CANDS_SQL = """SELECT o_orderkey AS event_id, CASE WHEN o_orderpriority = '5-LOW' THEN 'ENTRY' ELSE 'IMPORT' END AS kind, 'fb.' || o_orderstatus || (o_orderkey % 30) AS value,
   o_orderstatus <> 'P' AS accepted, CASE WHEN o_orderkey % 3 = 0 THEN 0 ELSE CAST(o_orderkey % 100 AS INT) END AS priority FROM orders"""

@@ -18,12 +18,12 @@ def _kills(spark, sf):
 @query(
     "A19_mutant_verdicts",
     """
-SELECT class_name, mutant, bool_or(kills) AS killed, coalesce(array_to_string(list_sort(list(DISTINCT test) FILTER (kills)), ','), '') AS killing_tests,
-  count(DISTINCT test) AS tests_run FROM v_kills GROUP BY ALL""",
-    ("v_outcomes", "v_kills"),
+SELECT class_name, mutant, coalesce(bool_or(kills), false) AS killed, coalesce(array_to_string(list_sort(list(DISTINCT test) FILTER (kills)), ','), '') AS killing_tests,
+  count(DISTINCT test) AS tests_run FROM v_mutants LEFT JOIN v_kills USING (class_name, mutant) GROUP BY ALL""",
+    ("v_outcomes", "v_kills", "v_mutants"),
 )
 def mutant_verdicts(spark, sf):
-    out = km.mutant_verdicts(_kills(spark, sf), ["class_name", "mutant"])
+    out = km.mutant_verdicts(_kills(spark, sf), ["class_name", "mutant"], v.v_mutants(spark, sf))
     return out.withColumn("killing_tests", F.array_join(F.col("killing_tests").cast("array<string>"), ","))
 
 
@@ -143,6 +143,20 @@ def marked_equivalents(spark, sf):
     return km.mark_equivalent(old, marks, ["mutant"])
 
 
+@query(
+    "M5_marked_matrix_rows",
+    """
+SELECT mutant, total, total = 0 AND mutant % 2 = 0 OR equivalent AS equivalent
+FROM (SELECT class_name, mutant, count(DISTINCT test) FILTER (kills) AS total FROM v_kills GROUP BY ALL) JOIN v_mutants USING (class_name, mutant)""",
+    ("v_outcomes", "v_kills", "v_mutants"),
+)
+def marked_matrix_rows(spark, sf):
+    mutants = v.v_mutants(spark, sf)
+    verdicts = km.mutant_verdicts(_kills(spark, sf), ["class_name", "mutant"])
+    matrix = verdicts.withColumn("total", F.size("killing_tests").cast("long")).join(mutants, ["class_name", "mutant"])
+    return km.mark_equivalent_rows(matrix, mutants.filter("mutant % 2 = 0"), ["mutant"])
+
+
 def _sets(spark, sf):
     """Test sets: one per nation, its suppliers' tests."""
     return table(spark, sf, "supplier").select(F.col("s_nationkey").alias("set_id"), F.col("s_suppkey").alias("test"))
