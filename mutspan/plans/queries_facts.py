@@ -366,18 +366,25 @@ def accepted_imports(spark, sf):
 @query(
     "M1_merged_imports",
     f"""
+WITH m AS (SELECT c_custkey AS c, c_nationkey AS file_id, CASE WHEN c_custkey % 2 = 0 THEN 'p::C::m()::' ELSE '' END || 'AOIS_' || c_custkey AS mutant_id FROM customer)
 SELECT mutant_id, scope, owner_signature, import_value, source_kind, max(priority) AS priority FROM (
-  SELECT mutant_id, scope, owner_signature, import_value, source_kind, priority FROM ({_ACCEPTED_SQL})
-  UNION ALL SELECT 'AOIS_' || c_custkey, 'SOURCE_FILE', '', import_value, source_kind, priority FROM customer JOIN ({_IMPORT_SQL}) i ON i.file_id = c_nationkey AND i.method_id IS NULL
-  UNION ALL SELECT 'AOIS_' || c_custkey, 'MUTATION_METHOD', 'sig' || (c_custkey % 300), import_value, source_kind, priority FROM customer JOIN ({_IMPORT_SQL}) i ON i.method_id = c_custkey % 300
+  SELECT m.mutant_id, scope, owner_signature, import_value, source_kind, priority FROM m JOIN ({_ACCEPTED_SQL}) a ON a.mutant_id = 'AOIS_' || c
+  UNION ALL SELECT mutant_id, 'SOURCE_FILE', '', import_value, source_kind, priority FROM m JOIN ({_IMPORT_SQL}) i ON i.file_id = m.file_id AND i.method_id IS NULL
+  UNION ALL SELECT mutant_id, 'MUTATION_METHOD', 'sig' || (c % 300), import_value, source_kind, priority FROM m JOIN ({_IMPORT_SQL}) i ON i.method_id = c % 300
+  UNION ALL SELECT mutant_id, 'ENTRY_METHOD', 'sig' || e, import_value, source_kind, priority
+    FROM (SELECT mutant_id, unnest([c * 7 % 300, (c * 7 + 1) % 300]) AS e FROM m) JOIN ({_IMPORT_SQL}) i ON i.method_id = e
 ) GROUP BY ALL""",
 )
 def merged_imports(spark, sf):
     all_imports = _imports(spark, sf)
     c = table(spark, sf, "customer")
-    mutant = F.concat(F.lit("AOIS_"), F.col("c_custkey").cast("string")).alias("mutant_id")
+    bare = F.concat(F.lit("AOIS_"), F.col("c_custkey").cast("string"))
+    mutant = F.when(F.col("c_custkey") % 2 == 0, F.concat(F.lit("p::C::m()::"), bare)).otherwise(bare).alias("mutant_id")
     by_file = c.select(mutant, F.col("c_nationkey").cast("long").alias("file_id"))
     by_method = c.select(mutant, (F.col("c_custkey") % 300).alias("method_id"), F.concat(F.lit("sig"), (F.col("c_custkey") % 300).cast("string")).alias("signature"))
+    seven = F.col("c_custkey") * 7
+    entry = c.select(mutant, F.explode(F.array(seven % 300, (seven + 1) % 300)).alias("method_id"))
+    entry = entry.withColumn("signature", F.concat(F.lit("sig"), F.col("method_id").cast("string")))
     # equal usages of one file or method are cut before they meet its mutants
     of_file = all_imports.filter(F.col("method_id").isNull()).groupBy("file_id", "import_value", "source_kind").agg(
         F.max("priority").alias("priority"), F.max_by("usage_context", F.struct("priority", "usage_context")).alias("usage_context"))
@@ -387,7 +394,8 @@ def merged_imports(spark, sf):
         [
             im.scoped_imports(by_file, of_file, "file_id", "SOURCE_FILE"),
             im.scoped_imports(by_method, of_method, "method_id", "MUTATION_METHOD", "signature"),
-            _accepted(spark, sf),
+            im.scoped_imports(entry, of_method, "method_id", "ENTRY_METHOD", "signature"),
+            im.accepted_of(c.select(mutant), _accepted(spark, sf)),
         ]
     )
     return merged.select("mutant_id", "scope", "owner_signature", "import_value", "source_kind", "priority")

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from mutspan.functions import fixed
-from mutspan.operators import adequacy, bandit, candidates, evidence, facts, graph, history, killmatrix, ordering, trajectory, upserts
+from mutspan.operators import adequacy, bandit, candidates, evidence, facts, graph, history, killmatrix, merge, ordering, status_report, trajectory, upserts
 
 
 def md5(*parts):
@@ -269,3 +269,47 @@ def test_budget_keeps_required_first_and_cuts_the_rest(spark):
     got = {r["section_no"]: r["kept"] for r in evidence.budgeted_sections(df, "sections", 2000).collect()}
     # 600 required, 700 fits, 700 left for 900: max(512, 350) = 512, then 5 fits
     assert got == {2: 600, 1: 700, 3: 512, 4: 5}
+
+
+def test_index_match_takes_parts_from_the_id_and_skips_blanks(spark):
+    parts = "project string, class_name string, method string, operator string"
+    index = spark.createDataFrame([(1, "", "p", "C", "m()", "X_1"), (2, "", "", "", "", ""), (3, "p::D::m()::X_2", "p", "D", "m()", "X_2")], f"row_no long, mutant_id string, {parts}")
+    records = spark.createDataFrame(
+        [("a", "", "p", "C", "m()", "X_1"), ("b", "p::C::m()::X_1", "", None, "", ""), ("c", "", "", "", "", ""), ("d", "p::D::m()::X_2", None, None, None, None)],
+        f"k string, mutant_id string, {parts}",
+    ).withColumn("task_row", F.lit(2).cast("long"))
+    got = {r["k"]: (r["index_row"], r["tier"]) for r in status_report.match_index(records, index).collect()}
+    assert got == {"a": (1, 2), "b": (1, 2), "c": (None, 0), "d": (3, 1)}
+
+
+def test_baseline_match_skips_blank_files_and_flags_several_keys(spark):
+    index = spark.createDataFrame(
+        [("p", "C", "m", "X_1", ""), ("q", "C", "m", "X_1", "f"), ("p", "D", "m", "X_1", "g")], "project string, class_name string, method string, mutant string, statistic_file string"
+    )
+    reported = spark.createDataFrame(
+        [(1, "p", "C", "X_1", "g"), (2, "?", "?", "X_1", ""), (3, "?", "C", "X_1", ""), (4, "?", "?", "X_1", "f")],
+        "report_id int, project string, class_name string, mutant string, statistic_file string",
+    )
+    got = sorted((r["report_id"], r["index_project"], r["tier"], r["ambiguous"]) for r in merge.match_baseline(reported, index).collect())
+    assert got == [(1, "p", 1, False), (3, "p", 3, True), (3, "q", 3, True), (4, "q", 2, False)]
+
+
+def test_mutants_without_results_are_live_and_unmarked_if_killed(spark):
+    kills = spark.createDataFrame([(1, 5, True), (1, 5, False), (1, 6, None), (2, 5, False)], "mutant int, test int, kills boolean")
+    mutants = spark.createDataFrame([(1,), (2,), (3,)], "mutant int")
+    rows = killmatrix.mutant_verdicts(kills, ["mutant"], mutants)
+    assert {r["mutant"]: (r["killed"], r["killing_tests"], r["tests_run"]) for r in rows.collect()} == {1: (True, [5], 2), 2: (False, [], 1), 3: (False, [], 0)}
+    matrix = rows.select("mutant", F.size("killing_tests").alias("total"), (F.col("mutant") == 3).alias("equivalent"))
+    marked = killmatrix.mark_equivalent_rows(matrix, mutants.filter("mutant < 3"), ["mutant"])
+    assert {r["mutant"]: r["equivalent"] for r in marked.collect()} == {1: False, 2: True, 3: True}
+
+
+def test_profiles_keep_all_for_unknown_actions(spark):
+    items = spark.createDataFrame([(1, a, "entry", i) for a in ("COMPACT", "OTHER", None) for i in range(4)], "k int, action string, kind string, item_no int")
+    kept = evidence.apply_profile(items, evidence.profile_table(spark), "k").groupBy("action").count().collect()
+    assert {r["action"]: r["count"] for r in kept} == {"COMPACT": 1, "OTHER": 4, None: 4}
+    rows = spark.createDataFrame([(a, s) for a in ("COMPACT", "ENTRY_HEAVY", None) for s in ("entryEvidence", "notes", "mutation")], "action string, section string")
+    kept = rows.filter(evidence.keeps_section(F.col("action"), F.col("section"))).collect()
+    assert sorted((r["action"] or "", r["section"]) for r in kept) == [
+        ("", "entryEvidence"), ("", "mutation"), ("", "notes"), ("COMPACT", "mutation"), ("ENTRY_HEAVY", "entryEvidence"), ("ENTRY_HEAVY", "mutation"), ("ENTRY_HEAVY", "notes"),
+    ]
