@@ -3,7 +3,7 @@
 Documents are cut into pieces of at most `capacity` ids. Only the histogram of
 piece lengths (at most `capacity` rows) reaches the driver, which places lengths
 longest first: each goes to the shortest packs that have room, else into new
-packs, and counts of equal packing patterns are updated. A pattern's count and
+packs that take as many of it as they hold, and counts of equal packing patterns are updated. A pattern's count and
 lengths give rank intervals per length; pieces join them by their rank among
 the pieces of that length. Ranks are counted in salted blocks, so a length that
 a third of all pieces share is not numbered in one task.
@@ -15,6 +15,7 @@ a piece table are carried along; an empty table gives no rows.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -70,11 +71,15 @@ def place(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[lis
             full.append((pattern, count))
 
     for length in sorted(histogram, reverse=True):
-        left, made = histogram[length], []
+        left = histogram[length]
         while left:
             fits = np.flatnonzero(rooms[length:])
             if not len(fits):
-                made.append(([length], left, capacity - length))
+                # a new pack is the shortest one until it is full, so it takes as many copies as it holds
+                copies = capacity // length
+                for times, packs in ((copies, left // copies), (left % copies, 1)):
+                    if times and packs:
+                        put([length] * times, packs, capacity - times * length)
                 break
             room = length + int(fits[-1])  # the shortest pack has the most room
             pattern, count = open_packs[room].pop()
@@ -82,24 +87,23 @@ def place(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[lis
             rooms[room] -= count
             if count > took:
                 put(pattern, count - took, room)
-            made.append(([*pattern, length], took, room - length))
+            put([*pattern, length], took, room - length)
             left -= took
-        for pattern, count, room in made:
-            put(pattern, count, room)
     return full + [p for packs in open_packs.values() for p in packs]
 
 
-def slots(patterns: list[tuple[list[int], int]]) -> list[tuple[int, int, int, int, int]]:
-    """(length, first rank, ranks, first sequence, offset) of every place in every pattern."""
+def slots(patterns: list[tuple[list[int], int]]) -> list[tuple[int, int, int, int, int, int]]:
+    """(length, first rank, ranks, copies, first sequence, offset) of every run of equal lengths in every pattern."""
     taken: dict[int, int] = {}
     out, sequence = [], 0
     for lengths, count in patterns:
         offset = 0
-        for length in lengths:
+        for length, run in itertools.groupby(lengths):
+            copies = len(list(run))
             first = taken.get(length, 0)
-            out.append((length, first, count, sequence, offset))
-            taken[length] = first + count
-            offset += length
+            out.append((length, first, count * copies, copies, sequence, offset))
+            taken[length] = first + count * copies
+            offset += length * copies
         sequence += count
     return out
 
@@ -121,12 +125,14 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     spark = pieces.sparkSession
     histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     places = slots(place(histogram, capacity))
-    schema = "length long, first_rank long, ranks long, first_sequence long, offset long"
+    schema = "length long, first_rank long, ranks long, copies long, first_sequence long, first_offset long"
     # its rows are bounded by the capacity alone: each length splits at most the patterns in being
     table = spark.createDataFrame(places, schema)
     row = ranked(pieces).join(F.broadcast(table), "length")
     hit = row.where((F.col("rank") >= F.col("first_rank")) & (F.col("rank") < F.col("first_rank") + F.col("ranks")))
-    placed = hit.withColumn("sequence_id", F.col("first_sequence") + F.col("rank") - F.col("first_rank"))
+    nth = F.col("rank") - F.col("first_rank")
+    placed = hit.withColumn("sequence_id", F.col("first_sequence") + F.floor(nth / F.col("copies")))
+    placed = placed.withColumn("offset", F.col("first_offset") + nth % F.col("copies") * F.col("length"))
     return placed.select(*pieces.columns, "sequence_id", "offset")
 
 

@@ -113,6 +113,34 @@ def test_patterns_hold_the_histogram_with_little_padding():
     assert packing.place({}) == []
 
 
+@pytest.mark.parametrize("length", [1, 200, 512])
+def test_patterns_hold_a_frequent_short_length_with_little_padding(length):
+    assert packing.place({512: 1000}) == [([512, 512], 500)]
+    rnd = random.Random(2)
+    histogram = Counter(rnd.randint(1, 1024) for _ in range(20_000)) + Counter({length: 40_001})
+    patterns = packing.place(dict(histogram))
+    placed = Counter()
+    for lengths, count in patterns:
+        assert sum(lengths) <= 1024
+        for n in lengths:
+            placed[n] += count
+    assert placed == histogram
+    assert sum(n * c for n, c in histogram.items()) / (1024 * sum(c for _, c in patterns)) > 0.95
+
+
+def test_equal_pieces_share_sequences(spark):
+    pieces = spark.range(1000).selectExpr("id AS doc_id", "0L AS start", "IF(id < 900, 3L, 5L) AS length")
+    rows = packing.pack(pieces, 16).collect()
+    by_sequence = defaultdict(list)
+    for r in rows:
+        by_sequence[r.sequence_id].append(r)
+    assert len(rows) == 1000 and len({r.doc_id for r in rows}) == 1000
+    for found in by_sequence.values():
+        found.sort(key=lambda r: r.offset)
+        assert [r.offset for r in found] == list(np.cumsum([0, *(r.length for r in found[:-1])])) and sum(r.length for r in found) <= 16
+    assert sorted(by_sequence) == list(range(len(by_sequence))) and len(by_sequence) <= 220
+
+
 def test_chat_round_trip(spark):
     text = "a </s>\\</s> [INST] <sep>\\"
     rows = [
