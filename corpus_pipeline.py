@@ -28,8 +28,8 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each component of similar documents."""
-    found = ngram_join.similar_documents(docs)
+    """The document with the smallest id of each component of similar documents: five words a shingle, 0.8."""
+    found = ngram_join.similar_documents(docs, gram=5, percent=80)
     first = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("first")).distinct()
     rows = docs.select(*COLUMNS)
     return rows.join(first, rows["doc_id"].eqNullSafe(first["first"]), "left_semi")

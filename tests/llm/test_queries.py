@@ -46,3 +46,22 @@ def test_pipeline_stages(spark):
     assert sizes == sorted(sizes, reverse=True) and sizes[0] > sizes[-1] > 0
     packed = corpus_pipeline.STAGES[-1][1](spark, docs, SF)
     assert packed.select("doc_id").distinct().count() == docs.select("doc_id").distinct().count()
+
+
+def test_near_copies_of_the_pipeline_share_four_fifths_of_five_word_shingles(spark):
+    base = [[f"{name}{i}" for i in range(200)] for name in "abc"]
+    texts = []
+    for words, changes in zip(base, ((0, 4), (0, 5), (0, 4, 20))):
+        for n in changes:
+            texts.append(" ".join(f"new{n}" if i % 10 == 5 and i < 10 * n else w for i, w in enumerate(words)))
+    shingles = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in map(str.split, texts)]
+    share = lambda a, b: len(shingles[a] & shingles[b]) / len(shingles[a] | shingles[b])
+    assert 0.80 < share(0, 1) < 0.82 and share(2, 3) < 0.8
+    component = list(range(len(texts)))
+    for a in range(len(texts)):
+        for b in range(a):
+            if share(a, b) >= 0.8:
+                component = [min(component[a], component[b]) if c in (component[a], component[b]) else c for c in component]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = corpus_pipeline.drop_near_copies(spark, docs, SF).collect()
+    assert sorted((r.doc_id, r.text) for r in kept) == [(i, t) for i, t in enumerate(texts) if component[i] == i]
