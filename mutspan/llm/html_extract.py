@@ -4,8 +4,8 @@ Each page is read once for its vote: containers are scored by the text below
 them outside boilerplate, and the deepest one with nearly all of it votes, with
 that text's length, for its generalised path (tags with classes, digits taken
 out). Votes are summed per host and path in Spark, and the pages are read again
-with their host's leading paths: the best-ranked path that a page has gives its
-main text. A page with none of them uses its own container.
+with their host's leading paths: the best-ranked path that holds a page's own
+main text gives its text. A page with none of them uses its own container.
 
 Defined cases: null html counts as empty and gives an empty text; unclosed tags
 end with the page; a null url is a host of its own; rows with equal page_id are
@@ -18,7 +18,7 @@ import dataclasses
 import functools
 import html
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -49,6 +49,7 @@ _TOKEN = re.compile(
     re.S | re.I,
 )
 _NAMES = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+_FOCUS = re.compile(r"(?:^|>)(?:article|main)(?:\.[^>]*)?$")
 _PARTS = re.compile(r"[a-z]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
@@ -71,10 +72,20 @@ class Page:
             total[self.parents[k]] += total[k]
         return total
 
+    def focus(self, total: list[int]) -> list[int]:
+        """Outermost article and main elements with shown text."""
+        found, within = [], [False] * len(self.paths)
+        for k, path in enumerate(self.paths):
+            here = bool(_FOCUS.search(path)) and not self.hidden[k]
+            if here and total[k] and not within[self.parents[k]]:
+                found.append(k)
+            within[k] = here or within[self.parents[k]]
+        return found
+
     def best(self) -> tuple[int, int]:
         """The container that votes, and its text's length."""
         total = self.below()
-        focus = [k for k, p in enumerate(self.paths) if re.search(r"(?:^|>)(?:article|main)(?:\.[^>]*)?$", p) and total[k] and not self.hidden[k]]
+        focus = self.focus(total)
         # outermost article or main with most text, else the whole page
         top = max(focus, key=lambda k: (total[k], -k)) if focus else 0
         at, moved = top, not focus
@@ -86,15 +97,33 @@ class Page:
                     break
         return at, total[at]
 
-    def text(self, path: str) -> str | None:
-        """Shown text of all containers with this path; None if the page has none."""
-        inside = [False] * len(self.paths)
-        for k, own in enumerate(self.paths):
-            inside[k] = own == path and not self.hidden[k] or k > 0 and inside[self.parents[k]]
-        if not any(inside):
-            return None
+    def inside(self, wanted: Iterable[bool]) -> list[bool]:
+        """Which containers are wanted and not boilerplate, or within such a one."""
+        found: list[bool] = []
+        for k, own in enumerate(wanted):
+            found.append(own and not self.hidden[k] or k > 0 and found[self.parents[k]])
+        return found
+
+    def text(self, path: str) -> str:
+        """Shown text of all containers with this path."""
+        inside = self.inside(own == path for own in self.paths)
         return "\n".join(text for at, text in self.blocks if inside[at] and not self.hidden[at])
 
+    def main_text(self, paths: list[str]) -> str:
+        """Text of the first path that holds the page's main text, else of the page's own container.
+
+        It must hold all text of the article or main elements, or MOST_TEXT of a page without them.
+        """
+        total = self.below()
+        focus = set(self.focus(total))
+        main = self.inside(k in focus for k in range(len(self.paths))) if focus else [True] * len(self.paths)
+        needed = sum(total[k] for k in focus) if focus else MOST_TEXT * total[0]
+        for path in paths:
+            inside = self.inside(own == path for own in self.paths)
+            if sum(len(text) for at, text in self.blocks if main[at] and inside[at] and not self.hidden[at]) >= needed > 0:
+                return self.text(path)
+        return self.text(self.paths[self.best()[0]])
+
 
 @functools.lru_cache(1024)
 def generalised(tag: str, attributes: str) -> tuple[str, bool]:
@@ -191,9 +220,7 @@ def extract(pages: DataFrame) -> DataFrame:
         for batch in batches:
             texts = []
             for source, paths in zip(batch.column(2), batch.column(3).to_pylist()):
-                page = read_page(source.as_py())
-                found = next((t for p in paths or [] if (t := page.text(p)) is not None), None)
-                texts.append(page.text(page.paths[page.best()[0]]) or "" if found is None else found)
+                texts.append(read_page(source.as_py()).main_text(paths or []))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
 
     # the winners are written first, so that their size is known when Spark chooses the join

@@ -296,6 +296,19 @@ def test_html_extraction(spark):
     assert html_extract.extract(frame.limit(0)).count() == 0
 
 
+def extracted(spark, *sources):
+    """Texts of pages of one host."""
+    frame = spark.createDataFrame([(i, f"http://h.org/{i}", s) for i, s in enumerate(sources)], "page_id long, url string, html string")
+    return [r.text for r in html_extract.extract(frame).orderBy("page_id").collect()]
+
+
+def test_html_path_of_the_host_gives_way_to_the_pages_own_text(spark):
+    body = "<html><body><div class=story>%s</div><div class=other>%s</div></body></html>"
+    usual, long = "the usual text of this host " * 20, "all text of this page stands elsewhere " * 3
+    got = extracted(spark, *[body % (usual, "")] * 3, body % ("", long), body % ("teaser", long), body % ("<script>x</script>", f"<article>{long}</article>"))
+    assert got == [*[usual.strip()] * 3, long.strip(), f"teaser\n{long.strip()}", long.strip()]
+
+
 def test_url_rules_and_templates(spark):
     from mutspan.llm.queries import RULES
 
