@@ -86,17 +86,25 @@ class Page:
         """The container that votes, and its text's length."""
         total = self.below()
         focus = self.focus(total)
-        # outermost article or main with most text, else the whole page
-        top = max(focus, key=lambda k: (total[k], -k)) if focus else 0
-        at, moved = top, not focus
+        if focus:
+            # containers of one path are read together, others by the lowest container around them
+            at = focus[0] if len({self.paths[k] for k in focus}) == 1 else functools.reduce(self.around, focus)
+            return at, max(total[at], sum(total[k] for k in focus))
+        at, moved = 0, True
         while moved:
             moved = False
             for k in range(at + 1, len(self.paths)):
-                if self.parents[k] == at and total[k] >= MOST_TEXT * total[at] > 0:
+                if self.parents[k] == at and total[k] >= MOST_TEXT * total[0] > 0:
                     at, moved = k, True
                     break
         return at, total[at]
 
+    def around(self, a: int, b: int) -> int:
+        """Lowest container that holds both."""
+        while a != b:
+            a, b = (self.parents[a], b) if a > b else (a, self.parents[b])
+        return a
+
     def inside(self, wanted: Iterable[bool]) -> list[bool]:
         """Which containers are wanted and not boilerplate, or within such a one."""
         found: list[bool] = []

@@ -304,11 +304,24 @@ def extracted(spark, *sources):
 
 def test_html_path_of_the_host_gives_way_to_the_pages_own_text(spark):
     body = "<html><body><div class=story>%s</div><div class=other>%s</div></body></html>"
-    usual, long = "the usual text of this host " * 20, "all text of this page stands elsewhere " * 3
+    usual, long = "the usual text of this host " * 20, "all text of this page stands elsewhere "
     got = extracted(spark, *[body % (usual, "")] * 3, body % ("", long), body % ("teaser", long), body % ("<script>x</script>", f"<article>{long}</article>"))
     assert got == [*[usual.strip()] * 3, long.strip(), f"teaser\n{long.strip()}", long.strip()]
 
 
+def test_html_keeps_all_articles(spark):
+    one, other, last = "one text " * 40, "other text " * 30, "short one"
+    got = extracted(spark, f"<body><div><article class=a>{one}</article><article class=b>{other}</article></div><p><main>{last}</main>")
+    assert got == ["\n".join(t.strip() for t in (one, other, last))]
+    got = extracted(spark, *[f"<body><article>{one}</article><div>x</div><article>{other}</article><article>{last}</article>"] * 2)
+    assert got == ["\n".join(t.strip() for t in (one, other, last))] * 2
+
+
+def test_html_descent_counts_what_all_levels_leave_out(spark):
+    a, b, c = "a" * 800, "b" * 75, "c" * 75
+    assert extracted(spark, f"<body><div><div class=x><div class=y>{a}</div><p>{b}</p></div><p>{c}</p></div>") == [f"{a}\n{b}"]
+
+
 def test_url_rules_and_templates(spark):
     from mutspan.llm.queries import RULES
 
