@@ -1,8 +1,8 @@
 """URL filter: explicit rules first, then a path-template tree per host.
 
 The tree is grown level by level over all urls: below each (host, template) a
-segment that holds a fair share of the rows stays as it is, all others become a
-wildcard that keeps their file suffix. Branches then merge, deepest position
+segment of MIN_ROWS rows or more stays as it is, all others become a wildcard
+that keeps their file suffix. Branches then merge, deepest position
 first: a template whose rate of bad labels does not differ from the pool of its
 siblings joins the pool's template. A template is rejected where its share of
 bad labels, smoothed towards the host's and that towards the corpus', reaches
@@ -21,14 +21,13 @@ from __future__ import annotations
 
 import functools
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mutspan.llm.common import LOWER, UPPER, staged
 
 MAX_DEPTH = 8
 MIN_ROWS = 5
-MIN_SHARE = 0.05
 SIMILAR_Z = 2.0
 SMOOTHING = 10.0
 THRESHOLD = 0.5
@@ -81,9 +80,7 @@ def with_template(urls: DataFrame) -> DataFrame:
         rows = rows.withColumn("segment", F.get("cells", F.lit(d)))
         here = rows.where(F.col("segment").isNotNull())
         counts = here.groupBy("host", "template", "segment").agg(F.count(F.lit(1)).alias("n"))
-        totals = here.groupBy("host", "template").agg(F.count(F.lit(1)).alias("total"))
-        literal = counts.where(F.col("n") >= MIN_ROWS).join(totals, ["host", "template"]).where(F.col("n") >= MIN_SHARE * F.col("total"))
-        literal = literal.select("host", "template", "segment", F.lit(True).alias("stays"))
+        literal = counts.where(F.col("n") >= MIN_ROWS).select("host", "template", "segment", F.lit(True).alias("stays"))
         met = salted_join(rows, literal, ["host", "template", "segment"])
         kept = F.when(F.col("stays"), F.col("segment")).otherwise(wildcard(F.col("segment")))
         grown = F.when(F.col("segment").isNull(), F.col("template")).otherwise(F.concat("template", F.array(kept)))
@@ -92,11 +89,16 @@ def with_template(urls: DataFrame) -> DataFrame:
 
 
 def salted_join(rows: DataFrame, small: DataFrame, on: list[str]) -> DataFrame:
-    """Left join of salted rows with a few rows per key, copied to every salt."""
-    copies = small.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    """Left join of salted rows with one row per key, copied to the salts that the key's rows have."""
+    salts = rows.groupBy(*on).agg(F.collect_set("salt").alias("salt"))
+    copies = small.join(salts, on).withColumn("salt", F.explode("salt"))
     return rows.join(copies, [*on, "salt"], "left")
 
 
+def salted(rows: DataFrame, key: str) -> DataFrame:
+    return rows.withColumn("salt", F.expr(f"pmod(xxhash64({key}), {SALTS})").cast("int"))
+
+
 def verdicts(rows: DataFrame) -> DataFrame:
     """(host, template, merged, bad_rate, verdict) per template of rows with host, template and bad (0, 1 or null)."""
     leaves = staged(
@@ -104,22 +106,23 @@ def verdicts(rows: DataFrame) -> DataFrame:
     )
     corpus = leaves.agg(F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad"), F.max(F.size("template")).alias("depth")).first()
     prior = (corpus["bad"] / corpus["labelled"]) if corpus["labelled"] else 0.0
-    tree = leaves.withColumn("merged", F.col("template"))
-    own, pool = Window.partitionBy("host", "merged"), Window.partitionBy("host", "pooled")
+    tree = salted(leaves.withColumn("merged", F.col("template")), "template")
+    sums = lambda rows, key, n, bad: rows.groupBy("host", key).agg(F.sum("labelled").alias(n), F.sum("bad").alias(bad))
     for d in range((corpus["depth"] or 0) - 1, -1, -1):
         pooled = F.transform("merged", lambda s, i: F.when(i == d, F.lit("*")).otherwise(s))  # noqa: B023
-        tree = tree.withColumn("pooled", pooled)
-        tree = tree.withColumns({"n": F.sum("labelled").over(own), "b": F.sum("bad").over(own), "pn": F.sum("labelled").over(pool), "pb": F.sum("bad").over(pool)})
+        groups = sums(tree.where(F.size("merged") > d), "merged", "labelled", "bad").withColumn("pooled", pooled)
+        met = salted_join(salted(groups, "merged"), sums(groups, "pooled", "pn", "pb"), ["host", "pooled"])
         rate = F.col("pb") / F.greatest("pn", F.lit(1))
-        gap = F.abs(F.col("b") / F.greatest("n", F.lit(1)) - rate)
-        noise = SIMILAR_Z * F.sqrt(rate * (1 - rate) / F.greatest("n", F.lit(1)))
-        similar = (F.col("n") == 0) | (gap <= noise)
-        tree = tree.withColumn("merged", F.when(similar, F.col("pooled")).otherwise(F.col("merged"))).drop("pooled", "n", "b", "pn", "pb")
-    host = Window.partitionBy("host")
+        gap = F.abs(F.col("bad") / F.greatest("labelled", F.lit(1)) - rate)
+        noise = SIMILAR_Z * F.sqrt(rate * (1 - rate) / F.greatest("labelled", F.lit(1)))
+        similar = (F.col("labelled") == 0) | (gap <= noise)
+        joins = met.where(similar).select("host", "merged", F.col("pooled").alias("joins"))
+        tree = staged(salted_join(tree, joins, ["host", "merged"]).withColumn("merged", F.coalesce("joins", "merged")).drop("joins"), "templates")
     smoothed = lambda bad, n, towards: (bad + SMOOTHING * towards) / (n + SMOOTHING)
-    host_rate = smoothed(F.sum("bad").over(host), F.sum("labelled").over(host), F.lit(prior))
-    judged = tree.withColumns({"host_rate": host_rate, "n": F.sum("labelled").over(own), "b": F.sum("bad").over(own)})
-    judged = judged.withColumn("bad_rate", smoothed(F.col("b"), F.col("n"), F.col("host_rate")))
+    hosts = tree.groupBy("host").agg(smoothed(F.sum("bad"), F.sum("labelled"), F.lit(prior)).alias("host_rate"))
+    judged = salted_join(salted(sums(tree, "merged", "n", "b"), "merged"), hosts, ["host"])
+    judged = judged.withColumn("bad_rate", smoothed(F.col("b"), F.col("n"), F.col("host_rate"))).drop("salt")
+    judged = salted_join(tree, judged, ["host", "merged"])
     return judged.select("host", "template", "merged", "bad_rate", F.when((F.col("n") > 0) & (F.col("bad_rate") >= THRESHOLD), "block").otherwise("allow").alias("judged"))
 
 

@@ -345,6 +345,13 @@ def test_url_rules_and_templates(spark):
     assert url_filter.judge(frame.limit(0), RULES).count() == 0
 
 
+def test_each_of_many_sections_is_judged_by_itself(spark):
+    rows = [(100 * s + i, f"http://h.net/s{s}/{i}", int(s < 10)) for s in range(30) for i in range(20)]
+    frame = spark.createDataFrame(rows, "page_id long, url string, bad int")
+    got = {r.page_id: r.verdict for r in url_filter.judge(frame, []).collect()}
+    assert got == {page: "block" if bad else "allow" for page, _, bad in rows}
+
+
 def host_rate(bad, labelled, prior):
     return (bad + 10 * prior) / (labelled + 10)
 
