@@ -40,6 +40,13 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def same_key_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """Join where two nulls are equal; the key columns come from the left."""
+    other = right.withColumnsRenamed({c: f"_{c}" for c in on})
+    met = left.join(other, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in on], how)
+    return met.drop(*[f"_{c}" for c in on])
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -6,7 +6,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from mutspan.llm import ball_tree, bpe, chat_format, exact_dedup, html_extract, ngram_join, packing, quality, substring_dedup, url_filter
+from mutspan.llm import (
+    ball_tree,
+    bpe,
+    chat_format,
+    exact_dedup,
+    fim,
+    html_extract,
+    merkle,
+    mixing,
+    ngram_join,
+    packing,
+    quality,
+    substring_dedup,
+    url_filter,
+)
 from mutspan.llm.common import LOWER, UPPER, table, vocabulary_path
 
 RULES = [
@@ -183,6 +197,92 @@ SELECT documents.doc_id, coalesce(n, 0) AS n_shingles, component_id
 FROM documents LEFT JOIN sizes USING (doc_id) JOIN least ON origin = documents.doc_id
 """
 
+def op11_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many words of every document the mix of all sources takes."""
+    rows = mixing.mixed(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+
+
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's leaf, proof and check against a tampered table."""
+    return merkle.checked_documents(table(spark, sf_dir, "documents"))
+
+
+OP12_SQL = """
+WITH RECURSIVE fields AS (
+  SELECT row_number() OVER () AS k, doc_id, lang, n_chars, CAST(doc_id AS VARCHAR) AS i,
+    coalesce(octet_length(encode(CAST(doc_id AS VARCHAR))) || ':' || doc_id, '-')
+      || coalesce(octet_length(encode(source)) || ':' || source, '-') || coalesce(octet_length(encode(lang)) || ':' || lang, '-') AS a,
+    coalesce(octet_length(encode(text)) || ':' || text, '-') AS b
+  FROM documents
+), leaves AS (
+  SELECT k, doc_id, lang, sha256(a || coalesce(length(CAST(n_chars AS VARCHAR)) || ':' || n_chars, '-') || b) AS leaf,
+    sha256(a || coalesce(length(CAST(n_chars + 1 AS VARCHAR)) || ':' || (n_chars + 1), '-') || b) AS changed,
+    xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, length(i) + 1), lambda p: ascii(i[p])::BIGINT)),
+      lambda crc, byte: list_reduce(list_prepend(xor(crc, byte), range(8)),
+        lambda c, bit: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END))) % 7 = 0 AS hit
+  FROM fields
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS place FROM leaves
+), trees AS (
+  SELECT lang, 0 AS level, list(leaf ORDER BY place) AS nodes FROM placed GROUP BY lang
+  UNION ALL
+  SELECT lang, level + 1, list_transform(range(0, (len(nodes) + 1) // 2), lambda x: sha256(nodes[2 * x + 1] || coalesce(nodes[2 * x + 2], '')))
+  FROM trees WHERE len(nodes) > 1
+), subroots AS (
+  SELECT lang, nodes[1] AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS nth FROM trees WHERE len(nodes) = 1
+), top AS (
+  SELECT 0 AS level, list(subroot ORDER BY nth) AS nodes FROM subroots
+  UNION ALL
+  SELECT level + 1, list_transform(range(0, (len(nodes) + 1) // 2), lambda x: sha256(nodes[2 * x + 1] || coalesce(nodes[2 * x + 2], '')))
+  FROM top WHERE len(nodes) > 1
+), steps AS (
+  SELECT k, level, place >> level & 1 AS is_right, coalesce(nodes[xor(place >> level, 1) + 1], '') AS other
+  FROM placed JOIN trees ON trees.lang IS NOT DISTINCT FROM placed.lang AND len(nodes) > 1
+  UNION ALL
+  SELECT k, 100 + level, nth >> level & 1, coalesce(nodes[xor(nth >> level, 1) + 1], '')
+  FROM placed JOIN subroots ON subroots.lang IS NOT DISTINCT FROM placed.lang JOIN top ON len(nodes) > 1
+), proofs AS (
+  SELECT k, list({'r': is_right, 'o': other} ORDER BY level) AS path FROM steps GROUP BY k
+), folds AS (
+  SELECT placed.k, 0 AS step, CASE WHEN hit THEN changed ELSE leaf END AS node, coalesce(path, []) AS path FROM placed LEFT JOIN proofs USING (k)
+  UNION ALL
+  SELECT k, step + 1, sha256(CASE WHEN path[step + 1].r = 1 THEN path[step + 1].o || node ELSE node || path[step + 1].o END), path FROM folds WHERE step < len(path)
+), roots AS (
+  SELECT nodes[1] AS root FROM top WHERE len(nodes) = 1
+)
+SELECT doc_id, leaf, subroot, root, sha256(array_to_string(list_transform(path, lambda s: s.o), '')) AS proof_sha256, node AS folded_root, node = root AS verified
+FROM placed JOIN subroots ON subroots.lang IS NOT DISTINCT FROM placed.lang JOIN roots ON true JOIN folds ON folds.k = placed.k AND step = len(path)
+"""
+
+
+def op13_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document rearranged for filling in its middle, and restored, as digests."""
+    return fim.digests(fim.transformed(table(spark, sf_dir, "documents")))
+
+
+OP13_SQL = r"""
+WITH texts AS (
+  SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS u, sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS d
+  FROM documents
+), drawn AS (
+  SELECT *, len(u) AS n, CAST('0x' || d[1:8] AS BIGINT) AS h1, CAST('0x' || d[9:16] AS BIGINT) AS h2, CAST('0x' || d[25:32] AS BIGINT) AS h4,
+    text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') AS plain
+  FROM texts
+), cuts AS (
+  SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b FROM drawn
+), parts AS (
+  SELECT *, CASE WHEN plain THEN 'plain' WHEN h4 % 100 < 50 THEN 'spm' ELSE 'psm' END AS form, array_to_string(u[1:a], '') AS prefix,
+    array_to_string(u[a + 1:b], '') AS middle, array_to_string(u[b + 1:n], '') AS suffix
+  FROM cuts
+)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN NOT plain THEN CAST(length(prefix) AS BIGINT) END AS prefix_chars,
+  CASE WHEN NOT plain THEN CAST(length(middle) AS BIGINT) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+    ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256, sha256(text) AS restored_sha256
+FROM parts
+"""
+
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_url_filter": op2_url_filter,
@@ -194,6 +294,9 @@ QUERIES = {
     "op8_html_extract": op8_html_extract,
     "op9_top_k": op9_top_k,
     "op10_ngram_join": op10_ngram_join,
+    "op11_mix": op11_mix,
+    "op12_merkle": op12_merkle,
+    "op13_fim": op13_fim,
 }
 ORACLES = {
     "op3_chat_format": OP3_SQL,
@@ -201,4 +304,6 @@ ORACLES = {
     "op7_substring_dedup": OP7_SQL,
     "op9_top_k": OP9_SQL,
     "op10_ngram_join": OP10_SQL,
+    "op12_merkle": OP12_SQL,
+    "op13_fim": OP13_SQL,
 }
