@@ -318,6 +318,97 @@ PROFILE_SECTIONS_KEPT = {
     ],
 }
 
+# --- fixed values: how a profile shortens the parts of evidence -----------------
+# k is the action's graph list limit; lists keep max(least, k + more) items, or `least` where more is None
+# (section, list, least, more, characters of an item)
+EVIDENCE_LISTS = [
+    ("entry", "callChain", 4, None, 180),
+    ("executableTestPlan", "supportClasses", 1, 0, 800),
+    ("executableTestPlan", "requiredSetup", 2, 1, 240),
+    ("executableTestPlan", "forbidden", 2, 1, 180),
+    ("invocation", "imports", 4, 3, 160),
+    ("invocation", "setup", 2, 1, 220),
+    ("assertions", "requiredToKill", 1, 0, 260),
+    ("assertions", "optionalSanityChecks", 1, 0, 200),
+    ("assertions", "mutationSensitiveObservables", 2, 1, 200),
+    ("assertions", "auxiliaryObservables", 1, 0, 180),
+    ("assertions", "avoid", 2, 1, 180),
+    ("publicApiEvidence", "availablePublicMethods", 2, 1, 200),
+    ("publicApiEvidence", "availableSetupMethods", 2, 1, 200),
+    ("publicApiEvidence", "stateSetupPlan", 2, 1, 220),
+    ("publicApiEvidence", "antiPatterns", 2, 1, 180),
+    ("publicApiEvidence", "compilationGuardrails", 2, 1, 180),
+    ("mutationEvidence", "originAffected", 4, None, 160),
+    ("mutationEvidence", "mutantAffected", 4, None, 160),
+    ("mutationGraphEvidence", "availableEvidenceKinds", 2, 1, 120),
+    ("entryGraphEvidence", "availableEvidenceKinds", 2, 1, 120),
+]
+# (section, text, characters)
+EVIDENCE_TEXTS = [
+    ("entry", "entryMethodSignature", 300),
+    ("entry", "recommendedTarget", 160),
+    ("executableTestPlan", "entryCall", 400),
+    ("invocation", "call", 400),
+    ("mutationEvidence", "originCode", 500),
+    ("mutationEvidence", "mutantCode", 500),
+    ("mutationEvidence", "propagationHint", 220),
+    ("codeKbContext", "summary", 260),
+] + [
+    (section, name, chars)
+    for section in ("mutationGraphEvidence", "entryGraphEvidence")
+    for name, chars in (
+        ("role", 220), ("path", 320), ("originPathSummary", 320), ("mutantPathSummary", 320),
+        ("callSiteToMutation", 260), ("entryPathSummary", 320),
+    )
+]
+# (section, object, items of its lists or None for k, characters of its texts)
+EVIDENCE_OBJECTS = [
+    ("executableTestPlan", "branchReachability", 4, 220),
+    ("executableTestPlan", "observable", 4, 220),
+    ("invocation", "receiver", 8, 260),
+    ("publicApiEvidence", "branchReachabilityPlan", 4, 220),
+] + [
+    (section, name, None, 220)
+    for section in ("mutationGraphEvidence", "entryGraphEvidence")
+    for name in ("originGraph", "mutantGraph", "originEntryGraph")
+]
+# lists of objects: (list, which limit, members of an object, characters of a member)
+EVIDENCE_CONTEXT_LISTS = [
+    ("candidateEntries", "entry", 5, 220),
+    ("mutantMethodCalls", "method", 4, 180),
+    ("mutantFieldAccesses", "field", 4, 180),
+    ("affectedFields", "field", 6, 160),
+    ("fieldPropagationCandidates", "entry", 6, 220),
+]
+# plans: all lists keep max(floor, k) items, those of inner objects one less; texts keep 220 characters
+EVIDENCE_PLANS = {
+    2: [
+        "observablePlan", "mutationKillPlan", "inputDistinguishPlan", "propagationPlan", "assertionPlan", "ripExecutionPlan",
+        "observableSelectionPlan", "entryParameterControlPlan", "killabilityPlan", "liftedReachabilityPlan", "evidenceQuality", "apiRoleFacts",
+    ],
+    3: [
+        "primaryChain", "entrySelection", "selectedEntry", "compilationFacts", "observableDifferencePlan", "entryChainPlan",
+        "reachabilityGuardsPlan", "distinguishingInputGuidance", "indirectEntryTestPlan", "symbolicRipPlan", "symbolicFeasibility",
+    ],
+}
+EVIDENCE_PLAN_CHARS = 220
+# (most items, characters of an item) of alternativeChains: by the profile, and above the character limit
+EVIDENCE_CHAINS = (2, 400)
+EVIDENCE_CHAINS_OVER = (1, 360)
+# above the character limit: k of these sections, context limits, plans that are cut to their floor once more
+EVIDENCE_OVER_K = {"mutationGraphEvidence": 1, "entryGraphEvidence": 1, "executableTestPlan": 2, "invocation": 2, "assertions": 2}
+EVIDENCE_OVER_CONTEXT = {"entry": 1, "method": 1, "field": 1}
+EVIDENCE_OVER_PLANS = {
+    2: ["mutationKillPlan", "inputDistinguishPlan", "propagationPlan", "assertionPlan", "ripExecutionPlan", "entryParameterControlPlan"],
+    3: EVIDENCE_PLANS[3],
+}
+# sections that go, tier by tier, while the rest is still too long
+EVIDENCE_TIERS = [
+    ["entryGraphEvidence", "mutationGraphEvidence"],
+    ["publicApiEvidence", "entryEvidence", "mutationEvidence"],
+    ["observableSelectionPlan", "liftedReachabilityPlan"],
+]
+
 # --- fixed values: compile-error kinds, first match wins --------------------
 # (label, alternatives); all words of one alternative must occur in the lower-case text
 COMPILE_ERROR_KINDS = [

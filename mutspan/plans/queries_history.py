@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions import fixed
@@ -374,6 +375,116 @@ def profile_sections(spark, sf):
     return kept.groupBy(F.coalesce("action", F.lit("")).alias("action"), "section").agg(F.count(F.lit(1)).alias("kept"))
 
 
+# evidence made from a document: (section, field, field_no, text or list); repeats make some of it long
+_LINES = ["mutationKillPlan.steps", "publicApiEvidence.antiPatterns", "alternativeChains."]
+_WHOLE = {  # place: repeats of the whole text
+    "entryGraphEvidence.path": 1, "entryGraphEvidence.dump": 5, "publicApiEvidence.source": 3, "entryEvidence.text": 2,
+    "observableSelectionPlan.note": 1, "liftedReachabilityPlan.note": 1, "notes.": 4, "entry.recommendedTarget": 1, "mutationGraphEvidence.dump": 4,
+}
+
+
+def _places():
+    """(section, field, number of the field in its section, repeats of the whole text or 0 for its lines)"""
+    seen, out = {}, []
+    for place in [*_LINES, *_WHOLE]:
+        section, field = place.split(".")
+        out.append((section, field, seen.get(section, 0), _WHOLE.get(place, 0)))
+        seen[section] = seen.get(section, 0) + 1
+    return out
+
+
+def evidence_leaves(docs):
+    """Evidence leaves of every document: its lines in lists, its whole text in single fields, entries as objects."""
+    k = F.col("doc_id") % 8
+    action = F.when(k < 6, v.pick(fixed.EVIDENCE_ACTIONS, k)).when(k == 6, "OTHER")
+    base = docs.select("doc_id", action.alias("action"), "text", F.split("text", "\n").alias("lines"))
+
+    def leaf(section, field, field_no, item_no, member, member_no, text):
+        values = [section, field, field_no, item_no, member, member_no, -1, text, True]
+        return F.struct(*[(x if isinstance(x, Column) else F.lit(x)).alias(c) for c, x in zip(ev.LEAF, values)])
+
+    parts = []
+    for section, field, field_no, repeats in _places():
+        if repeats:
+            text = F.repeat("text", (F.col("doc_id") % repeats + 1).cast("int"))
+            parts.append(F.array(leaf(section, field, field_no, -1, "", -1, text)))
+        else:
+            parts.append(F.transform("lines", lambda x, i: leaf(section, field, field_no, i, "", -1, x)))  # noqa: B023
+    entries = F.transform("lines", lambda x, i: F.array(*[leaf("codeKbContext", "candidateEntries", 0, i, f"m{n}", n, x) for n in range(6)]))
+    return base.select("doc_id", "action", F.explode(F.concat(*parts, F.flatten(entries))).alias("_l")).select("doc_id", "action", "_l.*")
+
+
+def _sql_leaf(section, field, field_no, item_no, member, member_no, text):
+    return f"{{'section': '{section}', 'field': '{field}', 'field_no': {field_no}, 'item_no': {item_no}, 'member': {member}, 'member_no': {member_no}, 'text': {text}}}"
+
+
+_SQL_PARTS = [
+    f"[{_sql_leaf(s, f, n, 'CAST(-1 AS BIGINT)', chr(39) * 2, '-1', f'repeat(text, CAST(doc_id % {r} + 1 AS INT))')}]" if r
+    else f"list_transform(lines, lambda x, i: {_sql_leaf(s, f, n, 'i - 1', chr(39) * 2, '-1', 'x')})"
+    for s, f, n, r in _places()
+] + [f"list_transform(lines, lambda x, i: {_sql_leaf('codeKbContext', 'candidateEntries', 0, 'i - 1', repr(f'm{n}'), n, 'x')})" for n in range(6)]
+_SQL_VALUE = lambda x: "NULL" if x is None else f"'{x}'" if isinstance(x, str) else str(x)
+_SQL_ROWS = lambda rows: ", ".join("(" + ", ".join(map(_SQL_VALUE, r)) + ")" for r in rows)
+_SQL_RULE = "section, rule_field, text_chars, items, item_chars, members, sub_items, sub_chars"
+_SQL_PLANS = ", ".join(f"'{s}'" for names in fixed.EVIDENCE_PLANS.values() for s in names)
+_SQL_CUT = """CASE WHEN {n} IS NULL THEN {t} WHEN length(trim({t}, blanks)) <= {n} OR {n} <= 0 THEN trim({t}, blanks) ELSE trim({t}, blanks)[:{n} - 3] || '...' END"""
+_SQL_CHARS = """length(CAST(to_json({t}) AS VARCHAR)) + CASE WHEN member <> '' THEN length(member) + 3 + CASE WHEN member_no = 0 THEN 2 ELSE 1 END ELSE 0 END
+  + CASE WHEN member_no <= 0 THEN CASE WHEN item_no = 0 THEN 2 WHEN item_no > 0 THEN 1 ELSE 0 END ELSE 0 END
+  + CASE WHEN member_no <= 0 AND item_no <= 0 AND field <> '' THEN length(field) + 3 + CASE WHEN field_no = 0 THEN 2 ELSE 1 END ELSE 0 END
+  + CASE WHEN member_no <= 0 AND item_no <= 0 AND field_no = 0 THEN length(section) + 4 ELSE 0 END"""
+_SQL_LIMIT = "(item_no < 0 OR items IS NULL OR item_no < items) AND (item_no < 0 OR member = '' OR members IS NULL OR member_no < members)"
+_SQL_LETTERS = "CASE WHEN item_no >= 0 AND member <> '' THEN sub_chars WHEN item_no >= 0 THEN item_chars ELSE text_chars END"
+
+
+@query(
+    "W24_capped_evidence",
+    f"""
+WITH texts AS (
+  SELECT doc_id, text, string_split(text, chr(10)) AS lines,
+    CASE WHEN doc_id % 8 < 6 THEN list_extract({v.sql_list(fixed.EVIDENCE_ACTIONS)}, CAST(doc_id % 8 AS INT) + 1) WHEN doc_id % 8 = 6 THEN 'OTHER' END AS action
+  FROM documents
+), leaves AS (
+  SELECT doc_id, action, unnest(flatten([{", ".join(_SQL_PARTS)}]), recursive := true) FROM texts
+), rules AS (
+  SELECT * FROM (VALUES {_SQL_ROWS(ev.profile_rules())}) t(action, {_SQL_RULE})
+), over AS (
+  SELECT * FROM (VALUES {_SQL_ROWS(ev.over_rules())}) t({_SQL_RULE})
+), caps AS (
+  SELECT * FROM (VALUES {_SQL_ROWS([(a, x[0]) for a, x in fixed.PROFILE_LIMITS.items() if x[0] > 0])}) t(action, cap)
+), listed AS (
+  SELECT *, CASE WHEN section IN ({_SQL_PLANS}) THEN '*' ELSE field END AS rule_field, array_to_string(list_transform(range(1, 33), lambda c: chr(CAST(c AS INT))), '') AS blanks
+  FROM leaves WHERE action IS NULL OR (action || '/' || section NOT IN ({", ".join(f"'{a}/{s}'" for a, names in fixed.PROFILE_SECTIONS_LEFT_OUT.items() for s in names)})
+    AND (action NOT IN ({", ".join(f"'{a}'" for a in fixed.PROFILE_SECTIONS_KEPT)}) OR action || '/' || section IN ({", ".join(f"'{a}/{s}'" for a, names in fixed.PROFILE_SECTIONS_KEPT.items() for s in names)})))
+), shown AS (
+  SELECT doc_id, action, section, field, field_no, item_no, CASE WHEN items = 0 THEN '' ELSE member END AS member, member_no, blanks, rule_field, items = 0 AS emptied,
+    {_SQL_CUT.format(t="text", n=f"({_SQL_LETTERS})")} AS text
+  FROM listed LEFT JOIN rules USING (action, section, rule_field) WHERE ({_SQL_LIMIT}) OR (items = 0 AND item_no = 0)
+), cut AS (
+  SELECT shown.*, {_SQL_CUT.format(t="text", n=f"({_SQL_LETTERS})")} AS short, {_SQL_LIMIT} AS stays,
+    CASE section {" ".join(f"WHEN '{s}' THEN {i}" for i, names in enumerate(fixed.EVIDENCE_TIERS, start=2) for s in names)} ELSE 0 END AS tier
+  FROM shown LEFT JOIN over USING (section, rule_field)
+), sized AS (
+  SELECT *, CASE WHEN emptied THEN {_SQL_CHARS.format(t="''")} - 2 ELSE {_SQL_CHARS.format(t="text")} END AS a,
+    CASE WHEN NOT stays THEN 0 WHEN emptied THEN {_SQL_CHARS.format(t="''")} - 2 ELSE {_SQL_CHARS.format(t="short")} END AS b FROM cut
+), sums AS (
+  SELECT doc_id, action, cap, sum(a) + 1 AS c0, sum(b) + 1 AS c1, sum(b) FILTER (tier <> 2) + 1 AS c2, sum(b) FILTER (tier NOT IN (2, 3)) + 1 AS c3,
+    sum(b) FILTER (tier = 0) + 1 AS c4 FROM sized LEFT JOIN caps USING (action) GROUP BY ALL
+), levels AS (
+  SELECT *, CASE WHEN cap IS NULL OR c0 <= cap THEN 0 WHEN c1 <= cap THEN 1 WHEN c2 <= cap THEN 2 WHEN c3 <= cap THEN 3 ELSE 4 END AS level FROM sums
+)
+SELECT doc_id, coalesce(l.action, '') AS action, level, CAST(c0 AS BIGINT) AS chars_before, CAST([c0, c1, c2, c3, c4][level + 1] AS BIGINT) AS chars, count(*) AS leaves,
+  CAST(sum(CAST('0x' || md5(section || '|' || field || '|' || item_no || '|' || member || '|' || CASE WHEN emptied THEN '' WHEN level > 0 THEN short ELSE text END)[:8] AS BIGINT)) AS BIGINT) AS content
+FROM levels l JOIN sized USING (doc_id) WHERE level = 0 OR (stays AND (tier = 0 OR tier > level)) GROUP BY ALL""",
+)
+def capped_evidence(spark, sf):
+    """Evidence of every document under its action's character limit; content is a sum of digests of all that stays."""
+    rows, levels = ev.capped_evidence(evidence_leaves(table(spark, sf, "documents")), "doc_id")
+    place = F.concat_ws("|", "section", "field", "item_no", "member", F.coalesce("text", F.lit("")))
+    digest = F.conv(F.substring(F.md5(place), 1, 8), 16, 10).cast("long")
+    kept = rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("leaves"), F.sum(digest).alias("content"))
+    return levels.join(kept, "doc_id").select("doc_id", F.coalesce("action", F.lit("")).alias("action"), "level", "chars_before", "chars", "leaves", "content")
+
+
 _TESTS = ["x = 1;", "assertTrue(true);", "assertNotNull(x); assertNotNull(y);", "assertEquals(1, f(x)); assertTrue(true);", "assertSame(a, b);", "assertFalse(\"m\", false); assertTrue(true);", "fail();"]
 
 
