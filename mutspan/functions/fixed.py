@@ -318,6 +318,34 @@ PROFILE_SECTIONS_KEPT = {
     ],
 }
 
+# --- fixed values: texts of fallback witnesses and propagation reasons -----------
+WITNESS_TEXTS = {
+    "static_receiver": "No receiver object is required for static entry {signature}.",
+    "constructor_receiver": "{owner} subject = new {owner}(/* constructor args */);",
+    "live_receiver": "{owner} subject = /* construct a live receiver for {signature} */;",
+    "no_predicates": "Shape the receiver so the mutation-sensitive branch can execute.",
+    "predicates": "Satisfy the path predicates before the mutation-sensitive call.",
+    "sink": "Observe the {kind} sink after invoking {call}.",
+    "no_arguments": "No call arguments are required for {signature}; the witness depends on receiver state.",
+    "argument": "{type} arg{number} = /* type-compatible value that preserves the path predicates */;",
+    "keep_conditions": "Arguments should preserve the relevant conditions rather than short-circuiting the target branch.",
+    "returned_value": "Choose argument values that make the returned value distinguish original from mutant.",
+    "constructor_call": "new {owner}(/* args */)",
+    "static_call": "{owner}.{name}(/* args */)",
+    "instance_call": "subject.{name}(/* args */)",
+    "original_outcome": "{kind} original outcome",
+    "mutant_outcome": "different mutant outcome",
+    "return_assertion": 'assertNotEquals("mutant should alter the returned value", /* originalExpected */, {call});',
+    "other_assertion": "// Invoke {call} and assert the observable {expression} with a mutation-sensitive expectation.",
+    "reason": "fallback witness built from ranked entry/observable candidates",
+}
+RETURN_REASON = "mutated method returns a value directly observable by the test"
+PROPAGATION_TEXTS = {
+    "access": "method {signature} {kind}s affected field '{field}'",
+    "returns": "non-void return can expose propagated state",
+    "visible": "{visibility} visibility makes it a better test entry than private helpers",
+}
+
 # --- fixed values: how a profile shortens the parts of evidence -----------------
 # k is the action's graph list limit; lists keep max(least, k + more) items, or `least` where more is None
 # (section, list, least, more, characters of an item)
