@@ -158,10 +158,15 @@ def loop_statistics(df: DataFrame, by: list[str] | None = None) -> DataFrame:
     latest = keyed.groupBy(*keys).agg(
         F.max_by(F.struct("compile_success", "killed", "target_status"), LINE).alias("r")
     )
+    return latest.groupBy(*(by or [])).agg(*loop_counts())
+
+
+def loop_counts() -> list[Column]:
+    """Aggregates over the newest record ``r`` of each task."""
     executed = status.is_executed("r.target_status")
     upper = F.upper(safe("r.target_status"))
     dead = is_true("r.killed")
-    return latest.groupBy(*(by or [])).agg(
+    return [
         F.count(F.lit(1)).alias("total_mutants"),
         F.count_if(is_true("r.compile_success")).alias("compiled"),
         F.count_if(executed).alias("executed"),
@@ -169,7 +174,7 @@ def loop_statistics(df: DataFrame, by: list[str] | None = None) -> DataFrame:
         F.count_if(executed & ~dead & (upper == fixed.SURVIVED)).alias("survived"),
         F.count_if(executed & ~dead & (upper == fixed.EQUIVALENT_SUSPECTED)).alias("equivalent_suspected"),
         F.count_if(~executed).alias("not_executed"),
-    )
+    ]
 
 
 def operator_families(df: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from ..functions.attribution import Targets
@@ -11,7 +12,7 @@ from ..operators import upserts as up
 from ..operators.killmatrix import unpivot_matrix
 from ..session import shared_folder
 from ..sources import readers, schemas, sinks
-from ..streaming import jobs
+from ..streaming import commits, jobs, mutants, rounds
 from . import queries_facts, queries_history, queries_merge, queries_status
 from . import views as v
 from .registry import query
@@ -310,3 +311,98 @@ def streamed_loop_statistics(spark, sf):
     by = ["run_id", "outer_loop_round"]
     _run(jobs.write_updates(jobs.task_state(_event_stream(spark, sf), by), f"{root}/out", f"{root}/checkpoint"))
     return tj.loop_statistics(jobs.read_state(spark, f"{root}/out", [*by, "task_id"]), by)
+
+
+def _in_batches(spark, rows, batch, count):
+    """A folder with one file per micro-batch, in batch order; batch numbers the rows from 0."""
+    path = f"{shared_folder(spark, 'batches')}/in"
+    numbered = rows.withColumn("_batch", batch)
+    for i in range(count):
+        numbered.filter(F.col("_batch") == i).drop("_batch").coalesce(1).write.mode("append").parquet(path)
+    return path
+
+
+def _stream_of(spark, path, like):
+    return jobs.parquet_stream(spark, path, like, files_per_batch=1)
+
+
+def _timed(log):
+    """The log with its times as instants, whatever zone the session has."""
+    since = "timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', generated_at)"
+    return log.withColumn("generated_at", F.timestamp_micros(F.expr(since)))
+
+
+def _five_days():
+    """Micro-batch of an event: five days of the month each."""
+    return F.least(F.lit(5), F.floor((F.dayofmonth("ts") - 1) / 5)).cast("int")
+
+
+@query(
+    "T2_expiring_mutant_state",
+    "SELECT mutant_id, arg_max(target_status, line_no) AS last_status, max(line_no) AS last_line_no, bool_or(killed) AS killed_ever FROM v_traj GROUP BY 1",
+    ("v_traj",),
+)
+def expiring_mutant_state(spark, sf):
+    """Six micro-batches; killed mutants leave the state after a day without records."""
+    events = table(spark, sf, "events")
+    stream = _timed(v.traj_of(_stream_of(spark, _in_batches(spark, events, _five_days(), 6), events)))
+    root = shared_folder(spark, "stream")
+    _run(jobs.write_updates(mutants.mutant_status(stream, "generated_at", "1 hour", 86_400_000), f"{root}/out", f"{root}/checkpoint"))
+    return mutants.read_mutant_status(spark, f"{root}/out")
+
+
+@query(
+    "T5_closed_rounds",
+    """
+WITH rows AS (
+  SELECT *, date_trunc('day', generated_at) AS day, user_id % 50 = 0 AND day(generated_at) <= 10 AS missed FROM v_traj
+), latest AS (
+  SELECT *, target_status IN ('KILLED', 'SURVIVED', 'ORIGINAL_FAILED') AS e FROM (
+    SELECT *, row_number() OVER (PARTITION BY day, run_id, outer_loop_round, task_id ORDER BY line_no DESC) AS rn FROM rows WHERE NOT missed) WHERE rn = 1
+), counts AS (
+  SELECT day, run_id, outer_loop_round, count(*) FILTER (NOT missed) AS records, count(*) FILTER (missed) AS late FROM rows
+  WHERE day + INTERVAL 1 DAY <= (SELECT max(generated_at) FROM v_traj) - INTERVAL 3 DAY GROUP BY ALL
+)
+SELECT strftime(day, '%Y-%m-%d') AS day, run_id, outer_loop_round, records, late, count(task_id) AS total_mutants, count_if(compile_success) AS compiled, count_if(e) AS executed, count_if(e AND killed) AS killed,
+  count_if(e AND NOT killed AND target_status = 'SURVIVED') AS survived, count_if(false) AS equivalent_suspected, count_if(NOT e) AS not_executed
+FROM counts LEFT JOIN latest USING (day, run_id, outer_loop_round) GROUP BY ALL""",
+    ("v_traj",),
+)
+def closed_rounds(spark, sf):
+    """Six micro-batches: one user in fifty's records of the first days come last, those of others near the end of a batch in the next one."""
+    events = table(spark, sf, "events")
+    day, user = F.dayofmonth("ts"), F.col("user_id") % 50
+    soon = F.least(F.lit(5), _five_days() + 1)
+    batch = F.when((user == 0) & (day <= 10), 5).when((user == 1) & (day % 5 == 0), soon).otherwise(_five_days())
+    stream = _timed(v.traj_of(_stream_of(spark, _in_batches(spark, events, batch, 6), events)))
+    root = shared_folder(spark, "stream")
+    _run(jobs.write_updates(rounds.closed_rounds(stream, "generated_at", "3 days"), f"{root}/out", f"{root}/checkpoint", "append"))
+    closed = spark.read.parquet(f"{root}/out").drop(jobs.BATCH)
+    late = rounds.late_records(_timed(v.v_traj(spark, sf)), closed, "generated_at")
+    counts = [c for c in closed.columns if c != "window"]
+    met = closed.join(late, ["window", *rounds.ROUND], "full").fillna(0, [*counts[2:], "late"])
+    day = F.date_from_unix_date(F.floor(F.unix_seconds("window.start") / 86_400).cast("int")).cast("string")
+    return met.select(day.alias("day"), *counts, "late")
+
+
+@query("T6_resumed_log", "SELECT line_no, mutant_id, target_status, killed FROM v_traj", ("v_traj",))
+def resumed_log(spark, sf):
+    """Six micro-batches; the third fails after its rows are written and before it is listed, then the stream starts again."""
+    events = table(spark, sf, "events")
+    path = _in_batches(spark, events, _five_days(), 6)
+    root = shared_folder(spark, "stream")
+    columns = ["line_no", "mutant_id", "target_status", "killed"]
+
+    def start(before_commit=None):
+        rows = v.traj_of(_stream_of(spark, path, events)).select(*columns)
+        _run(commits.write_committed(rows, f"{root}/out", f"{root}/checkpoint", before_commit=before_commit))
+
+    def fail(batch_id):
+        if batch_id == 2:
+            raise RuntimeError("stopped between writing and listing")
+
+    try:
+        start(fail)
+    except StreamingQueryException:
+        start()
+    return commits.read_committed(spark, f"{root}/out", "line_no long, mutant_id string, target_status string, killed boolean")
