@@ -1,17 +1,20 @@
 """Substring deduplication by super-k-mer partitioning.
 
 A window is WINDOW consecutive words of one document. Its minimiser is the
-smallest hash among its GRAM-word grams (the leftmost of equal ones, a function
-of the window's words alone); consecutive windows with the same minimiser
-position form a super-k-mer. Equal windows share the minimiser's value, so:
-
-1. every document sends (bucket, start, windows) per super-k-mer, no text;
-2. buckets met only once hold no repeated window and go no further (equal
-   windows of one super-k-mer would have their minimisers at two positions);
+smallest hash among its GRAM-word grams (a function of the window's words
+alone); consecutive windows whose minimisers have one value form a
+super-k-mer, so a run of one word or phrase is a single one. Equal windows share
+the minimiser's value, so:
+
+1. every document sends (bucket, start, windows, several) per super-k-mer, no
+   text; several: its minimiser stands at more than one position;
+2. a bucket met only once, and not at several positions, holds no repeated
+   window and goes no further;
 3. the others travel as one packed string to their bucket, where sorting the
    windows counts them exactly, word by word;
-4. a bucket with over HOT super-k-mers is not sent to one task: its windows are
-   counted by a grouped aggregate on the whole window instead, equally exact;
+4. a bucket with over HOT windows is not sent to one task: the distinct windows
+   of each super-k-mer are counted by a grouped aggregate on the whole window
+   instead, equally exact, and meet their counts in salted parts;
 5. documents drop each word that a repeated window covers.
 
 Documents are known by (doc_id, hash of the text): rows that agree in both get
@@ -24,7 +27,9 @@ are carried by the caller; an empty table gives no rows.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import itertools
+from collections import defaultdict
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -36,8 +41,9 @@ from mutspan.llm.common import Block, Words, binary_rows, blocks, mix, spread_ra
 _U = np.uint64
 WINDOW = 35
 GRAM = 4
-#: Super-k-mers that one bucket sorts in memory.
-HOT = 20_000
+#: Windows that one bucket sorts in memory.
+HOT = 200_000
+SALTS = 32
 _LOW = _U((1 << 24) - 1)
 
 
@@ -60,12 +66,12 @@ class Packed:
         self.buffer[spread_ranges(self.starts, lengths)] = block.data[spread_ranges(words.starts, lengths)]
 
 
-def super_kmers(packed: Packed, window: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(bucket, first window's word, number of windows) of each super-k-mer of a block; words count over the block."""
+def super_kmers(packed: Packed, window: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(bucket, first window's word, number of windows, minimiser at several positions) of a block's super-k-mers; words count over the block."""
     h = packed.words.hashes()
     n = len(h)
     if n < window:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
     value = np.zeros(n - gram + 1, _U)
     for j in range(gram):
         value = mix(value * _U(0x9E3779B97F4A7C15) + h[j : n - gram + 1 + j])
@@ -81,28 +87,29 @@ def super_kmers(packed: Packed, window: int, gram: int) -> tuple[np.ndarray, np.
     ends = packed.ranges[1:]
     inside = first + window <= ends[np.searchsorted(ends, first, "right")] if len(ends) else np.zeros(0, bool)
     good = np.flatnonzero(inside)
+    at = at[good]
     changed = np.ones(len(good), bool)
-    changed[1:] = (at[good][1:] != at[good][:-1]) | (np.diff(good) > 1)
+    changed[1:] = (value[at[1:]] != value[at[:-1]]) | (np.diff(good) > 1)
     begin = np.flatnonzero(changed)
     count = np.diff(np.append(begin, len(good)))
-    return value[at[good[begin]]].view(np.int64), good[begin], count
+    return value[at[begin]].view(np.int64), good[begin], count, at[begin] != at[begin + count - 1]
 
 
 def listed(docs: DataFrame, window: int, gram: int) -> DataFrame:
-    """(bucket, key, start, windows) per super-k-mer."""
+    """(bucket, key, start, windows, several) per super-k-mer."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches):
             packed = Packed(block)
-            bucket, start, count = super_kmers(packed, window, gram)
+            bucket, start, count, several = super_kmers(packed, window, gram)
             doc = np.searchsorted(packed.ranges, start, "right") - 1
             keys = block.rows.column(1).to_numpy(zero_copy_only=False)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(bucket), pa.array(keys[doc], pa.int64()), pa.array((start - packed.ranges[doc]).astype(np.int32)), pa.array(count.astype(np.int32))],
-                names=["bucket", "key", "start", "windows"],
+                [pa.array(bucket), pa.array(keys[doc], pa.int64()), pa.array((start - packed.ranges[doc]).astype(np.int32)), pa.array(count.astype(np.int32)), pa.array(several)],
+                names=["bucket", "key", "start", "windows", "several"],
             )
 
-    return docs.select("text", "key").mapInArrow(run, "bucket long, key long, start int, windows int")
+    return docs.select("text", "key").mapInArrow(run, "bucket long, key long, start int, windows int, several boolean")
 
 
 def packed_strings(docs: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
@@ -132,14 +139,25 @@ def packed_strings(docs: DataFrame, wanted: DataFrame, window: int) -> DataFrame
     return met.mapInArrow(run, "bucket long, key long, start int, packed binary")
 
 
-def windows_of(packed: bytes, window: int) -> list[bytes]:
-    words = packed.split(b" ")
-    return [b" ".join(words[i : i + window]) for i in range(len(words) - window + 1)]
+def windows_of(packed: bytes, window: int) -> Iterator[tuple[bytes, int]]:
+    """(window, place) of every window of a packed string."""
+    ends = np.flatnonzero(np.frombuffer(packed + b" ", np.uint8) == 0x20)
+    begins = np.concatenate([[0], ends[:-1] + 1])
+    for i, (a, b) in enumerate(zip(begins[: len(ends) - window + 1].tolist(), ends[window - 1 :].tolist())):
+        yield packed[a:b], i
+
+
+def grouped(windows: Iterable[tuple[bytes, int]], start: int) -> dict[bytes, list[int]]:
+    """Starts of each distinct window."""
+    places = defaultdict(list)
+    for text, at in windows:
+        places[text].append(start + at)
+    return places
 
 
 def repeated_in_bucket(rows: list[tuple[int, int, bytes]], window: int) -> list[tuple[int, int]]:
     """(key, start) of windows in (key, start, packed) rows of one bucket that occur twice or more."""
-    found = sorted((text, key, start + i) for key, start, packed in rows for i, text in enumerate(windows_of(packed, window)))
+    found = sorted((text, key, start + i) for key, start, packed in rows for text, i in windows_of(packed, window))
     out = []
     for k, (text, key, start) in enumerate(found):
         if k and found[k - 1][0] == text or k + 1 < len(found) and found[k + 1][0] == text:
@@ -148,7 +166,7 @@ def repeated_in_bucket(rows: list[tuple[int, int, bytes]], window: int) -> list[
 
 
 def repeated_windows(keyed: DataFrame, wanted: DataFrame, window: int, hot: int) -> DataFrame:
-    """(key, start) of every repeated window of the wanted super-k-mers (bucket, n, key, start, windows)."""
+    """(key, start) of every repeated window of the wanted super-k-mers (bucket, n, key, start, windows); n: windows of the bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bucket, rows = None, []
@@ -161,10 +179,9 @@ def repeated_windows(keyed: DataFrame, wanted: DataFrame, window: int, hot: int)
             return batch
 
         def close() -> None:
-            if len(rows) > 1:
-                for key, start in repeated_in_bucket(rows, window):
-                    keys.append(key)
-                    starts.append(start)
+            for key, start in repeated_in_bucket(rows, window):
+                keys.append(key)
+                starts.append(start)
 
         for batch in batches:
             for b, key, start, packed in zip(*(c.to_pylist() for c in batch.columns)):
@@ -184,23 +201,28 @@ def repeated_windows(keyed: DataFrame, wanted: DataFrame, window: int, hot: int)
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for key, start, packed in zip(*(c.to_pylist() for c in batch.columns)):
-                texts = windows_of(packed, window)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([key] * len(texts), pa.int64()), pa.array(range(start, start + len(texts)), pa.int32()), pa.array(texts, pa.binary())],
-                    names=["key", "start", "text"],
-                )
+                found = windows_of(packed, window)
+                while places := grouped(itertools.islice(found, 20_000), start):
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([key] * len(places), pa.int64()), pa.array(places.values(), pa.list_(pa.int32())), pa.array(places, pa.binary())],
+                        names=["key", "starts", "text"],
+                    )
 
-    large = packed_strings(keyed, wanted.where(F.col("n") > hot), window).select("key", "start", "packed").mapInArrow(explode, "key long, start int, text binary")
-    twice = large.groupBy("text").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).select("text")
-    return in_buckets.union(large.join(twice, "text", "left_semi").select("key", "start"))
+    large = packed_strings(keyed, wanted.where(F.col("n") > hot), window).select("key", "start", "packed").mapInArrow(explode, "key long, starts array<int>, text binary")
+    large = large.withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(SALTS)).cast("int"))
+    # a window may be in a third of all documents: counts meet first, then its rows in salted parts
+    sums = large.groupBy("text", "salt").agg(F.sum(F.size("starts")).alias("n")).groupBy("text").agg(F.sum("n").alias("n"), F.collect_list("salt").alias("salts"))
+    twice = sums.where(F.col("n") > 1).select("text", F.explode("salts").alias("salt"))
+    return in_buckets.union(large.join(twice, ["text", "salt"], "left_semi").select("key", F.explode("starts").alias("start")))
 
 
 def repeated_starts(keyed: DataFrame, window: int, gram: int, hot: int) -> DataFrame:
     """(key, starts): first words of the repeated windows of each document that has any."""
     parts = listed(keyed, window, gram)
     # both are written: the join can then split a hot bucket, and what follows does not list again
-    often = staged(parts.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1), "buckets")
-    wanted = staged(parts.join(often, "bucket"), "wanted")
+    met = parts.groupBy("bucket").agg(F.sum("windows").alias("n"), F.count(F.lit(1)).alias("times"), F.bool_or("several").alias("again"))
+    often = staged(met.where((F.col("times") > 1) | F.col("again")).select("bucket", "n"), "buckets")
+    wanted = staged(parts.drop("several").join(often, "bucket"), "wanted")
     found = repeated_windows(keyed, wanted, window, hot)
     return found.groupBy("key").agg(F.collect_set("start").alias("starts"))
 

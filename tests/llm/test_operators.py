@@ -231,6 +231,27 @@ def test_substring_dedup(spark, hot):
     assert substring_dedup.cleaned(documents(spark, ["a"]).limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("hot", [200_000, 1])
+def test_substring_dedup_of_periodic_text(spark, hot):
+    rnd = random.Random(9)
+    words = [f"w{i}" for i in range(60)]
+    line = " ".join(rnd.choices(words, k=14))
+    texts = ["again " * n for n in (5, 12, 13, 400)] + ["one two " * n for n in (3, 7, 300)] + [f"{line}\n" * n for n in (1, 2, 40)]
+    texts += [" ".join(rnd.choices(words, k=20)) + f" {line} {line} " + " ".join(rnd.choices(words, k=20)) for _ in range(12)]
+    texts += ["tick tock " * 60 + " ".join(rnd.choices(words, k=30)) for _ in range(12)]
+    rows = substring_dedup.cleaned(documents(spark, texts), 12, 4, hot).collect()
+    assert {r.row.doc_id: (r.n_words, r.n_removed, r.kept) for r in rows} == dict(enumerate(brute_removed(texts, 12)))
+
+
+def test_super_kmers_of_periodic_text_are_few(spark):
+    texts = ["again " * 3000, "one two " * 1500, "a b c d e f g " * 400, " ".join(f"w{i}" for i in range(3000))]
+    listed = substring_dedup.listed(substring_dedup.with_key(documents(spark, texts)), 35, 4).groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum("windows").alias("w"))
+    by_key = {r.key: r for r in listed.collect()}
+    keys = {r.row.doc_id: r.key for r in substring_dedup.with_key(documents(spark, texts)).collect()}
+    assert [by_key[keys[i]].n for i in range(3)] == [1, 1, 1] and 100 < by_key[keys[3]].n < 400
+    assert [by_key[keys[i]].w for i in range(4)] == [2966, 2966, 2766, 2966]
+
+
 def brute_components(texts):
     lower = ["".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "") for t in texts]
     sets = []
