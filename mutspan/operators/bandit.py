@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed
@@ -207,22 +207,54 @@ def compatible_models(models: DataFrame, encoding: str, dim: int | None = None)
     )
 
 
+def solved_models(models: DataFrame, dim: int) -> DataFrame:
+    """Adds theta = A^-1 b and root, the rows of L^-1 where A = L L', to models with a (flat) and b.
+
+    L is a Cholesky factor: a fold over its rows, each a fold over the entries
+    before it. With root = L^-1, x' A^-1 x is the squared length of root x. A is
+    ridge I plus a sum of squares, so no pivot can vanish.
+    """
+    numbers = F.array().cast("array<double>")
+    matrix = F.array().cast("array<array<double>>")
+    upto = lambda n: F.sequence(F.lit(0), n)
+    dot = lambda u, w: F.aggregate(F.zip_with(u, w, lambda x, y: x * y), F.lit(0.0), lambda t, z: t + z)
+
+    def entry(lower: Column, row: Column, i: Column, j: Column) -> Column:
+        other = F.when(i == j, row).otherwise(F.slice(F.get(lower, j), F.lit(1), F.size(row)))
+        rest = F.get("a", i * dim + j) - dot(row, other)
+        return F.when(i == j, F.sqrt(rest)).otherwise(rest / F.get(F.get(lower, j), j))
+
+    def factor_row(lower: Column, i: Column) -> Column:
+        return F.aggregate(upto(i), numbers, lambda row, j: F.concat(row, F.array(entry(lower, row, i, j))))
+
+    def inverse_row(lower: Column, done: Column, i: Column) -> Column:
+        unit = F.transform(upto(F.lit(dim - 1)), lambda k: F.when(k == i, F.lit(1.0)).otherwise(F.lit(0.0)))
+        weights = F.slice(F.get(lower, i), F.lit(1), i)  # entries left of the diagonal, as many as rows are done
+        pairs = F.arrays_zip(weights.alias("w"), done.alias("m"))
+        rest = F.aggregate(pairs, unit, lambda row, p: F.zip_with(row, p["m"], lambda x, y: x - p["w"] * y))
+        return F.transform(rest, lambda x: x / F.get(F.get(lower, i), i))
+
+    rows = upto(F.lit(dim - 1))
+    lower = models.withColumn("_lower", F.aggregate(rows, matrix, lambda done, i: F.concat(done, F.array(factor_row(done, i)))))
+    inverse = lower.withColumn("root", F.aggregate(rows, matrix, lambda done, i: F.concat(done, F.array(inverse_row(F.col("_lower"), done, i)))))
+    part = inverse.withColumn("_y", F.transform("root", lambda r: dot(r, F.col("b"))))
+    theta = F.transform(rows, lambda j: dot(F.transform("root", lambda r: F.get(r, j)), F.col("_y")))
+    return part.withColumn("theta", theta).drop("_lower", "_y")
+
+
 def linear_scores(contexts: DataFrame, models: DataFrame, dim: int, alpha: float = 0.5, ridge: float = 1.0, id_column: str = "context_id") -> DataFrame:
     """Best action per context by x'theta + alpha sqrt(x' A^-1 x).
 
-    The model table has one row per action (six) of fixed size; it is solved once
-    on the driver and travels with the tasks. Actions without a model start at
+    The model table has one row per action (six) of fixed size; it is solved by
+    `solved_models` and travels with the tasks. Actions without a model start at
     ridge I. The first action wins ties.
     """
     # at most one row per action of the fixed list, each dim x dim numbers
-    stored = {r["action"]: (np.array(r["a"]), np.array(r["b"])) for r in models.filter(F.col("action").isin(fixed.EVIDENCE_ACTIONS)).collect()}
-    thetas, inverses = [], []
-    for action in fixed.EVIDENCE_ACTIONS:
-        a, b = stored.get(action, (ridge * np.eye(dim).ravel(), np.zeros(dim)))
-        inverse = np.linalg.inv(a.reshape(dim, dim))
-        inverses.append(inverse)
-        thetas.append(inverse @ b)
-    theta = np.stack(thetas)
+    solved = solved_models(models.filter(F.col("action").isin(fixed.EVIDENCE_ACTIONS)), dim).select("action", "theta", "root")
+    stored = {r["action"]: (np.array(r["theta"]), np.array(r["root"])) for r in solved.collect()}
+    new = np.zeros(dim), np.eye(dim) / np.sqrt(ridge)
+    theta = np.stack([stored.get(action, new)[0] for action in fixed.EVIDENCE_ACTIONS])
+    roots = [stored.get(action, new)[1] for action in fixed.EVIDENCE_ACTIONS]
     names = np.array(fixed.EVIDENCE_ACTIONS, dtype=object)
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -230,8 +262,8 @@ def linear_scores(contexts: DataFrame, models: DataFrame, dim: int, alpha: float
             if not len(batch):
                 continue
             x = vectors(batch["x"], dim)
-            width = np.stack([np.einsum("ni,ij,nj->n", x, inv, x) for inv in inverses], axis=1)
-            values = x @ theta.T + alpha * np.sqrt(np.maximum(0.0, width))
+            width = np.stack([((x @ root.T) ** 2).sum(axis=1) for root in roots], axis=1)
+            values = x @ theta.T + alpha * np.sqrt(width)
             best = values.argmax(axis=1)
             yield pd.DataFrame({"id": batch["id"], "action": names[best], "score": values[np.arange(len(x)), best]})
 

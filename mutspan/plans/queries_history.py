@@ -171,9 +171,32 @@ def linear_statistics(spark, sf):
     return s.withColumn("value", F.round("value", 6))
 
 
-@query("G9_G10_linear_scores")
+@query(
+    "G9_G10_linear_scores",
+    f"""
+WITH RECURSIVE cells AS (
+  SELECT action, i, j, sum(w * x[i + 1] * x[j + 1]) + CASE WHEN i = j THEN 1.0 ELSE 0.0 END AS value FROM lin_log, range({DIM}) r1(i), range({DIM}) r2(j) GROUP BY action, i, j
+), matrices AS (
+  SELECT action, list(numbers ORDER BY i) AS m FROM (SELECT action, i, list(value ORDER BY j) AS numbers FROM cells GROUP BY ALL) GROUP BY ALL
+), vectors AS (
+  SELECT action, list(value ORDER BY i) AS b FROM (SELECT action, i, sum(w * reward * x[i + 1]) AS value FROM lin_log, range({DIM}) r1(i) GROUP BY ALL) GROUP BY ALL
+), pivots AS (
+  SELECT action, 1 AS k, m FROM matrices
+  UNION ALL SELECT action, k + 1, list_transform(m, lambda r, i: CASE WHEN i = k THEN list_transform(r, lambda y, j: CASE WHEN j = k THEN 1.0 / m[k][k] ELSE y / m[k][k] END)
+    ELSE list_transform(r, lambda y, j: CASE WHEN j = k THEN -r[k] / m[k][k] ELSE y - r[k] * m[k][j] / m[k][k] END) END) FROM pivots WHERE k <= {DIM}
+), models AS (
+  SELECT action, m AS inverse, list_transform(m, lambda r: list_dot_product(r, b)) AS theta FROM pivots JOIN vectors USING (action) WHERE k = {DIM} + 1
+), actions AS (
+  SELECT unnest({v.sql_list(fixed.EVIDENCE_ACTIONS)}) AS action, unnest(range({len(fixed.EVIDENCE_ACTIONS)})) AS place
+), scores AS (
+  SELECT vec_id AS context_id, action, place, coalesce(list_dot_product(x, theta), 0.0)
+    + 0.5 * sqrt(CASE WHEN inverse IS NULL THEN list_dot_product(x, x) ELSE list_dot_product(x, list_transform(inverse, lambda r: list_dot_product(r, x))) END) AS score
+  FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings), actions LEFT JOIN models USING (action)
+)
+SELECT context_id, action, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY context_id ORDER BY score DESC, place) AS rn FROM scores) WHERE rn = 1""",
+    ("lin_log",),
+)
 def linear_scores(spark, sf):
-    """No SQL: needs a matrix inverse; tests compare with numpy."""
     log = _linear_log(spark, sf)
     models = bd.model_table(bd.linear_statistics(bd.policy_rows(log), DIM), "SIX_CLASS", DIM)
     usable = bd.compatible_models(models, "SIX_CLASS", DIM)

@@ -102,6 +102,19 @@ def test_linear_scores_match_numpy(spark):
         assert got[i][0] == best[0] and got[i][1] == pytest.approx(best[1])
 
 
+def test_solved_models_match_numpy(spark):
+    rng = np.random.default_rng(4)
+    rows = []
+    for name, d in (("a", 7), ("b", 7)):
+        x = rng.normal(size=(20, d))
+        rows.append((name, (np.eye(d) + x.T @ x).ravel().tolist(), rng.normal(size=d).tolist()))
+    models = spark.createDataFrame(rows, "action string, a array<double>, b array<double>")
+    for r in bandit.solved_models(models, 7).collect():
+        a, root = np.array(r["a"]).reshape(7, 7), np.array(r["root"])
+        assert np.allclose(np.triu(root, 1), 0) and np.allclose(root.T @ root, np.linalg.inv(a))
+        assert np.allclose(r["theta"], np.linalg.solve(a, r["b"]))
+
+
 def test_policy_prefers_exact_then_coarse_then_global(spark):
     log = spark.createDataFrame(
         [("COMPACT", 9.0, "c1", "e1")] * 5 + [("ENTRY_HEAVY", 1.0, "c1", "e2")] * 6 + [("BASELINE", 20.0, "c2", "e3")],
