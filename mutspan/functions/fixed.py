@@ -318,6 +318,9 @@ PROFILE_SECTIONS_KEPT = {
     ],
 }
 
+# --- fixed values: marks of a result matrix that take a mutant out of adequate sets
+MUTANT_MARKS = ["y", "n", "?"]
+
 # --- fixed values: texts of fallback witnesses and propagation reasons -----------
 WITNESS_TEXTS = {
     "static_receiver": "No receiver object is required for static entry {signature}.",

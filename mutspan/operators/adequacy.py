@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..functions import fixed
+from ..functions.text import safe
 from ..session import cut_lineage
 
 HASH_BUCKET_DIGITS = 3
@@ -49,6 +51,12 @@ def exact_sample(df: DataFrame, keys: list[str], id_column: str, share: float, s
     return sure.select(*df.columns).unionByName(border.select(*df.columns))
 
 
+def without_marked(kills: DataFrame, marks: DataFrame, keys: list[str]) -> DataFrame:
+    """Kills of mutants without a mark: one that is judged (y, n) or doubtful (?) needs no test."""
+    marked = marks.filter(F.lower(safe("mark")).isin(fixed.MUTANT_MARKS))
+    return kills.join(marked.select(*keys, "mutant"), [*keys, "mutant"], "left_anti")
+
+
 def adequate_sets(kills: DataFrame, keys: list[str], trials: int, seed: str = "cover") -> DataFrame:
     """One random adequate test set per trial and group.
 

@@ -435,15 +435,33 @@ def failure_groups(rows: DataFrame, keep: int, by: list[str] | None = None) -> D
         F.count_if(~is_true("graph_exists")).alias("graph_missing"),
         F.min_by("mutant", F.struct(~preferred, "row_no")).alias("representative"),
     )
-    members = (
-        best_per_key(rows.select(*keys, "row_no", "mutant"), keys, [F.col("row_no")], keep)
-        .groupBy(*keys)
-        .agg(F.array_sort(F.collect_list(F.struct("row_no", "mutant"))).alias("_members"))
-        .select(*keys, F.transform("_members", lambda m: m["mutant"]).alias("members"))
-    )
+    members = first_members(rows, keys, keep).select(*keys, F.transform("_members", lambda m: m["mutant"]).alias("members"))
     return counts.join(members, keys).withColumn("omitted", F.col("mutants") - F.size("members"))
 
 
+def first_members(rows: DataFrame, keys: list[str], keep: int) -> DataFrame:
+    """First ``keep`` (row_no, mutant) of each group, cut before they meet in one row."""
+    first = best_per_key(rows.select(*keys, "row_no", "mutant"), keys, [F.col("row_no")], keep)
+    return first.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("row_no", "mutant"))).alias("_members"))
+
+
+def nested_failures(rows: DataFrame, keep: int, by: list[str] | None = None) -> DataFrame:
+    """Failure groups in the nested form of the grouped file: statistics, representative, first members."""
+    keys = by or ["project", "class_name", "method"]
+    groups = failure_groups(rows, keep, keys).join(first_members(rows, keys, keep), keys)
+    stats = {
+        "mutantCount": "mutants", "javaExistsCount": "java_exists", "classExistsCount": "class_exists",
+        "selectedCompileErrorExistsCount": "error_exists", "graphExistsCount": "graph_exists", "graphMissingCount": "graph_missing",
+    }
+    return groups.select(
+        F.concat_ws("::", *keys).alias("groupKey"), F.col("class_name").alias("className"),
+        F.struct(*[F.col(c).alias(n) for n, c in stats.items()]).alias("stats"),
+        F.struct(F.col("representative").alias("operator")).alias("representative"),
+        F.transform("_members", lambda m: F.struct(m["row_no"].alias("rowIndex"), m["mutant"].alias("operator"))).alias("mutants"),
+        F.col("omitted").cast("long").alias("omittedMutantCount"),
+    )
+
+
 def write_back_suite(log: DataFrame, suites: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
     """Result log with suite fields replaced where a suite row exists."""
     fresh = suites.select(*keys, F.struct(*columns).alias("_suite"))

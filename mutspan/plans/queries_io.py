@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.attribution import Targets
 from ..functions.text import safe
+from ..operators import merge as mg
 from ..operators import trajectory as tj
 from ..operators import upserts as up
 from ..operators.killmatrix import unpivot_matrix
@@ -206,6 +207,146 @@ def artifact_listing(spark, sf):
     return readers.without_excluded(files, "/data/root").groupBy("source").agg(F.count(F.lit(1)).alias("files"))
 
 
+@query(
+    "S1_index_file",
+    """
+SELECT 'f' || row_no AS file_path, operator, CASE WHEN row_no % 4 = 0 THEN -1 ELSE CAST(row_no AS INT) END AS line, method, class_name, project,
+  CASE WHEN row_no % 3 = 0 THEN 'a "quoted", text' || chr(10) || 'of two lines' ELSE '' END AS mutation_statement, CASE WHEN row_no % 2 = 0 THEN 'y' ELSE '' END AS is_killed FROM v_index""",
+    ("v_traj", "v_index"),
+)
+def index_file(spark, sf):
+    """An index file with other header names, number forms, quoted lines and blank rows, read by the index reader."""
+    path, row = shared_folder(spark, "index"), F.col("row_no")
+    line = F.when(row % 4 == 0, "n/a").when(row % 4 == 1, F.concat(row.cast("string"), F.lit(".0"))).otherwise(row.cast("string"))
+    index = v.v_index(v.v_traj(spark, sf)).select(
+        F.concat(F.lit("f"), row.cast("string")).alias("File_Path"), F.col("operator").alias(" OPERATOR"), line.alias("Line_Number"), F.col("method").alias("method"),
+        F.col("class_name").alias("Class"), F.col("project").alias("Project"), F.when(row % 3 == 0, 'a "quoted", text\nof two lines').alias("mutation_statement"),
+        F.when(row % 2 == 0, "y").alias("is_kille"), F.lit("x").alias("unknown column"),
+    )
+    blank = index.select(*[F.lit(" ").alias(c) for c in index.columns])
+    index.unionByName(blank).write.option("header", True).option("quote", '"').option("escape", '"').option("quoteAll", True).csv(path)
+    return readers.mutant_index(spark, path).select("file_path", "operator", "line", "method", "class_name", "project", "mutation_statement", "is_killed")
+
+
+@query(
+    "S2_positional_index_file",
+    "SELECT operator, method, class_name, project, 'f' || row_no AS file_path FROM v_index WHERE row_no % 5 <> 0 AND project IN ('proj1', 'proj2')",
+    ("v_traj", "v_index"),
+)
+def positional_index_file(spark, sf):
+    """An index file read by position, whatever its header says; rows without a full key and other projects go."""
+    path, row = shared_folder(spark, "index"), F.col("row_no")
+    values = {
+        "operator": F.when(row % 5 != 0, F.col("operator")).otherwise(F.lit("  ")), "method": F.col("method"), "class_name": F.col("class_name"),
+        "project": F.col("project"), "file_path": F.concat(F.lit("f"), row.cast("string")),
+    }
+    columns = [values.get(n, F.lit("")).alias(f"column {i}") for i, n in enumerate(readers.INDEX_HEADERS)]
+    v.v_index(v.v_traj(spark, sf)).select(*columns).write.option("header", True).option("quoteAll", True).csv(path)
+    return readers.positional_index(spark, path, ["proj1", "proj2"]).select("operator", "method", "class_name", "project", "file_path")
+
+
+@query(
+    "S9_target_entry_files",
+    """
+SELECT row_no, mutant, test_set_name, mapping_status, compiled, CASE WHEN row_no // 50 % 4 = 3 THEN 'csv' ELSE 'json' END AS origin FROM v_entries""",
+    ("v_entries",),
+)
+def target_entry_files(spark, sf):
+    """A folder per fifty entries: an array alone or under one of two names, with a CSV that must not be read; every fourth folder has a CSV only."""
+    root = shared_folder(spark, "entries")
+    e = v.v_entries(spark, sf).withColumn("pile", F.floor(F.col("row_no") / 50))
+    fields = {
+        "rowIndex": F.col("row_no").cast("string"), "projectName": F.col("project"), "targetClassName": F.concat(F.lit('quoted ", '), "class_name"), "methodSignature": F.col("method"),
+        "mutantName": F.col("mutant"), "testSetName": F.col("test_set_name"), "compiled": F.col("compiled").cast("string"), "mappingStatus": F.col("mapping_status"),
+    }
+    shaped = e.select("pile", *[c.alias(n) for n, c in fields.items()])
+    kind = F.col("pile") % 4
+    entry = lambda origin: F.struct(*[F.col(n) for n in fields if n != "projectName"], F.lit(origin).alias("projectName"))
+    lists = shaped.filter(kind != 3).groupBy("pile").agg(F.to_json(F.collect_list(entry("json"))).alias("list"))
+    named = lambda name: F.concat(F.lit(f'{{"other": 1, "{name}": '), "list", F.lit("}"))
+    text = F.when(kind == 0, F.col("list")).when(kind == 1, named(readers.ENTRY_ARRAYS[0])).otherwise(named(readers.ENTRY_ARRAYS[2]))
+    lists.select("pile", text.alias("value")).write.partitionBy("pile").mode("append").text(root)
+    columns = [F.lit("csv").alias(n) if n == "projectName" else F.col(n) for n in fields]
+    csv = shaped.select("pile", *columns).repartition("pile").write.partitionBy("pile").mode("append")
+    csv.option("header", True).option("quote", '"').option("escape", '"').csv(root)
+    back = readers.target_entries(spark, f"{root}/*/*.txt", f"{root}/*/*.csv")
+    return back.select(
+        F.col("rowIndex").cast("long").alias("row_no"), F.col("mutantName").alias("mutant"), F.col("testSetName").alias("test_set_name"), safe("mappingStatus").alias("mapping_status"),
+        F.col("compiled").cast("boolean").alias("compiled"), F.col("projectName").alias("origin"),
+    )
+
+
+def _artifact_tree(spark, sf):
+    """Files of documents: a folder per place and source, one JSON and one text file in each."""
+    root = shared_folder(spark, "tree")
+    d = table(spark, sf, "documents").select("doc_id", F.concat(F.lit("s"), F.coalesce("source", F.lit(""))).alias("source")).repartition("source")
+    for i, place in enumerate(["main", "Test", "llm/deep", "src/evosuite-like"]):
+        part = d.filter(F.col("doc_id") % 4 == i)
+        part.write.partitionBy("source").json(f"{root}/{place}")
+        part.select("source", F.col("doc_id").cast("string").alias("value")).write.partitionBy("source").text(f"{root}/{place}/texts")
+    return root
+
+
+_TREE_SQL = "SELECT DISTINCT ['main', 'Test', 'deep', 'evosuite-like'][doc_id % 4 + 1] AS place, 's' || coalesce(source, '') AS source FROM documents"
+
+
+@query("S15_artifact_files", f"SELECT place, source, 1::BIGINT AS files, true AS filled FROM ({_TREE_SQL})")
+def artifact_files(spark, sf):
+    """JSON files that exist under a tree: a scan of names and lengths, by suffix."""
+    found = readers.artifacts(spark, _artifact_tree(spark, sf), "*.json")
+    parts = F.regexp_extract("path", r"/([^/]+)/source=([^/]*)/[^/]+$", 1), F.regexp_extract("path", r"/source=([^/]*)/[^/]+$", 1)
+    rows = found.select(parts[0].alias("place"), parts[1].alias("source"), "length")
+    return rows.groupBy("place", "source").agg(F.count(F.lit(1)).alias("files"), F.min(F.col("length") > 0).alias("filled"))
+
+
+@query("S16_source_tree", f"SELECT source, count(*) AS files FROM ({_TREE_SQL}) WHERE place IN ('main', 'evosuite-like') GROUP BY 1")
+def source_tree(spark, sf):
+    """JSON files outside of folders with an excluded name, at any depth."""
+    found = readers.source_files(spark, _artifact_tree(spark, sf), ".json")
+    return found.groupBy(F.regexp_extract("path", r"/source=([^/]*)/[^/]+$", 1).alias("source")).agg(F.count(F.lit(1)).alias("files"))
+
+
+@query(
+    "S20_chunked_export",
+    "SELECT count(*) AS rows, CAST(sum(o_orderkey) AS BIGINT) AS key_sum, true AS all_small, true AS enough_files FROM orders",
+)
+def chunked_export(spark, sf):
+    """An export with a row limit, read back with the row count of every file."""
+    root = shared_folder(spark, "chunks")
+    sinks.write_chunked_csv(table(spark, sf, "orders").select("o_orderkey", "o_orderstatus"), root, 700)
+    back = readers.quoted_csv(spark, root)
+    per_file = back.groupBy(F.col("_metadata.file_path").alias("f")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("o_orderkey").cast("long")).alias("k"))
+    return per_file.agg(
+        F.sum("n").alias("rows"), F.sum("k").alias("key_sum"), (F.max("n") <= 700).alias("all_small"), (F.count(F.lit(1)) * 700 >= F.sum("n")).alias("enough_files")
+    )
+
+
+@query(
+    "S21_grouped_failures",
+    """
+SELECT class_name || '::' || method AS group_key, class_name, count(*) AS mutants, CAST(count_if(compiled) AS BIGINT) AS java_exists, CAST(count_if(original_passed) AS BIGINT) AS error_exists, CAST(count_if(mutant_executed) AS BIGINT) AS graph_exists,
+  arg_min(mutant, CASE WHEN compiled AND original_passed THEN 0 ELSE 1000000000 END + row_no) AS representative,
+  array_to_string(list_slice(list(row_no || '=' || mutant ORDER BY row_no), 1, 4), ',') AS members, count(*) - least(4, count(*)) AS omitted, true AS small_file FROM v_entries GROUP BY class_name, method""",
+    ("v_entries",),
+)
+def grouped_failures(spark, sf):
+    """Nested failure groups written twenty to a file and read back."""
+    root = shared_folder(spark, "failures")
+    rows = v.v_entries(spark, sf).select(
+        "class_name", "method", "mutant", "row_no", F.col("compiled").alias("java_exists"), F.col("compiled").alias("class_exists"),
+        F.col("original_passed").alias("error_exists"), F.col("mutant_executed").alias("graph_exists"),
+    )
+    sinks.write_grouped_json(mg.nested_failures(rows, 4, ["class_name", "method"]), root, 20)
+    back = readers.grouped_failures(spark, root)
+    sizes = back.groupBy("file_path").agg((F.count(F.lit(1)) <= 20).alias("small_file"))
+    members = F.array_join(F.transform("mutants", lambda m: F.concat_ws("=", m["rowIndex"].cast("string"), m["operator"])), ",")
+    return back.join(sizes, "file_path").select(
+        F.col("groupKey").alias("group_key"), F.col("className").alias("class_name"), F.col("stats.mutantCount").alias("mutants"), F.col("stats.javaExistsCount").alias("java_exists"),
+        F.col("stats.selectedCompileErrorExistsCount").alias("error_exists"), F.col("stats.graphExistsCount").alias("graph_exists"), F.col("representative.operator").alias("representative"),
+        members.alias("members"), F.col("omittedMutantCount").alias("omitted"), "small_file",
+    )
+
+
 @query("S17_timing_lines", "SELECT event_type AS phase, count(*) AS events, sum(CAST(floor(value * 100) AS BIGINT)) AS total_ms FROM events GROUP BY 1")
 def timing_lines(spark, sf):
     path = shared_folder(spark, "timing")

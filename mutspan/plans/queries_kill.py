@@ -274,12 +274,49 @@ def _cover(spark, sf, trials):
     return ad.adequate_sets(kills, ["class_name"], trials)
 
 
-@query("G5_adequate_sets")
+# the choice one mutant at a time: a step takes the first open mutant's test and what that test kills
+_COVER_SQL = """
+WITH RECURSIVE edges AS (
+  SELECT DISTINCT class_name, mutant, test FROM v_matrix WHERE kills {where}
+), choices AS (
+  SELECT trial, class_name, mutant, arg_min(test, md5('cover:' || trial || ':' || mutant || ':' || test) || ':' || test) AS test, md5('cover:' || trial || ':' || mutant) || ':' || mutant AS prio
+  FROM edges, (SELECT unnest(range({trials})) AS trial) GROUP BY ALL
+), killers AS (
+  SELECT class_name, test, list(mutant) AS killed FROM edges GROUP BY ALL
+), cover AS (
+  SELECT trial, class_name, list({{'m': mutant, 't': test}} ORDER BY prio) AS left_over, CAST(NULL AS BIGINT) AS mutant, CAST(NULL AS BIGINT) AS test FROM choices GROUP BY ALL
+  UNION ALL
+  SELECT c.trial, c.class_name, list_filter(left_over, lambda x: NOT list_contains(killed, x.m)), left_over[1].m, left_over[1].t
+  FROM cover c JOIN killers k ON k.class_name = c.class_name AND k.test = left_over[1].t WHERE len(left_over) > 0
+)
+"""
+
+
+@query(
+    "G5_adequate_sets",
+    _COVER_SQL.format(where="", trials=2) + "SELECT CAST(trial AS INT) AS trial, class_name, count(*) AS tests FROM cover WHERE mutant IS NOT NULL GROUP BY ALL",
+    ("v_matrix",),
+)
 def adequate_sets(spark, sf):
-    """No SQL: a sequential choice; tests replay it one mutant at a time."""
     return _cover(spark, sf, 2).groupBy("trial", "class_name").agg(F.count(F.lit(1)).alias("tests"))
 
 
+@query(
+    "G5_unmarked_adequate_sets",
+    _COVER_SQL.format(where="AND mutant NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'P' OR o_orderkey % 17 = 0 OR o_orderkey % 19 = 0)", trials=2)
+    + "SELECT CAST(trial AS INT) AS trial, class_name, mutant, test FROM cover WHERE mutant IS NOT NULL",
+    ("v_matrix",),
+)
+def unmarked_adequate_sets(spark, sf):
+    """Tests chosen for the mutants that have no mark, with the mutant each was chosen for."""
+    o, status = F.col("mutant"), F.col("o_orderstatus")
+    orders = table(spark, sf, "orders").withColumn("mutant", F.col("o_orderkey"))
+    mark = F.when(status == "P", "Y").when(o % 17 == 0, "n").when(o % 19 == 0, " ? ").otherwise("")
+    marks = orders.select(F.concat(F.lit("C"), (o % 50).cast("string")).alias("class_name"), "mutant", mark.alias("mark"))
+    kills = v.v_matrix(spark, sf).filter("kills").select("class_name", "mutant", "test")
+    return ad.adequate_sets(ad.without_marked(kills, marks, ["class_name"]), ["class_name"], 2)
+
+
 @query(
     "G6_minimal_sets",
     """

@@ -302,6 +302,11 @@ def without_excluded(files: DataFrame, root: str) -> DataFrame:
     return files.filter(~excluded)
 
 
+def grouped_failures(spark: SparkSession, path) -> DataFrame:
+    """Failure groups of a grouped file, with the file that holds each."""
+    return spark.read.schema(schemas.FAILURE_GROUPS).json(path).select("*", F.col("_metadata.file_path").alias("file_path"))
+
+
 def timing_lines(spark: SparkSession, path) -> DataFrame:
     return parse_timing_lines(spark.read.text(path))
 

@@ -81,3 +81,7 @@ TARGET_ENTRY = (
 )
 
 RUN_SUMMARY = "row_no long, exit_code int, duration_ms long, status string, output string, message string"
+
+FAILURE_GROUPS = """groupKey string, className string,
+  stats struct<mutantCount:long, javaExistsCount:long, classExistsCount:long, selectedCompileErrorExistsCount:long, graphExistsCount:long, graphMissingCount:long>,
+  representative struct<operator:string>, mutants array<struct<rowIndex:long, operator:string>>, omittedMutantCount long"""
