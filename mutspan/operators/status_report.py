@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from ..functions import fixed, status
 from ..functions.compile_errors import coarse_compile_category, compile_error_summary
 from ..functions.keys import id_part, operator_family
 from ..functions.status import is_true
 from ..functions.text import first_non_blank, ratio, safe
-from .ordering import match_in_tiers, ordered_text
+from ..session import cut_lineage
+from .ordering import match_in_tiers, ordered_text, with_position
 from .trajectory import LINE
 
 ARROW = " → "
@@ -140,6 +142,47 @@ def kill_rounds(rows: DataFrame) -> DataFrame:
     return killed.groupBy("final_round").agg(F.count(F.lit(1)).alias("mutants")).orderBy("final_round")
 
 
+def status_trie(df: DataFrame, block: Column | None = None, block_records: int = 100_000) -> DataFrame:
+    """Status paths as a trie: one row per node, with its parent, the mutants through it and those that end there.
+
+    A node stands for a prefix of a path and is known by its depth and by sums of
+    hashes of (position, status). Sums need no order, so a mutant's prefixes come
+    from sums of whole blocks plus running sums inside a block, and no row or
+    task holds a path. Three sums of 31 bits each tell prefixes apart.
+    """
+    placed = with_position(df.select("mutant_id", LINE, safe("target_status").alias("status")), ["mutant_id"], LINE, "depth", block, "records")
+    lanes = [f"_h{i}" for i in range(3)]
+    hashes = {h: F.xxhash64(F.lit(i), "depth", "status").bitwiseAND(F.lit((1 << 31) - 1)) for i, h in enumerate(lanes)}
+    hashed = placed.withColumn("_part", F.floor((F.col("depth") - 1) / block_records)).withColumns(hashes)
+    sums = hashed.groupBy("mutant_id", "_part").agg(*[F.sum(h).alias(h) for h in lanes])
+    before = W.partitionBy("mutant_id").orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    offsets = sums.select("mutant_id", "_part", *[F.coalesce(F.sum(h).over(before), F.lit(0)).alias(f"{h}_before") for h in lanes])
+    inside = W.partitionBy("mutant_id", "_part").orderBy("depth").rowsBetween(W.unboundedPreceding, W.currentRow)
+    running = {f"{h}_to": F.col(f"{h}_before") + F.sum(h).over(inside) for h in lanes}
+    met = hashed.join(offsets, ["mutant_id", "_part"]).withColumns(running)
+    node = lambda depth, values: F.concat_ws("-", depth.cast("string"), *[v.cast("string") for v in values])
+    ends = [F.col(f"{h}_to") for h in lanes]
+    rows = met.select(
+        node(F.col("depth"), ends).alias("node"),
+        F.when(F.col("depth") > 1, node(F.col("depth") - 1, [F.col(f"{h}_to") - F.col(h) for h in lanes])).alias("parent"),
+        "depth", "status", (F.col("depth") == F.col("records")).alias("last"),
+    )
+    return rows.groupBy("node", "parent", "depth", "status").agg(F.count(F.lit(1)).alias("mutants"), F.count_if("last").alias("ending"))
+
+
+def trie_paths(trie: DataFrame, ends: DataFrame) -> DataFrame:
+    """(node, depth, status) of every step on the paths of the asked end nodes (node), from their end to the root."""
+    steps = trie.select(F.col("node").alias("at"), "parent", "depth", "status")
+    open_nodes = ends.select("node", F.col("node").alias("at"))
+    found = None
+    while not open_nodes.isEmpty():
+        met = cut_lineage(open_nodes.join(steps, "at"))
+        part = met.select("node", "depth", "status")
+        found = part if found is None else found.unionByName(part)
+        open_nodes = met.filter(F.col("parent").isNotNull()).select("node", F.col("parent").alias("at"))
+    return found if found is not None else trie.select("node", "depth", "status").limit(0)
+
+
 def status_paths(df: DataFrame, block: Column | None = None) -> DataFrame:
     """Statuses of each mutant's records in order, joined by arrows."""
     return ordered_text(df, ["mutant_id"], LINE, safe("target_status"), ARROW, "pattern", block)

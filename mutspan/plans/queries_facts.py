@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.attribution import Targets
+from ..operators import bicliques as bc
 from ..operators import candidates as cd
 from ..operators import facts as fc
 from ..operators import imports as im
@@ -191,6 +192,47 @@ def propagation_candidates(spark, sf):
     return fc.propagation_candidates(*_facts(spark, sf)).select("anchor_id", "field_id", "method_id", "access_kind", "line_number", "score")
 
 
+@query(
+    "J9_J10_field_reader_sides",
+    """
+WITH seen AS (
+  SELECT DISTINCT m.type_id, f.field_id, f.field_name, m.method_id, m.visibility, m.return_type, x.access_kind, x.line_number
+  FROM v_accesses x JOIN v_fields f USING (field_id) JOIN v_methods m USING (method_id)
+), stacked AS (
+  SELECT DISTINCT type_id, field_id, 'LEFT' AS side, method_id, '' AS access_kind, CAST(-1 AS BIGINT) AS line_number, 0.0::DOUBLE AS score, '' AS reason FROM seen
+  UNION ALL SELECT type_id, field_id, 'RIGHT', method_id, access_kind, line_number,
+    CASE visibility WHEN 'public' THEN 60.0::DOUBLE WHEN 'protected' THEN 45.0 ELSE 35.0 END + CASE WHEN access_kind = 'READ' THEN 80.0 ELSE 35.0 END + CASE WHEN return_type <> 'void' THEN 15.0 ELSE 0.0 END,
+    'uses affected field ''' || field_name || ''' as ' || lower(access_kind) FROM seen WHERE visibility <> 'private'
+)
+SELECT type_id, field_id, side, method_id, access_kind, line_number, score, reason
+FROM (SELECT *, count(DISTINCT side) OVER (PARTITION BY type_id, field_id) AS two FROM stacked) WHERE two = 2""",
+    ("v_methods", "v_fields", "v_accesses"),
+)
+def field_reader_sides(spark, sf):
+    """Both sides of every field that methods of one type share: all propagation pairs in linear size."""
+    rows = bc.field_readers(v.v_methods(spark, sf), v.v_accesses(spark, sf), v.v_fields(spark, sf))
+    none = {"access_kind": "", "line_number": -1, "score": 0.0, "reason": ""}
+    filled = [F.coalesce(c, F.lit(x)).alias(c) for c, x in none.items()]
+    return rows.select("type_id", "field_id", "side", "method_id", *filled).withColumn("line_number", F.col("line_number").cast("long"))
+
+
+@query(
+    "J9_J10_W14_unfolded_readers",
+    f"""
+SELECT p.anchor_id, p.field_id, p.method_id, p.access_kind, p.line_number, p.score, CAST(o.priority AS DOUBLE) AS priority, o.observer_kind,
+  'uses affected field ''' || p.field_name || ''' as ' || lower(p.access_kind) AS reason
+FROM ({_PROPAGATION}) p JOIN v_observers o ON o.anchor_id = p.anchor_id AND o.field_id = p.field_id AND o.method_id = p.method_id AND o.access_kind = p.access_kind
+WHERE p.anchor_id IN (SELECT c_custkey FROM customer)""",
+    ("v_methods", "v_fields", "v_accesses", "v_readers", "v_observers"),
+)
+def unfolded_readers(spark, sf):
+    """Pairs of the methods that hold a mutant: propagation score, observer and reason from one relation."""
+    rows = bc.field_readers(v.v_methods(spark, sf), v.v_accesses(spark, sf), v.v_fields(spark, sf))
+    asked = table(spark, sf, "customer").select(F.col("c_custkey").alias("anchor_id"))
+    columns = ["anchor_id", "field_id", "method_id", "access_kind", "line_number", "score", "priority", "observer_kind", "reason"]
+    return bc.field_reader_pairs(rows, asked).select(*columns)
+
+
 def _located(spark, sf):
     m = v.v_methods(spark, sf)
     return m.select("*", F.lit(1).alias("variant_id"), F.col("type_id").alias("type_simple_name"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import fixed
 from ..functions.attribution import Targets
 from ..operators import bandit as bd
+from ..operators import bicliques as bc
 from ..operators import evidence as ev
 from ..operators import graph as gr
 from ..operators import history as hs
@@ -276,6 +277,36 @@ def def_use_edges(spark, sf):
     return gr.def_use_edges(defs.unionByName(uses))
 
 
+def _def_use(spark, sf):
+    li = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("method"), F.col("l_suppkey").alias("variable"), F.col("l_linenumber").alias("stmt"), "l_returnflag")
+    defs = li.filter("l_returnflag <> 'N'").withColumn("kind", F.lit("def"))
+    return defs.unionByName(li.filter("l_returnflag <> 'A'").withColumn("kind", F.lit("use")))
+
+
+@query(
+    "J32_def_use_sides",
+    """
+SELECT method, variable, side, stmt FROM (SELECT *, count(DISTINCT side) OVER (PARTITION BY method, variable) AS two FROM (
+  SELECT DISTINCT l_orderkey AS method, l_suppkey AS variable, 'LEFT' AS side, l_linenumber AS stmt FROM lineitem WHERE l_returnflag <> 'N'
+  UNION SELECT l_orderkey, l_suppkey, 'RIGHT', l_linenumber FROM lineitem WHERE l_returnflag <> 'A')) WHERE two = 2""",
+)
+def def_use_sides(spark, sf):
+    """Definitions and uses of each variable that has both: the edges in linear size."""
+    return bc.definitions_and_uses(_def_use(spark, sf))
+
+
+@query(
+    "J32_unfolded_edges",
+    """
+SELECT DISTINCT d.l_orderkey AS method, d.l_suppkey AS variable, d.l_linenumber AS def_stmt, u.l_linenumber AS use_stmt FROM lineitem d JOIN lineitem u
+ON u.l_orderkey = d.l_orderkey AND u.l_suppkey = d.l_suppkey JOIN orders ON o_orderkey = d.l_orderkey AND o_orderstatus = 'F' WHERE d.l_returnflag <> 'N' AND u.l_returnflag <> 'A'""",
+)
+def unfolded_edges(spark, sf):
+    """Edges of the methods that are asked for."""
+    asked = table(spark, sf, "orders").filter("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("method"))
+    return bc.def_use_pairs(bc.definitions_and_uses(_def_use(spark, sf)), asked)
+
+
 @query(
     "J33_signature_agreement",
     f"""

@@ -249,6 +249,28 @@ def status_patterns(spark, sf):
     return sr.status_patterns(v.v_traj(spark, sf), _block())
 
 
+@query(
+    "A12_status_trie",
+    """
+WITH prefixes AS (
+  SELECT mutant_id, target_status AS status, row_number() OVER w AS depth, count(*) OVER (PARTITION BY mutant_id) AS records, string_agg(target_status, ' → ') OVER w AS path
+  FROM v_traj WINDOW w AS (PARTITION BY mutant_id ORDER BY line_no ROWS UNBOUNDED PRECEDING)
+), nodes AS (
+  SELECT path, depth, status, count(*) AS mutants, count_if(depth = records) AS ending, CASE WHEN depth > 1 THEN path[:length(path) - length(status) - 3] END AS parent FROM prefixes GROUP BY ALL
+)
+SELECT n.depth, n.status, n.mutants, CAST(n.ending AS BIGINT) AS ending, coalesce(p.status, '') AS parent_status, coalesce(p.mutants, 0) AS parent_mutants, count(*) AS nodes
+FROM nodes n LEFT JOIN nodes p ON p.path = n.parent GROUP BY ALL""",
+    ("v_traj",),
+)
+def status_trie(spark, sf):
+    """Nodes of the trie beside their parents, counted by what they hold."""
+    t = sr.status_trie(v.v_traj(spark, sf), _block(), 16)
+    parents = t.select(F.col("node").alias("parent"), F.col("status").alias("parent_status"), F.col("mutants").alias("parent_mutants"))
+    met = t.join(parents, "parent", "left").fillna("", ["parent_status"]).fillna(0, ["parent_mutants"])
+    keys = ["depth", "status", "mutants", "ending", "parent_status", "parent_mutants"]
+    return met.groupBy(*keys).agg(F.count(F.lit(1)).alias("nodes"))
+
+
 @query(
     "A12_record_histogram",
     "SELECT records, count(*) AS mutants FROM (SELECT count(*) AS records FROM v_traj GROUP BY mutant_id) GROUP BY 1",
