@@ -43,7 +43,17 @@ def complete_results(originals: DataFrame, results: DataFrame, runs: DataFrame,
 
 
 def with_kills(outcomes: DataFrame) -> DataFrame:
-    return with_runner_kill(outcomes, "original_result", "mutant_result")
+    """Adds kills, the runner's verdict on (original_result, mutant_result).
+
+    Texts are scanned once per distinct pair that differs, not once per row; an
+    equal pair never kills. The pairs join back by their texts, as a broadcast
+    where the optimizer finds them small.
+    """
+    texts = ["original_result", "mutant_result"]
+    differing = outcomes.select(*texts).filter(~F.col(texts[0]).eqNullSafe(F.col(texts[1]))).distinct()
+    judged = with_runner_kill(differing, *texts).withColumnsRenamed({t: f"_{t}" for t in texts})
+    met = outcomes.join(judged, [F.col(t).eqNullSafe(F.col(f"_{t}")) for t in texts], "left")
+    return met.withColumn("kills", F.coalesce("kills", F.lit(False))).select(*outcomes.columns, "kills")
 
 
 def mutant_verdicts(kills: DataFrame, keys: list[str], mutants: DataFrame | None = None) -> DataFrame:

@@ -432,14 +432,8 @@ def merged_imports(spark, sf):
         F.max("priority").alias("priority"), F.max_by("usage_context", F.struct("priority", "usage_context")).alias("usage_context"))
     of_method = all_imports.filter(F.col("method_id").isNotNull()).groupBy("method_id", "import_value", "source_kind").agg(
         F.max("priority").alias("priority"), F.max_by("usage_context", F.struct("priority", "usage_context")).alias("usage_context"))
-    merged = im.merged_imports(
-        [
-            im.scoped_imports(by_file, of_file, "file_id", "SOURCE_FILE"),
-            im.scoped_imports(by_method, of_method, "method_id", "MUTATION_METHOD", "signature"),
-            im.scoped_imports(entry, of_method, "method_id", "ENTRY_METHOD", "signature"),
-            im.accepted_of(c.select(mutant), _accepted(spark, sf)),
-        ]
-    )
+    links = {"file": by_file, "method": by_method, "entry": entry}
+    merged = im.merged_by_scope(links, of_file, of_method, im.accepted_of(c.select(mutant), _accepted(spark, sf)))
     return merged.select("mutant_id", "scope", "owner_signature", "import_value", "source_kind", "priority")
 
 
