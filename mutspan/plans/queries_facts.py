@@ -474,6 +474,55 @@ def table_health(spark, sf):
     return fc.table_health(counts, [*_COUNTED, "files"], ["orders", "part"])
 
 
+@query(
+    "A34_ready_tables",
+    f"""
+SELECT 'READY' AS status, 5 AS tables_checked, CAST(sum(rows) AS BIGINT) AS total_rows, '' AS problems FROM ({" UNION ALL ".join(f"SELECT count(*) AS rows FROM {t}" for t in _COUNTED)})""",
+)
+def ready_tables(spark, sf):
+    counts = fc.table_counts({t: table(spark, sf, t) for t in _COUNTED})
+    return fc.table_health(counts, _COUNTED, ["orders", "part"])
+
+
+@query(
+    "A34_empty_core_table",
+    "SELECT 'ERROR' AS status, 3 AS tables_checked, (SELECT count(*) FROM part) AS total_rows, 'orders=EMPTY' AS problems",
+)
+def empty_core_table(spark, sf):
+    """An empty core table is an error, an empty other table is not."""
+    nothing = table(spark, sf, "orders").filter("o_orderkey < 0")
+    counts = fc.table_counts({"orders": nothing, "part": table(spark, sf, "part"), "notes": nothing})
+    return fc.table_health(counts, ["orders", "part", "notes"], ["orders", "part"])
+
+
+@query(
+    "J13_constructor_calls",
+    """
+WITH calls AS (
+  SELECT l_orderkey * 10 + l_linenumber AS call_id, p_type AS simple, CASE WHEN l_orderkey % 2 = 0 THEN 'org.demo.' || p_brand || '.' || p_type ELSE p_type END AS owner, CASE WHEN l_orderkey % 3 = 0 THEN 3 ELSE p_partkey % 3 END AS arity
+  FROM (SELECT l_orderkey, l_linenumber, min(l_partkey) AS p FROM lineitem GROUP BY 1, 2) JOIN part ON p_partkey = p
+)
+SELECT call_id, coalesce(a.id, b.id, -1) AS resolved_method_id, CASE WHEN coalesce(a.id, b.id) IS NULL THEN 'NONE' ELSE 'CONSTRUCTOR' END AS resolved_by FROM calls
+LEFT JOIN (SELECT 'org.demo.' || type_id AS owner, method_id % 3 AS arity, min(method_id) AS id FROM v_methods WHERE is_constructor GROUP BY ALL) a USING (owner, arity)
+LEFT JOIN (SELECT regexp_extract(type_id, '[^.]*$') AS simple, method_id % 3 AS arity, min(method_id) AS id FROM v_methods WHERE is_constructor GROUP BY ALL) b USING (simple, arity)""",
+    ("v_methods",),
+)
+def constructor_calls(spark, sf):
+    """Calls of constructors by owner and number of arguments; some have more arguments than any constructor."""
+    known, parameters = _resolvable(spark, sf)
+    li = table(spark, sf, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("p_partkey"))
+    o = F.col("l_orderkey")
+    arity = F.when(o % 3 == 0, 3).otherwise((F.col("p_partkey") % 3).cast("int"))
+    calls = li.join(table(spark, sf, "part").select("p_partkey", "p_brand", "p_type"), "p_partkey").select(
+        (o * 10 + F.col("l_linenumber")).alias("call_id"), F.lit(1).alias("variant_id"), (F.col("p_partkey") % 4).alias("file_id"),
+        F.when(o % 2 == 0, F.concat(F.lit("org.demo."), "p_brand", F.lit("."), "p_type")).otherwise(F.col("p_type")).alias("callee_owner"),
+        F.when(o % 5 == 0, "super").otherwise("").alias("callee_method_name"),
+        F.concat("p_type", F.lit("("), F.array_join(F.array_repeat(F.lit("*"), arity), ","), F.lit(")")).alias("callee_signature"),
+    )
+    found = fc.resolve_callees(calls, known, parameters)
+    return found.select("call_id", F.coalesce("resolved_method_id", F.lit(-1).cast("long")).alias("resolved_method_id"), "resolved_by")
+
+
 # --- feedback ------------------------------------------------------------------------
 def _feedback(spark, sf):
     return v.v_feedback(table(spark, sf, "events"), Targets())

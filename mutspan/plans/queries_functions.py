@@ -125,6 +125,42 @@ def signature_forms(spark, sf):
     )
 
 
+_ROW_PARTS = """
+SELECT p_partkey AS part, 'B' || p_brand[7:] AS owner, 'm' || p_partkey || replace(p_name, ' ', '') AS name, 'T' || p_size AS t, p_size, p_size % 4 AS k FROM part"""
+
+
+@query(
+    "F10_F14_row_signatures",
+    f"""
+WITH r AS ({_ROW_PARTS}), s AS (
+  SELECT *, list_slice(['Map', t || '[]', 'int'], 1, k) AS short, list_slice(['java.util.Map<String, List<' || t || '[]>>', 'final org.x.' || t || '...', '@Size(min=1, max=' || p_size || ') int'], 1, k) AS long FROM r
+)
+SELECT part, name || '(' || coalesce(array_to_string(short, ','), '') || ')' AS canonical, name AS simple_name, coalesce(array_to_string(short, ';'), '') AS parameters, coalesce(array_to_string(long, ';'), '') AS written,
+  CASE WHEN p_size % 5 = 0 AND k > 0 THEN -1 ELSE CAST(k AS INT) END AS arity, 'In' || p_size AS simple_class FROM s""",
+)
+def row_signatures(spark, sf):
+    """Signature texts from every part's own columns: packages, generics with commas, annotations, varargs, wildcards."""
+    size, k = F.col("p_size"), F.col("p_size") % 4
+    name = F.concat(F.lit("m"), F.col("p_partkey").cast("string"), F.regexp_replace("p_name", " ", ""))
+    owner, t = F.concat(F.lit("B"), F.substring("p_brand", 7, 9)), F.concat(F.lit("T"), size.cast("string"))
+    every = F.array(
+        F.concat(F.lit("java.util.Map<String, List<"), t, F.lit("[]>>")), F.concat(F.lit("final org.x."), t, F.lit("...")),
+        F.concat(F.lit("@Size(min=1, max="), size.cast("string"), F.lit(") int")),
+    )
+    inside = F.array_join(F.slice(every, 1, k), ", ")
+    stars = F.array_join(F.array_repeat(F.when(size % 5 == 0, "String").otherwise("*"), k.cast("int")), ",")
+    rows = table(spark, sf, "part").select(
+        F.col("p_partkey").alias("part"), F.concat(F.lit("org.demo."), owner, F.lit("#static java.util.List<String> "), name, F.lit("("), inside, F.lit(")")).alias("raw"),
+        F.concat(F.lit("boolean_"), name, F.lit("("), inside, F.lit(")")).alias("flat"), F.concat(owner, F.lit("("), stars, F.lit(")")).alias("call"),
+        F.concat(F.lit("demo."), owner, F.lit("<T>")).alias("owner"), F.concat(F.lit("org.demo."), owner, F.lit("$In"), size.cast("string")).alias("inner"),
+    )
+    return rows.select(
+        "part", signatures.canonical_signature("raw").alias("canonical"), signatures.method_simple_name("flat").alias("simple_name"),
+        F.array_join(signatures.parameter_types("raw"), ";").alias("parameters"), F.array_join(signatures.parameter_texts("raw"), ";").alias("written"),
+        signatures.wildcard_constructor_arity("owner", F.lit("super"), "call").alias("arity"), signatures.simple_class_name("inner").alias("simple_class"),
+    )
+
+
 @query(
     "F15_F16_F56_paths_and_site_ids",
     """
