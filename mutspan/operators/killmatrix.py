@@ -80,6 +80,16 @@ def mutant_verdicts(kills: DataFrame, keys: list[str], mutants: DataFrame | None
     )
 
 
+def mutant_flags(kills: DataFrame, keys: list[str]) -> DataFrame:
+    """Whether any test killed a mutant; one flag per mutant leaves each map task."""
+    return kills.groupBy(*keys).agg(F.coalesce(F.bool_or("kills"), F.lit(False)).alias("killed"))
+
+
+def killing_tests(kills: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, test) of every kill, each once: the long form of the lists in `mutant_verdicts`."""
+    return kills.groupBy(*keys, "test").agg(F.bool_or("kills").alias("_k")).filter("_k").drop("_k")
+
+
 def mutants_per_test(kills: DataFrame, keys: list[str]) -> DataFrame:
     """One row (keys, killed_mutants, mutant) per test and mutant that it kills.
 

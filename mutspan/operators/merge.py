@@ -160,6 +160,56 @@ def kill_details(entries: DataFrame, suites: DataFrame) -> DataFrame:
     ).drop("_killed_by")
 
 
+def kill_items(entries: DataFrame, suites: DataFrame) -> DataFrame:
+    """Distinct names and statuses of each mutant as rows (key, kind, item); blank ones go.
+
+    The long form of the sets in `kill_details`: a mutant may have any number of
+    reports, tests and reasons without any row growing.
+    """
+    entry = {
+        "mapping_status": F.upper(or_default("mapping_status", "UNKNOWN")), "target_status": safe("target_status"),
+        "failure_reason": safe("failure_reason"), "test_set_name": safe("test_set_name"),
+    }
+    suite = {"suite_status": F.array(or_default("suite_status", "UNKNOWN")), "killing_test": F.transform(F.split(safe("tests"), ","), safe)}
+    kinds = lambda values: F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), x.alias("item")) for k, x in values.items()])).alias("_i")
+    rows = entries.select(*KEY, kinds(entry)).select(*KEY, "_i.*")
+    lists = suites.select(*KEY, kinds(suite)).select(*KEY, "_i.kind", F.explode("_i.item").alias("item"))
+    return rows.unionByName(lists).filter("item <> ''").distinct()
+
+
+def kill_facts(entries: DataFrame, suites: DataFrame) -> DataFrame:
+    """Counts and flags of `kill_details` for mutants in either input, without its sets.
+
+    Whether an own test killed a mutant comes from joins of test names: every
+    name that a killing run lists meets the mutant's own names, so names of one
+    mutant never meet in one row.
+    """
+    entry = entries.groupBy(*KEY).agg(
+        F.count(F.lit(1)).alias("entry_count"), F.count_if(is_true("compiled")).alias("compiled_count"), F.count_if(~is_true("compiled")).alias("not_compiled_count"),
+        *[F.bool_or(is_true(c)).alias(f"{c}_ever") for c in ("compiled", "original_passed", "mutant_executed", "target_killed")],
+    )
+    sums = [c for c in RUN_SUMS if c in suites.columns]
+    suite = suites.groupBy(*KEY).agg(
+        F.count(F.lit(1)).alias("report_count"), F.count_if(is_true("killed")).alias("killed_runs"), F.count_if(is_true("live")).alias("live_runs"),
+        *[F.bool_or(is_true(c)).alias(f"{c}_ever") for c in ("killed", "live", "same_method_fallback")],
+        F.bool_or(F.lower(safe("tests")).contains("timeout")).alias("timeout_related"), *[F.sum(F.coalesce(F.col(c), F.lit(0))).alias(c) for c in sums],
+    )
+    lists = suites.filter(is_true("killed") & (safe("tests") != "")).select(*KEY, safe("tests").alias("_list")).distinct()
+    parts = lists.select(*KEY, "_list", F.explode(F.split("_list", ",")).alias("_t")).withColumn("_p", F.split(safe("_t"), "#"))
+    # a name fits a listed test that equals it or goes on behind a '#'
+    heads = F.transform(F.sequence(F.lit(1), F.size("_p")), lambda i: F.array_join(F.slice("_p", F.lit(1), i), "#"))
+    named = parts.select(*KEY, "_list", F.explode(heads).alias("_name"))
+    own = entries.select(*KEY, safe("test_set_name").alias("_name")).filter("_name <> ''").distinct()
+    primary = named.join(own, [*KEY, "_name"], "left_semi").select(*KEY, "_list").distinct().withColumn("_own", F.lit(True))
+    killers = lists.join(primary, [*KEY, "_list"], "left").groupBy(*KEY).agg(
+        F.bool_or(is_true("_own")).alias("killed_by_primary"), F.bool_or(~is_true("_own")).alias("killed_by_fallback")
+    )
+    met = entry.join(suite, KEY, "full").join(killers, KEY, "left")
+    flags = [c for c, kind in met.dtypes if kind == "boolean"]
+    filled = met.fillna(False, flags).fillna(0, [c for c in met.columns if c not in flags and c not in KEY])
+    return filled.withColumn("final_kill", first_match([(F.col("killed_ever"), "KILLED"), (F.col("live_ever"), "LIVE")], "NOT_REPORTED"))
+
+
 def not_killed_scopes(details: DataFrame) -> DataFrame:
     """Mutants that the target test, or the whole suite, did not kill; one row per scope."""
     scopes = F.array_compact(

@@ -27,6 +27,12 @@ def mutant_verdicts(spark, sf):
     return out.withColumn("killing_tests", F.array_join(F.col("killing_tests").cast("array<string>"), ","))
 
 
+@query("A19_killing_tests", "SELECT DISTINCT class_name, mutant, test FROM v_kills WHERE kills", ("v_outcomes", "v_kills"))
+def killing_tests(spark, sf):
+    """Killing tests of every mutant in long form."""
+    return km.killing_tests(_kills(spark, sf), ["class_name", "mutant"])
+
+
 @query(
     "A19_mutants_per_test",
     """
@@ -73,8 +79,7 @@ FROM (SELECT class_name, mutant, bool_or(kills) AS k FROM v_kills GROUP BY ALL)
     ("v_outcomes", "v_kills"),
 )
 def suite_scores(spark, sf):
-    verdicts = km.mutant_verdicts(_kills(spark, sf), ["class_name", "mutant"])
-    return km.suite_scores(verdicts, "class_name").withColumn("score", F.round("score", 6))
+    return km.suite_scores(km.mutant_flags(_kills(spark, sf), ["class_name", "mutant"]), "class_name").withColumn("score", F.round("score", 6))
 
 
 @query(

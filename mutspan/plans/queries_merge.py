@@ -100,6 +100,43 @@ def kill_details(spark, sf):
     return _joined(_details(spark, sf))
 
 
+@query(
+    "A1_kill_items",
+    """
+SELECT DISTINCT * FROM (
+  SELECT mutant, unnest([{'kind': 'mapping_status', 'item': CASE WHEN mapping_status = '' THEN 'UNKNOWN' ELSE mapping_status END}, {'kind': 'target_status', 'item': target_status},
+    {'kind': 'failure_reason', 'item': failure_reason}, {'kind': 'test_set_name', 'item': test_set_name}], recursive := true) FROM v_entries
+  UNION ALL SELECT mutant, 'suite_status', CASE WHEN suite_status = '' THEN 'UNKNOWN' ELSE suite_status END FROM v_suites
+  UNION ALL SELECT mutant, 'killing_test', unnest(string_split(tests, ', ')) FROM v_suites) WHERE item <> ''""",
+    ("v_entries", "v_suites"),
+)
+def kill_items(spark, sf):
+    return mg.kill_items(v.v_entries(spark, sf), v.v_suites(spark, sf)).select("mutant", "kind", "item")
+
+
+@query(
+    "A1_A2_kill_facts",
+    """
+SELECT e.mutant, entry_count, compiled_count, not_compiled_count, compiled_ever, original_passed_ever, mutant_executed_ever, target_killed_ever, report_count, killed_runs, live_runs, killed_ever, live_ever,
+  same_method_fallback_ever, timeout_related, CAST(primary_runs AS BIGINT) AS primary_runs, CAST(elapsed_ms AS BIGINT) AS elapsed_ms,
+  len(list_filter(kb, lambda x: list_contains(tn, split_part(x, '#', 1)))) > 0 AS killed_by_primary, len(list_filter(kb, lambda x: NOT list_contains(tn, split_part(x, '#', 1)))) > 0 AS killed_by_fallback,
+  CASE WHEN killed_ever THEN 'KILLED' WHEN live_ever THEN 'LIVE' ELSE 'NOT_REPORTED' END AS final_kill
+FROM (SELECT mutant, count(*) AS entry_count, count_if(compiled) AS compiled_count, count_if(NOT compiled) AS not_compiled_count, bool_or(compiled) AS compiled_ever, bool_or(original_passed) AS original_passed_ever,
+    bool_or(mutant_executed) AS mutant_executed_ever, bool_or(target_killed) AS target_killed_ever, list(DISTINCT test_set_name) AS tn FROM v_entries GROUP BY 1) e
+JOIN (SELECT mutant, count(*) AS report_count, count_if(killed) AS killed_runs, count_if(live) AS live_runs, bool_or(killed) AS killed_ever, bool_or(live) AS live_ever, bool_or(same_method_fallback) AS same_method_fallback_ever,
+    bool_or(contains(tests, 'timeout')) AS timeout_related, sum(primary_runs) AS primary_runs, sum(elapsed_ms) AS elapsed_ms, coalesce(list(DISTINCT tests) FILTER (killed), []) AS kb FROM v_suites GROUP BY 1) s USING (mutant)""",
+    ("v_entries", "v_suites"),
+)
+def kill_facts(spark, sf):
+    f = mg.kill_facts(v.v_entries(spark, sf), v.v_suites(spark, sf))
+    columns = ["entry_count", "compiled_count", "not_compiled_count", "report_count", "killed_runs", "live_runs", "primary_runs", "elapsed_ms"]
+    rest = [
+        "compiled_ever", "original_passed_ever", "mutant_executed_ever", "target_killed_ever", "killed_ever", "live_ever", "same_method_fallback_ever", "timeout_related",
+        "killed_by_primary", "killed_by_fallback", "final_kill",
+    ]
+    return f.select("mutant", *[F.col(c).cast("long").alias(c) for c in columns], *rest)
+
+
 @query(
     "P8_not_killed_scopes",
     """
