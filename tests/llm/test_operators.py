@@ -313,7 +313,7 @@ def test_html_extraction(spark):
     rows = [(i, f"http://h{i % 2}.org/{i}", s, "t") for i, s in enumerate(sources)] + [(9, None, "<p>x", "t")]
     frame = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
     got = {r.page_id: r.text for r in html_extract.extract(frame).collect()}
-    assert got == {0: "Title & x\none two\nthree", 1: "long text of the page\nand more of it here", 2: "", 3: "", 4: "open", 5: "a < b < c", 6: "Title & x\none two\nthree", 9: "x"}
+    assert got == {0: "Title & x\none two\nthree", 1: "long text of the page\nand more of it here\ns", 2: "", 3: "", 4: "open", 5: "a < b < c", 6: "Title & x\none two\nthree", 9: "x"}
     assert html_extract.extract(frame.limit(0)).count() == 0
 
 
@@ -338,9 +338,57 @@ def test_html_keeps_all_articles(spark):
     assert got == ["\n".join(t.strip() for t in (one, other, last))] * 2
 
 
-def test_html_descent_counts_what_all_levels_leave_out(spark):
+def test_html_descent_leaves_no_text_out(spark):
     a, b, c = "a" * 800, "b" * 75, "c" * 75
-    assert extracted(spark, f"<body><div><div class=x><div class=y>{a}</div><p>{b}</p></div><p>{c}</p></div>") == [f"{a}\n{b}"]
+    assert extracted(spark, f"<body><div><div class=x><div class=y>{a}</div><p>{b}</p></div><p>{c}</p></div>") == [f"{a}\n{b}\n{c}"]
+
+
+def test_html_names_hide_whole_words_only(spark):
+    long = "the text of the article " * 20
+    got = extracted(
+        spark, f'<div class="layout has-sidebar"><article>{long}</article><div class="site-footer">no</div></div>', f'<div class="cookie-recipe"><p>{long}</p></div>',
+        f'<article><div class="article-header"><h1>Title</h1></div>{long}</article>', f'<div class=sidebar><article>{long}</article></div>',
+        f"<div id=comments><p>{long}</p></div>", f"<article>{long}</article><div class=sidebar><article>no</article></div><aside><main>no</main></aside>",
+        f'<div class="postComments">no</div><p>{long}</p><div role=navigation>no</div><ul class="menu main"><li>no</ul>',
+    )
+    text = long.strip()
+    assert got == [text, text, f"Title\n{text}", text, "", text, text]
+
+
+def brute_page(rnd, depth=0):
+    """(html, blocks of main text) of a made-up article whose boilerplate is marked."""
+    out, text = "", []
+    for _ in range(rnd.randint(1, 4)):
+        kind = rnd.randrange(6)
+        words = " ".join(rnd.choices(["alpha", "beta", "&amp;", "gamma", "<b>delta</b>", "\n"], k=rnd.randint(2, 9)))
+        if kind < 2:
+            out += f"<p>{words}</p>"
+            text.append(" ".join(words.replace("&amp;", "&").replace("<b>", "").replace("</b>", "").split()))
+        elif kind == 2:
+            name = rnd.choice(["class=ad", 'class="site-footer x"', "id=comments", "role=navigation", "class='share links'"])
+            out += f"<div {name}>{words}<p>{words}</p></div>"
+        elif kind == 3:
+            out += rnd.choice(["<nav>{}</nav>", "<script>{}</script>", "<aside>{}</aside>", "<!-- {} -->", "<form>{}</form>", "<footer>{}</footer>"]).format(words)
+        elif depth < 4:
+            inner, more = brute_page(rnd, depth + 1)
+            out += rnd.choice(["<div class=part>{}</div>", "<section>{}</section>", '<div class="has-sidebar">{}</div>', "<blockquote>{}</blockquote>"]).format(inner)
+            text += more
+    return out, [t for t in text if t]
+
+
+@pytest.mark.parametrize("wrap", ["<article>{}</article>", "<main class=m>{}</main>", "<div id=x>{}</div>"])
+def test_html_extraction_of_made_up_pages(spark, wrap):
+    rnd = random.Random(11)
+    pages = [brute_page(rnd) for _ in range(60)]
+    got = extracted(spark, *[f"<html><head><title>t</title></head><body><nav>menu</nav>{wrap.format(h)}<div class=ad>buy</div></body></html>" for h, _ in pages])
+    assert got == ["\n".join(t) for _, t in pages]
+
+
+def test_html_of_deep_and_long_pages(spark):
+    deep = "<div>" * 20_000 + "deep text" + "</div>" * 20_000
+    wide = "<body>" + "".join(f"<div class=c{i}><p>block {i}</p></div>" for i in range(20_000)) + "</body>"
+    got = extracted(spark, deep, wide)
+    assert got[0] == "deep text" and got[1].split("\n") == [f"block {i}" for i in range(20_000)]
 
 
 def test_url_rules_and_templates(spark):
