@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from mutspan.llm import (
     ball_tree,
@@ -57,8 +56,8 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations and conversation -7, read back from their formatted text."""
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    schema = T.StructType([T.StructField(f.name, f.dataType) for f in rows.schema])
-    extra = spark.createDataFrame([(-7, 0, "user", EXTRA_TURN), (-7, 1, "assistant", EXTRA_TURN)], schema)
+    added = F.array(*[F.struct(*[F.lit(x).alias(c) for c, x in zip(rows.columns, (-7, i, role, EXTRA_TURN))]) for i, role in enumerate(("user", "assistant"))])
+    extra = spark.range(1).select(F.inline(added)).select(*[F.col(f.name).cast(f.dataType) for f in rows.schema])
     read = chat_format.read_back(chat_format.format_conversations(rows.union(extra)))
     turns = F.array_join(F.transform("turns", lambda t: F.concat(t.role, F.lit("\n"), t.text, F.lit("\n"))), "")
     return read.select(
