@@ -179,6 +179,46 @@ def live_entries(anchors: DataFrame, methods: DataFrame, calls: DataFrame) -> Da
     )
 
 
+def _best_of(anchors: DataFrame, base: DataFrame, special: DataFrame, keep: int, spare: int) -> DataFrame:
+    """Best ``keep`` methods per anchor of a type's base scores and the anchor's own scores.
+
+    An own score is never below the method's base score, so a method outside of
+    its type's best ``keep`` (and ``spare`` that an anchor may leave out) can only
+    be among an anchor's best by an own score. So no anchor meets all methods of
+    its type.
+    """
+    order = [F.desc("score"), F.col("begin_line"), F.col("method_id")]
+    leading = best_per_key(base, ["type_id"], order, keep + spare, "_r").drop("_r")
+    columns = ["anchor_id", "method_id", "begin_line", "score"]
+    own = special.select(*columns)
+    usual = anchors.select("anchor_id", "type_id").join(leading, "type_id").select(*columns)
+    if spare:
+        usual = usual.filter(F.col("method_id") != F.col("anchor_id"))
+    rest = usual.join(own.select("anchor_id", "method_id"), ["anchor_id", "method_id"], "left_anti")
+    return best_per_key(rest.unionByName(own), ["anchor_id"], order, keep, "entry_rank")
+
+
+def best_entries(anchors: DataFrame, methods: DataFrame, distances: DataFrame, keep: int) -> DataFrame:
+    """First ``keep`` entries of each anchor in stored form, as `entry_candidates` ranks them."""
+    open_methods = methods.filter(F.lower("visibility") != "private")
+    points = visibility_score("visibility", fixed.VISIBILITY_DERIVED) + _front_door(methods)
+    base = open_methods.select("type_id", "method_id", "begin_line", points.alias("score"))
+    # pairs with points of their own: on a call path to the anchor, or of the anchor's signature
+    same = anchors.select("anchor_id", "type_id", "signature").join(open_methods.select("type_id", "signature", "method_id"), ["type_id", "signature"])
+    pairs = distances.select("anchor_id", "method_id").unionByName(same.select("anchor_id", "method_id")).distinct()
+    own = entry_scores(anchors, methods, pairs.join(distances, ["anchor_id", "method_id"], "left"), reached_only=True)
+    return _best_of(anchors, base, own, keep, 0)
+
+
+def best_live_entries(anchors: DataFrame, methods: DataFrame, calls: DataFrame, keep: int) -> DataFrame:
+    """First ``keep`` entries of each anchor on the query scale, as `live_entries` scores them."""
+    points = visibility_score("visibility", fixed.VISIBILITY_QUERY) + _front_door(methods)
+    base = methods.filter(F.lower("visibility") != "private").select("type_id", "method_id", "begin_line", points.alias("score"))
+    callers = direct_callers(anchors, methods, calls).filter(F.col("method_id") != F.col("anchor_id"))
+    own = callers.join(base.drop("type_id"), "method_id").withColumn("score", F.col("score") + F.lit(120.0))
+    return _best_of(anchors, base, own, keep, 1)
+
+
 # --- observers and observables ----------------------------------------------------------
 def field_observers(anchors: DataFrame, methods: DataFrame, accesses: DataFrame, fields: DataFrame) -> DataFrame:
     """Methods that touch an affected field, with observer kind and priority."""

@@ -663,6 +663,20 @@ def entry_candidates(spark, sf):
     return cd.entry_candidates(anchors, m, d).drop("reasons")
 
 
+@query(
+    "W12_best_entries",
+    f"""
+SELECT anchor_id, method_id, begin_line, score, CAST(rn AS INT) AS entry_rank FROM (SELECT *, row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, begin_line, method_id) AS rn FROM ({_ENTRY_SQL})) WHERE rn <= 3""",
+    _DIST,
+)
+def best_entries(spark, sf):
+    """The three first entries of every method, without pairing all methods of a type."""
+    m = v.v_methods(spark, sf)
+    anchors = cd.anchors_of(m)
+    best = cd.best_entries(anchors, m, cd.call_distances(anchors, m, v.v_calls(spark, sf)), 3)
+    return best.select("anchor_id", "method_id", F.col("begin_line").cast("long").alias("begin_line"), "score", "entry_rank")
+
+
 _LIVE_SQL = f"""SELECT a.method_id AS anchor_id, m.method_id, m.signature AS entry_signature, m.begin_line,
   CASE m.visibility WHEN 'public' THEN 60.0::DOUBLE WHEN 'protected' THEN 45.0 ELSE 35.0 END + CASE WHEN c.method_id IS NOT NULL THEN 120.0 ELSE 0.0 END
   + CASE WHEN m.is_constructor THEN 30.0 WHEN m.name = 'parse' THEN 25.0 ELSE 0.0 END AS score,
@@ -677,6 +691,18 @@ def live_entries(spark, sf):
     return cd.live_entries(cd.anchors_of(m), m, v.v_calls(spark, sf)).select("anchor_id", "method_id", "score", "reasons")
 
 
+@query(
+    "W13_best_live_entries",
+    f"""
+SELECT anchor_id, method_id, begin_line, score, CAST(rn AS INT) AS entry_rank FROM (SELECT *, row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, begin_line, method_id) AS rn FROM ({_LIVE_SQL})) WHERE rn <= 3""",
+    ("v_methods", "v_calls"),
+)
+def best_live_entries(spark, sf):
+    m = v.v_methods(spark, sf)
+    best = cd.best_live_entries(cd.anchors_of(m), m, v.v_calls(spark, sf), 3)
+    return best.select("anchor_id", "method_id", F.col("begin_line").cast("long").alias("begin_line"), "score", "entry_rank")
+
+
 _READ = ("v_methods", "v_fields", "v_accesses", "v_readers")
 
 

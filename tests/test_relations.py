@@ -62,3 +62,30 @@ def test_trie_of_status_paths(spark):
     for r in sorted(steps, key=lambda r: r.depth):
         found[r.node] = found.get(r.node, "") + r.status
     assert Counter(found.values()) == Counter(p for p in ends if len(p) <= 6)
+
+
+def test_best_entries_equal_the_first_of_all(spark):
+    from mutspan.operators import candidates
+
+    rnd = random.Random(5)
+    rows = []
+    for i in range(120):
+        kind = rnd.choice(["public", "protected", "package-private", "private"])
+        rows.append((i, f"T{i % 2}", rnd.choice(["parse", f"m{i}", "m"]), f"m{i % 40}()", kind, "int", rnd.random() < 0.3, rnd.random() < 0.2, i % 11, i % 11 + 3))
+    methods = spark.createDataFrame(
+        rows, "method_id long, type_id string, name string, signature string, visibility string, return_type string, is_static boolean, is_constructor boolean, begin_line int, end_line int"
+    )
+    sites = [(n, rnd.randrange(120), rnd.choice([None, rnd.randrange(120)]), rnd.choice(["m", "m3", "x"])) for n in range(150)]
+    calls = spark.createDataFrame(sites, "call_id long, caller_method_id long, callee_method_id long, callee_method_name string")
+    anchors = candidates.anchors_of(methods)
+    distances = candidates.call_distances(anchors, methods, calls).cache()
+    place = lambda r: (r.anchor_id, r.entry_rank, r.method_id, r.score)
+    for keep in (1, 4, 200):
+        got = sorted(map(place, candidates.best_entries(anchors, methods, distances, keep).collect()))
+        every = candidates.entry_candidates(anchors, methods, distances).filter(F.col("entry_rank") <= keep)
+        assert got == sorted(map(place, every.collect()))
+    live = {}
+    for r in candidates.live_entries(anchors, methods, calls).collect():
+        live.setdefault(r.anchor_id, []).append((-r.score, r.begin_line, r.method_id))
+    want = sorted((a, n + 1, m, -s) for a, found in live.items() for n, (s, _, m) in enumerate(sorted(found)[:4]))
+    assert sorted(map(place, candidates.best_live_entries(anchors, methods, calls, 4).collect())) == want
