@@ -1,20 +1,22 @@
 """URL filter: explicit rules first, then a path-template tree per host.
 
-The tree is grown level by level over all urls: below each (host, template) a
-segment of MIN_ROWS rows or more stays as it is, all others become a wildcard
-that keeps their file suffix. Branches then merge, deepest position
-first: a template whose rate of bad labels does not differ from the pool of its
+The tree is grown level by level over the counts of distinct paths: below each
+(host, template) a segment of MIN_ROWS rows or more stays as it is, all others
+become a wildcard that keeps their file suffix. It ends where no node of any host
+has MIN_ROWS rows that go on; what lies deeper is wildcards only. Branches then
+merge, deepest position first: a template whose rate of bad labels does not differ from the pool of its
 siblings joins the pool's template. A template is rejected where its share of
 bad labels, smoothed towards the host's and that towards the corpus', reaches
 the threshold; a template without labels is allowed.
 
-Counts are aggregated before they meet, and small tables join the rows with a
-salt, so that a host with a third of all rows is spread over many tasks.
+Counts are aggregated before they meet, and small tables join the paths with a
+salt, so that a host with a third of all rows is spread over many tasks. Rows are
+joined once, with the verdict of their path.
 
 Defined cases: a null url, or one without `://`, has empty host and path and is
 allowed; labels may be null (unlabelled); repeated rows are judged alike and
-count each; segments beyond MAX_DEPTH stay together as the last one; extra
-columns are not read; an empty table gives no rows.
+count each; paths may have any number of segments; extra columns are not read;
+an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -26,7 +28,6 @@ from pyspark.sql import functions as F
 
 from mutspan.llm.common import LOWER, UPPER, staged
 
-MAX_DEPTH = 8
 MIN_ROWS = 5
 SIMILAR_Z = 2.0
 SMOOTHING = 10.0
@@ -68,24 +69,28 @@ def wildcard(segment: Column) -> Column:
     return F.concat(F.lit("*"), F.regexp_extract(segment, r"(\.[A-Za-z0-9]{1,5})$", 1))
 
 
-def with_template(urls: DataFrame) -> DataFrame:
-    """Adds `template`, an array of segments, to rows with host and path."""
+def with_template(urls: DataFrame) -> tuple[DataFrame, int]:
+    """Distinct (host, path) with counts and `template`, an array of segments; and the depth of the tree.
+
+    Columns: host, path, n, labelled, bad, salt, template.
+    """
+    paths = urls.groupBy("host", "path").agg(F.count(F.lit(1)).alias("n"), F.count("bad").alias("labelled"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"))
     cells = F.split(F.replace(F.substr("path", F.lit(2)), F.lit("*"), F.lit("%2A")), "/", -1)
-    tail = F.array_join(F.slice("cells", MAX_DEPTH, F.greatest(F.size("cells") - MAX_DEPTH + 1, F.lit(1))), "/")
-    cut = F.when(F.size("cells") > MAX_DEPTH, F.concat(F.slice("cells", 1, MAX_DEPTH - 1), F.array(tail))).otherwise(F.col("cells"))
-    rows = urls.withColumn("cells", F.when(F.col("path") == "", F.array().cast("array<string>")).otherwise(cells)).withColumn("cells", cut)
-    rows = staged(rows.withColumn("template", F.array().cast("array<string>")).withColumn("salt", F.expr(f"pmod(xxhash64(page_id, path), {SALTS})").cast("int")), "urls")
-    depth = rows.agg(F.max(F.size("cells"))).first()[0] or 0
-    for d in range(depth):
+    rows = paths.withColumn("cells", F.when(F.col("path") == "", F.array().cast("array<string>")).otherwise(cells))
+    rows = staged(salted(rows, "path").withColumn("template", F.array().cast("array<string>")), "paths")
+    d = 0
+    while True:
         rows = rows.withColumn("segment", F.get("cells", F.lit(d)))
-        here = rows.where(F.col("segment").isNotNull())
-        counts = here.groupBy("host", "template", "segment").agg(F.count(F.lit(1)).alias("n"))
-        literal = counts.where(F.col("n") >= MIN_ROWS).select("host", "template", "segment", F.lit(True).alias("stays"))
+        counts = rows.where(F.col("segment").isNotNull()).groupBy("host", "template", "segment").agg(F.sum("n").alias("rows"))
+        if counts.groupBy("host", "template").agg(F.sum("rows").alias("rows")).where(F.col("rows") >= MIN_ROWS).isEmpty():
+            rest = F.transform(F.slice("cells", d + 1, F.greatest(F.size("cells") - d, F.lit(0))), lambda _: F.lit("*"))
+            return rows.withColumn("template", F.concat("template", rest)).drop("cells", "segment"), d
+        literal = counts.where(F.col("rows") >= MIN_ROWS).select("host", "template", "segment", F.lit(True).alias("stays"))
         met = salted_join(rows, literal, ["host", "template", "segment"])
         kept = F.when(F.col("stays"), F.col("segment")).otherwise(wildcard(F.col("segment")))
         grown = F.when(F.col("segment").isNull(), F.col("template")).otherwise(F.concat("template", F.array(kept)))
-        rows = staged(met.withColumn("template", grown).drop("segment", "stays"), "urls")
-    return rows.drop("cells")
+        rows = staged(met.withColumn("template", grown).drop("segment", "stays"), "paths")
+        d += 1
 
 
 def salted_join(rows: DataFrame, small: DataFrame, on: list[str]) -> DataFrame:
@@ -99,16 +104,14 @@ def salted(rows: DataFrame, key: str) -> DataFrame:
     return rows.withColumn("salt", F.expr(f"pmod(xxhash64({key}), {SALTS})").cast("int"))
 
 
-def verdicts(rows: DataFrame) -> DataFrame:
-    """(host, template, merged, bad_rate, verdict) per template of rows with host, template and bad (0, 1 or null)."""
-    leaves = staged(
-        rows.groupBy("host", "template").agg(F.count("bad").alias("labelled"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad")), "templates"
-    )
-    corpus = leaves.agg(F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad"), F.max(F.size("template")).alias("depth")).first()
+def verdicts(paths: DataFrame, depth: int) -> DataFrame:
+    """(host, template, merged, bad_rate, judged) per template of rows with host, template, labelled and bad; segments past `depth` are wildcards."""
+    leaves = staged(paths.groupBy("host", "template").agg(F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad")), "templates")
+    corpus = leaves.agg(F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad")).first()
     prior = (corpus["bad"] / corpus["labelled"]) if corpus["labelled"] else 0.0
     tree = salted(leaves.withColumn("merged", F.col("template")), "template")
     sums = lambda rows, key, n, bad: rows.groupBy("host", key).agg(F.sum("labelled").alias(n), F.sum("bad").alias(bad))
-    for d in range((corpus["depth"] or 0) - 1, -1, -1):
+    for d in range(depth - 1, -1, -1):
         pooled = F.transform("merged", lambda s, i: F.when(i == d, F.lit("*")).otherwise(s))  # noqa: B023
         groups = sums(tree.where(F.size("merged") > d), "merged", "labelled", "bad").withColumn("pooled", pooled)
         met = salted_join(salted(groups, "merged"), sums(groups, "pooled", "pn", "pb"), ["host", "pooled"])
@@ -130,8 +133,10 @@ def judge(pages: DataFrame, rules: list[Rule]) -> DataFrame:
     """(page_id, host, path, rule, verdict, template, bad_rate) for pages (page_id, url, bad)."""
     urls = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), F.col("bad").cast("int").alias("bad"))
     urls = urls.fillna("", ["host", "path"])
-    rows = with_template(urls)
-    met = salted_join(rows, verdicts(rows), ["host", "template"])
+    urls = staged(salted(urls, "page_id, path"), "urls")
+    paths, depth = with_template(urls)
+    judged = salted_join(paths, verdicts(paths, depth), ["host", "template"]).select("host", "path", "merged", "bad_rate", "judged")
+    met = salted_join(urls, judged, ["host", "path"])
     text, verdict = matching_rule(rules)
     known = F.when(F.col("host") == "", F.lit("allow")).otherwise(F.coalesce("judged", F.lit("allow")))
     return met.select(
