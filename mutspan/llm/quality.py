@@ -1,8 +1,9 @@
 """Quality classifier: supervised subword embeddings trained with numpy SGD.
 
-Words, their byte n-grams and word pairs (hashed to two buckets: a word repeated,
-or not) have learned vectors; a document is the average of the vectors of all
-its features, followed by a softmax over the two labels. Training takes a bounded sample of labelled rows (SAMPLE_ROWS,
+Words, their character n-grams and word pairs (hashed to two buckets: a word
+repeated, or not) have learned vectors; a document is the average of the vectors
+of all its features, followed by a softmax over the two labels. Training takes a
+bounded sample of labelled rows (SAMPLE_ROWS rows and SAMPLE_BYTES of whole texts,
 by hash of the id, over all sources alike); every document is scored whole. As
 the last layer is linear, a trained model reduces to one number per feature, so
 scoring a block hashes each distinct word once.
@@ -24,11 +25,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mutspan.llm.common import Words, blocks, mix, run_starts, spread_ranges
+from mutspan.llm.common import Words, blocks, mix, run_starts, spread_ranges, staged
 
 _U = np.uint64
 #: Labelled documents that training sees at most.
 SAMPLE_ROWS = 4000
+#: Bytes of their texts, at most; a text that would pass this bound is not learned from.
+SAMPLE_BYTES = 64_000_000
 BUCKETS = 1 << 18
 DIM = 8
 #: SGD steps, a document each: five rounds of a full sample, more of a small one.
@@ -61,17 +64,28 @@ def word_features(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes
     framed[framed_at] = ord("<")
     framed[framed_at + lengths + 1] = ord(">")
     framed[spread_ranges(framed_at + 1, lengths)] = data[spread_ranges(starts, lengths)]
-    eight = np.lib.stride_tricks.as_strided(framed[:8].view(_U), (len(framed) - 7,), (1,))
-    per_gram = [np.maximum(lengths + 3 - n, 0) for n in GRAMS]
+    size = len(framed) - 8
+    eight = np.lib.stride_tricks.as_strided(framed[:8].view(_U), (size + 1,), (1,))
+    # characters: a first byte and the bytes 10xxxxxx behind it
+    first = np.flatnonzero((framed[:size] & 0xC0) != 0x80)
+    width = np.minimum(np.diff(np.append(first, size)), 7)
+    char = eight[first] & ((_U(1) << (width.astype(_U) * _U(8))) - _U(1))
+    char_at = np.searchsorted(first, framed_at)
+    number = np.diff(np.append(char_at, len(first)))
+    per_gram = [np.maximum(number + 1 - n, 0) for n in GRAMS]
     counts = 1 + sum(per_gram)
     at = np.cumsum(counts) - counts
     out = np.empty(int(counts.sum()), np.int32)
     out[at] = (hashes % _U(BUCKETS)).astype(np.int32)
     at = at + 1
-    for n, per in zip(GRAMS, per_gram):
-        gram = eight[spread_ranges(framed_at, per)] & _U((1 << (8 * n)) - 1)
-        out[spread_ranges(at, per)] = (mix(gram * _U(8) + _U(n)) % _U(BUCKETS)).astype(np.int32)
-        at = at + per
+    gram = np.zeros(len(char), _U)
+    for n in range(1, max(GRAMS) + 1):
+        here = max(0, len(char) + 1 - n)
+        gram = mix(gram[:here] * _U(31) + char[n - 1 :] + _U(n))  # of the n characters from here on
+        if n in GRAMS:
+            per = per_gram[GRAMS.index(n)]
+            out[spread_ranges(at, per)] = (gram[spread_ranges(char_at, per)] % _U(BUCKETS)).astype(np.int32)
+            at = at + per
     return out, counts
 
 
@@ -150,13 +164,21 @@ def train(texts: list[str], labels: np.ndarray, seed: int = 7) -> Model:
     return Model((table @ (out[1] - out[0])).astype(np.float32), float(bias[1] - bias[0]))
 
 
-def sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> tuple[list[str], np.ndarray]:
-    """At most `rows` labelled training documents, in id order."""
+def sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, size: int = SAMPLE_BYTES) -> tuple[list[str], np.ndarray]:
+    """At most `rows` labelled training documents of `size` bytes together, in id order; texts are whole."""
     usable = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     chosen = usable.groupBy("doc_id").agg(F.min("quality").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # at most `rows` ids
-    found = texts.groupBy("doc_id", "quality").agg(F.min("text").alias("text")).orderBy("doc_id").toPandas()
-    return found["text"].fillna("").tolist(), found["quality"].to_numpy(np.int64)
+    found = staged(texts.groupBy("doc_id", "quality").agg(F.coalesce(F.min("text"), F.lit("")).alias("text")), "sample")
+    sizes = found.select("doc_id", F.octet_length("text").alias("bytes")).orderBy(F.xxhash64("doc_id"), "doc_id").collect()
+    total, out = 0, []
+    for r in sizes:  # `rows` numbers at most
+        if total + r["bytes"] <= size:
+            total += r["bytes"]
+        else:
+            out.append(r["doc_id"])
+    fitting = found.where(~F.col("doc_id").isin(out)).orderBy("doc_id").toPandas()
+    return fitting["text"].tolist(), fitting["quality"].to_numpy(np.int64)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
