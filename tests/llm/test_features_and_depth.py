@@ -1,9 +1,9 @@
-"""Character features of the quality classifier, its bounded sample, and url trees of any depth, beside plain versions."""
+"""Character features of the quality classifier, and its bounded sample, beside plain versions."""
 
 import numpy as np
 import pytest
 
-from mutspan.llm import quality, url_filter
+from mutspan.llm import quality
 from mutspan.llm.common import Words, mix
 
 
@@ -39,38 +39,3 @@ def test_sample_is_bounded_by_bytes_and_keeps_texts_whole(spark):
     assert len(every) == len(marks) and set(some) < set(every) and 0 < sum(map(len, some)) <= 3000
     assert all(len(t) % 10 == 0 for t in some)
     assert quality.sample(docs.limit(0), labels)[0] == []
-
-
-def plain_templates(paths):
-    """Template of each path of one host, level by level."""
-    cells = [[] if not p else p[1:].replace("*", "%2A").split("/") for p in paths]
-    template, d = [()] * len(paths), 0
-    while True:
-        here = [i for i in range(len(paths)) if len(cells[i]) > d]
-        count = lambda key: sum(1 for j in here if key(j))
-        if not any(count(lambda j, i=i: template[j] == template[i]) >= url_filter.MIN_ROWS for i in here):
-            return [t + ("*",) * max(0, len(c) - d) for t, c in zip(template, cells)]
-        before = list(template)
-        for i in here:
-            seg = cells[i][d]
-            n = sum(1 for j in here if before[j] == before[i] and cells[j][d] == seg)
-            ending = seg.rpartition(".")[2] if "." in seg else ""
-            ending = f".{ending}" if 0 < len(ending) <= 5 and ending.isascii() and ending.isalnum() else ""
-            template[i] = before[i] + (seg if n >= url_filter.MIN_ROWS else "*" + ending,)
-        d += 1
-
-
-def test_templates_of_any_depth(spark):
-    deep = "/" + "/".join(f"s{i}" for i in range(14))
-    paths = [f"{deep}/good/{i}.html" for i in range(9)] + [f"{deep}/bad/{i}.html" for i in range(9)] + ["", "/", "/a*b", "/x/y/z.htm"] + ["/same"] * 6
-    paths += [f"/p{i % 3}/{i}/q{i % 2}" for i in range(30)] + ["/lone/" + "/".join("abcdefghijklmnop")] * 2
-    rows = [(i, f"http://h.net{p}?q", int("/bad/" in p)) for i, p in enumerate(paths)]
-    pages = spark.createDataFrame([(*r, "extra") for r in rows], "page_id long, url string, bad int, host string")
-    urls = pages.select("page_id", url_filter.host_of(pages.url).alias("host"), url_filter.path_of(pages.url).alias("path"), "bad")
-    found, depth = url_filter.with_template(urls)
-    got = {r.path: (tuple(r.template), r.n, r.bad) for r in found.collect()}
-    assert depth == 16 and len(got) == len(set(paths))
-    for path, template in zip(paths, plain_templates(paths)):
-        assert got[path] == (template, paths.count(path), paths.count(path) if "/bad/" in path else 0)
-    judged = {r.page_id: r.verdict for r in url_filter.judge(pages, []).collect()}
-    assert judged == {i: "block" if bad else "allow" for i, _, bad in rows}
