@@ -488,7 +488,8 @@ def expiring_mutant_state(spark, sf):
     events = table(spark, sf, "events")
     stream = _timed(v.traj_of(_stream_of(spark, _in_batches(spark, events, _five_days(), 6), events)))
     root = shared_folder(spark, "stream")
-    _run(jobs.write_updates(mutants.mutant_status(stream, "generated_at", "1 hour", 86_400_000), f"{root}/out", f"{root}/checkpoint"))
+    statuses = mutants.mutant_status(stream, "generated_at", "1 hour", 86_400_000)
+    _run(jobs.write_updates(statuses, f"{root}/out", f"{root}/checkpoint", state_store=mutants.STATE_STORE))
     return mutants.read_mutant_status(spark, f"{root}/out")
 
 

@@ -20,6 +20,8 @@ from ..functions.status import is_true
 from ..functions.text import safe
 
 STATE = "last_line_no long, last_status string, killed_ever boolean, due_ms long"
+#: Timers and state of one processor are column families, which the default provider lacks.
+STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 OUT = "mutant_id string, last_status string, last_line_no long, killed_ever boolean"
 
 

@@ -107,3 +107,18 @@ def test_a_folder_that_lost_rows_is_an_error(spark, tmp_path):
     spark.range(1).select(F.lit(1).cast("long").alias("line_no")).write.mode("overwrite").parquet(f"{out}/{folder}")
     with pytest.raises(ValueError, match="1 rows in the listed folders, 2 in the manifest"):
         commits.read_committed(spark, out, "line_no long")
+
+
+def test_expiring_state_needs_no_setting_of_the_session(spark, tmp_path):
+    plain = "org.apache.spark.sql.execution.streaming.state.HDFSBackedStateStoreProvider"
+    before = spark.conf.get(jobs.PROVIDER)
+    spark.conf.set(jobs.PROVIDER, plain)
+    try:
+        source = stream(spark, str(tmp_path / "in"), [[record(1, "a", 0, "KILLED"), record(2, "a", 1)], [record(3, "b", 2)]])
+        statuses = mutants.mutant_status(source, "at", "1 hour", 3_600_000)
+        finish(jobs.write_updates(statuses, str(tmp_path / "out"), str(tmp_path / "cp"), state_store=mutants.STATE_STORE))
+        assert spark.conf.get(jobs.PROVIDER) == plain
+    finally:
+        spark.conf.set(jobs.PROVIDER, before)
+    got = {tuple(r) for r in mutants.read_mutant_status(spark, str(tmp_path / "out")).collect()}
+    assert got == {("a", "SURVIVED", 2, True), ("b", "SURVIVED", 3, False)}
