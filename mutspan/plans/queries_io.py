@@ -388,7 +388,7 @@ def tables(spark, sf):
 
 # --- streams ---------------------------------------------------------------------------
 def _event_stream(spark, sf):
-    return v.traj_of(jobs.parquet_stream(spark, sf, table(spark, sf, "events"), pattern="events.parquet"))
+    return v.traj_of(jobs.table_stream(spark, sf, "events", table(spark, sf, "events")))
 
 
 def _run(query_):
@@ -422,7 +422,7 @@ def streamed_mutant_state(spark, sf):
 @query("T3_streamed_feedback", queries_facts.M7_SQL, ("v_traj", "v_feedback"))
 def streamed_feedback(spark, sf):
     root = shared_folder(spark, "stream")
-    events = jobs.parquet_stream(spark, sf, table(spark, sf, "events"), pattern="events.parquet")
+    events = jobs.table_stream(spark, sf, "events", table(spark, sf, "events"))
     rows = queries_facts.event_rows(v.v_feedback(events, Targets()))
     _run(jobs.write_updates(jobs.feedback_state(rows), f"{root}/out", f"{root}/checkpoint"))
     return queries_facts.event_columns(jobs.read_state(spark, f"{root}/out", up.EVENT_KEY))
@@ -440,7 +440,7 @@ def streamed_bandit(spark, sf):
 def streamed_linear(spark, sf):
     qh = queries_history
     root = shared_folder(spark, "stream")
-    source = jobs.parquet_stream(spark, sf, table(spark, sf, "embeddings"), pattern="embeddings.parquet")
+    source = jobs.table_stream(spark, sf, "embeddings", table(spark, sf, "embeddings"))
     rows = qh.bd.policy_rows(qh.linear_rows(source))
     _run(jobs.write_updates(rows, f"{root}/out", f"{root}/checkpoint", "append", jobs.linear_update(qh.DIM)))
     return jobs.summed_linear_state(spark, f"{root}/out", 1.0).withColumn("value", F.round("value", 6))

@@ -122,3 +122,15 @@ def test_expiring_state_needs_no_setting_of_the_session(spark, tmp_path):
         spark.conf.set(jobs.PROVIDER, before)
     got = {tuple(r) for r in mutants.read_mutant_status(spark, str(tmp_path / "out")).collect()}
     assert got == {("a", "SURVIVED", 2, True), ("b", "SURVIVED", 3, False)}
+
+
+@pytest.mark.parametrize("parts", [0, 3])
+def test_a_table_streams_as_one_file_or_as_a_folder(spark, tmp_path, parts):
+    rows = [(i, i * i) for i in range(20)]
+    frame = spark.createDataFrame(rows, "a long, b long")
+    frame.repartition(parts or 1).write.parquet(str(tmp_path / ("t.parquet" if parts else "folder")))
+    if not parts:
+        (next((tmp_path / "folder").glob("*.parquet"))).rename(tmp_path / "t.parquet")
+    spark.createDataFrame([(-1, -1)], "a long, b long").write.parquet(str(tmp_path / "other.parquet"))
+    finish(jobs.write_updates(jobs.table_stream(spark, str(tmp_path), "t", frame, 1), str(tmp_path / "out"), str(tmp_path / "cp"), "append"))
+    assert sorted((r.a, r.b) for r in spark.read.parquet(str(tmp_path / "out")).collect()) == rows
