@@ -239,7 +239,9 @@ def log_artifacts(spark, sf):
     artifacts = table(spark, sf, "part").select(
         F.col("p_size").alias("method"), F.col("p_brand").alias("operator"), F.col("p_type").alias("class_f"), "p_name"
     )
-    return mg.join_log_artifacts(log, artifacts).groupBy("log_id").agg(F.count(F.lit(1)).alias("matches"), F.min("p_name").alias("first_name"))
+    # artifacts of one key are counted before they meet its log rows, which would each take them all
+    counted = artifacts.groupBy("method", "operator", "class_f").agg(F.count(F.lit(1)).alias("_n"), F.min("p_name").alias("p_name"))
+    return mg.join_log_artifacts(log, counted).groupBy("log_id").agg(F.sum("_n").alias("matches"), F.min("p_name").alias("first_name"))
 
 
 @query(
