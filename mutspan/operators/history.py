@@ -135,10 +135,10 @@ def _references_in_scope(targets: DataFrame, refs: DataFrame, scope: str, names:
     firsts = best_per_key(pairs_of_name.filter("_n = 1"), ["_key"], by_reward, keep + 1, "_rank").drop("_rank")
     seconds = pairs_of_name.filter("_n = 2").join(firsts.select("_key", "test_name"), ["_key", "test_name"], "left_semi")
     short = firsts.unionByName(seconds).select("_key", "ref_id", "test_name", "reward", *names)
-    lookup = targets.withColumn("_key", F.explode(_scope_keys(scope))).select(
-        "_key", "mutant_id", *[F.col(c).alias(f"t_{c}") for c in names]
-    )
-    met = lookup.join(short, "_key").filter(F.col("ref_id") != F.col("mutant_id"))
+    # targets that are equal in all attributes look up the short lists once
+    profile = [f"t_{c}" for c in names]
+    alike = targets.select(*names).distinct().withColumn("_key", F.explode(_scope_keys(scope)))
+    met = alike.select("_key", *[F.col(c).alias(t) for c, t in zip(names, profile)]).join(short, "_key").filter(F.col("ref_id").isNotNull())
     same_method = F.col("t_method") == F.col("method")
     rel = relation(same_method & (F.col("t_line") != "") & (F.col("t_line") == F.col("line")), same_method)
     scored = met.withColumn("relation", rel).withColumn(
@@ -150,7 +150,18 @@ def _references_in_scope(targets: DataFrame, refs: DataFrame, scope: str, names:
     )
     # smallest struct = highest similarity, then highest reward, then smallest id
     place = F.struct((-F.col("similarity")).alias("s"), (-F.col("reward")).alias("r"), "ref_id", "relation")
-    unique = scored.groupBy("mutant_id", "test_name").agg(F.min(place).alias("_p"))
+    # a target leaves out itself: so two references per name and one name more than asked for
+    seen = scored.groupBy(*profile, "test_name", "ref_id").agg(F.min(place).alias("_p"))
+    two = best_per_key(seen, [*profile, "test_name"], [F.col("_p")], 2, "_n")
+    per_name = two.groupBy(*profile, "test_name").agg(F.array_sort(F.collect_list("_p")).alias("_two"))
+    per_profile = best_per_key(per_name, profile, [F.col("_two")[0]], keep + 1, "_rank").groupBy(*profile).agg(
+        F.collect_list(F.struct("test_name", "_two")).alias("_names")
+    )
+    own = targets.select("mutant_id", *[F.col(c).alias(t) for c, t in zip(names, profile)])
+    offered = own.join(per_profile, profile).select("mutant_id", F.explode("_names").alias("_o")).select(
+        "mutant_id", "_o.test_name", F.get(F.filter("_o._two", lambda p: p["ref_id"] != F.col("mutant_id")), F.lit(0)).alias("_p")
+    )
+    unique = offered.filter(F.col("_p").isNotNull()).groupBy("mutant_id", "test_name").agg(F.min("_p").alias("_p"))
     return best_per_key(unique, ["mutant_id"], [F.col("_p")], keep, "_rank").drop("_rank")
 
 
@@ -161,7 +172,8 @@ def similar_references(targets: DataFrame, history: DataFrame, keep: int) -> Dat
     Among references that share one combination of attributes with a target,
     the order is by reward; so only the first ``keep`` + 1 test names of each
     combination can matter (one of them may be the target's own). Targets meet
-    those short lists instead of every reference of their class. Any reference
+    those short lists instead of every reference of their class, and targets of
+    equal attributes meet them together. Any reference
     of the same site beats all others of the method, and those beat the rest of
     the class; so wider scopes are only searched for targets that still miss
     references. Test names stay unique per target; equal scores go by reward,

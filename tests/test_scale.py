@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from mutspan.operators import history as hs
 from mutspan.plans import queries_merge
 
 METHODS = "method_id long, type_id string, name string, signature string, return_type string, visibility string, is_static boolean, is_constructor boolean, begin_line int, end_line int"
@@ -47,3 +48,17 @@ def test_log_rows_meet_counted_artifacts(spark, tmp_path):
     rows, most = most_rows(queries_merge.log_artifacts(spark, str(tmp_path)))
     assert sorted(rows) == [(i * 10 + 1, n, "n0000") for i in range(n)]
     assert most <= 2 * n
+
+
+def test_equal_targets_meet_the_references_together(spark):
+    n = 300
+    columns = "mutant_id string, project string, class_name string, method string, line string, operator string, observable string, entry_kind string, invocation string"
+    targets = spark.createDataFrame([(f"M{i}", "p", "C", "m", "7", f"A_{i % 2}", "o", "e", "v") for i in range(n)], columns)
+    refs = targets.withColumnRenamed("mutant_id", "ref_id").withColumns(
+        {"test_name": F.concat(F.lit("T"), F.substring("ref_id", 2, 9)), "reward": (F.substring("ref_id", 2, 9).cast("int") % 5).cast("double")}
+    )
+    names = ["project", "class_name", "method", "line", *hs.TRAITS]
+    rows, most = most_rows(hs._references_in_scope(targets, refs, "same_site", names, 2).select("mutant_id", "_p.ref_id"))
+    best = [sorted((f"M{i}" for i in range(n) if i % 5 == 4 and i % 2 == k))[:3] for k in (0, 1)]
+    assert sorted(rows) == sorted((f"M{i}", r) for i in range(n) for r in [r for r in best[i % 2] if r != f"M{i}"][:2])
+    assert most <= 26 * n  # the references' own keys
