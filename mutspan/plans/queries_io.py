@@ -252,9 +252,13 @@ SELECT row_no, mutant, test_set_name, mapping_status, compiled, CASE WHEN row_no
     ("v_entries",),
 )
 def target_entry_files(spark, sf):
-    """A folder per fifty entries: an array alone or under one of two names, with a CSV that must not be read; every fourth folder has a CSV only."""
+    """Fifty entries are of one kind: an array alone or under one of two names, with a CSV that must not be read; every fourth kind is a CSV only.
+
+    A folder takes fifty lots of one kind: files far smaller than that cost more than their entries.
+    """
     root = shared_folder(spark, "entries")
-    e = v.v_entries(spark, sf).withColumn("pile", F.floor(F.col("row_no") / 50))
+    lot = F.floor(F.col("row_no") / 50)
+    e = v.v_entries(spark, sf).withColumn("pile", F.floor(lot / 200) * 4 + lot % 4)
     fields = {
         "rowIndex": F.col("row_no").cast("string"), "projectName": F.col("project"), "targetClassName": F.concat(F.lit('quoted ", '), "class_name"), "methodSignature": F.col("method"),
         "mutantName": F.col("mutant"), "testSetName": F.col("test_set_name"), "compiled": F.col("compiled").cast("string"), "mappingStatus": F.col("mapping_status"),

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from mutspan.operators import history as hs
-from mutspan.plans import queries_merge
+from mutspan.plans import queries_io, queries_merge
 
 METHODS = "method_id long, type_id string, name string, signature string, return_type string, visibility string, is_static boolean, is_constructor boolean, begin_line int, end_line int"
 CALLS = "call_id long, caller_method_id long, callee_method_id long, callee_method_name string, line_number int"
@@ -62,3 +62,13 @@ def test_equal_targets_meet_the_references_together(spark):
     best = [sorted((f"M{i}" for i in range(n) if i % 5 == 4 and i % 2 == k))[:3] for k in (0, 1)]
     assert sorted(rows) == sorted((f"M{i}", r) for i in range(n) for r in [r for r in best[i % 2] if r != f"M{i}"][:2])
     assert most <= 26 * n  # the references' own keys
+
+
+def test_a_folder_takes_many_entries(spark, tmp_path, monkeypatch):
+    n = 2000
+    monkeypatch.setattr(queries_io, "shared_folder", lambda *_: str(tmp_path / "tree"))
+    rows = [(i, i % 30, "OFP"[i % 3], "1-URGENT") for i in range(n)]
+    spark.createDataFrame(rows, "o_orderkey long, o_custkey long, o_orderstatus string, o_orderpriority string").write.parquet(str(tmp_path / "orders.parquet"))
+    got = queries_io.target_entry_files(spark, str(tmp_path)).select("row_no", "mutant", "origin").collect()
+    assert sorted(tuple(r) for r in got) == [(i, f"M{i % 30}", "csv" if i // 50 % 4 == 3 else "json") for i in range(n)]
+    assert len(list((tmp_path / "tree").glob("pile=*"))) == 4
