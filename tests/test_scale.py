@@ -1,7 +1,10 @@
 """Steps whose rows must grow with their input, not with the square of a group."""
 
+import pytest
 from pyspark.sql import functions as F
 
+from mutspan.operators import candidates as cd
+from mutspan.operators import facts as fc
 from mutspan.operators import history as hs
 from mutspan.plans import queries_io, queries_merge
 
@@ -72,3 +75,32 @@ def test_a_folder_takes_many_entries(spark, tmp_path, monkeypatch):
     got = queries_io.target_entry_files(spark, str(tmp_path)).select("row_no", "mutant", "origin").collect()
     assert sorted(tuple(r) for r in got) == [(i, f"M{i % 30}", "csv" if i // 50 % 4 == 3 else "json") for i in range(n)]
     assert len(list((tmp_path / "tree").glob("pile=*"))) == 4
+
+
+@pytest.mark.parametrize("kind", ["live", "stored"])
+def test_first_entries_pair_no_whole_type(spark, kind):
+    n, keep = 200, 3
+    methods, calls, _, _ = one_type(spark, n)
+    anchors = cd.anchors_of(methods)
+    if kind == "live":
+        every, best = cd.live_entries(anchors, methods, calls), cd.best_live_entries(anchors, methods, calls, keep)
+    else:
+        distances = anchors.select("anchor_id", F.col("anchor_id").alias("method_id"), F.lit(0).alias("distance"))
+        every, best = cd.entry_scores(anchors, methods, distances), cd.best_entries(anchors, methods, distances, keep)
+    rows, most = most_rows(best.select("anchor_id", "method_id", "score"))
+    want = {}
+    for r in every.collect():
+        want.setdefault(r.anchor_id, []).append((-r.score, r.begin_line, r.method_id))
+    assert sorted(rows) == sorted((a, m, -s) for a, found in want.items() for s, _, m in sorted(found)[:keep])
+    assert most <= 12 * n
+
+
+def test_fallback_witnesses_need_first_entries_and_observables_only(spark):
+    n = 120
+    methods, calls, accesses, fields = one_type(spark, n)
+    anchors = cd.anchors_of(methods)
+    entries, spread = cd.live_entries(anchors, methods, calls, keep=2), fc.propagation_candidates(anchors, methods, accesses, fields, keep=2)
+    assert entries.count() <= 8 * n and spread.count() <= 8 * n
+    whole = cd.witness_fallback(cd.live_entries(anchors, methods, calls), cd.observables_fallback(anchors, fc.propagation_candidates(anchors, methods, accesses, fields)))
+    some = cd.witness_fallback(entries, cd.observables_fallback(anchors, spread))
+    assert sorted(map(tuple, some.collect())) == sorted(map(tuple, whole.collect()))
