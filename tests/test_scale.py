@@ -104,3 +104,19 @@ def test_fallback_witnesses_need_first_entries_and_observables_only(spark):
     whole = cd.witness_fallback(cd.live_entries(anchors, methods, calls), cd.observables_fallback(anchors, fc.propagation_candidates(anchors, methods, accesses, fields)))
     some = cd.witness_fallback(entries, cd.observables_fallback(anchors, spread))
     assert sorted(map(tuple, some.collect())) == sorted(map(tuple, whole.collect()))
+
+
+def test_a_line_meets_the_spans_near_it(spark):
+    n = 400
+    schema = "method_id long, variant_id int, type_simple_name string, name string, begin_line int, end_line int"
+    spans = [(i, 1, "T", "m", 10 * i, 10 * i + (200 if i % 40 == 0 else 5)) for i in range(n)]
+    methods = spark.createDataFrame([*spans, (n, 1, "T", "m", 30, 20), (n + 1, 1, "T", "m", None, 9)], schema)
+    requests = spark.createDataFrame([(i, 1, "T", "m", 10 * (i % n) + i % 9) for i in range(2 * n)], "request_id long, variant_id int, type_simple_name string, name string, line int")
+    rows, most = most_rows(fc.methods_by_line(requests, methods).select("request_id", "method_id"))
+    want = {}
+    for i in range(2 * n):
+        line = 10 * (i % n) + i % 9
+        found = sorted((end - begin, m) for m, _, _, _, begin, end in spans if begin <= line <= end)
+        want.update({i: found[0][1]} if found else {})
+    assert dict(rows) == want and len(rows) == len(want)
+    assert most <= 24 * n
