@@ -149,7 +149,9 @@ def row_signatures(spark, sf):
     )
     inside = F.array_join(F.slice(every, 1, k), ", ")
     stars = F.array_join(F.array_repeat(F.when(size % 5 == 0, "String").otherwise("*"), k.cast("int")), ",")
-    rows = table(spark, sf, "part").select(
+    # a row costs far more than its few bytes, by which a file is cut into tasks
+    parts = table(spark, sf, "part").select("p_partkey", "p_name", "p_brand", "p_size").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
+    rows = parts.select(
         F.col("p_partkey").alias("part"), F.concat(F.lit("org.demo."), owner, F.lit("#static java.util.List<String> "), name, F.lit("("), inside, F.lit(")")).alias("raw"),
         F.concat(F.lit("boolean_"), name, F.lit("("), inside, F.lit(")")).alias("flat"), F.concat(owner, F.lit("("), stars, F.lit(")")).alias("call"),
         F.concat(F.lit("demo."), owner, F.lit("<T>")).alias("owner"), F.concat(F.lit("org.demo."), owner, F.lit("$In"), size.cast("string")).alias("inner"),

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from mutspan.operators import candidates as cd
 from mutspan.operators import facts as fc
 from mutspan.operators import history as hs
-from mutspan.plans import queries_io, queries_merge
+from mutspan.plans import queries_functions, queries_io, queries_merge
 
 METHODS = "method_id long, type_id string, name string, signature string, return_type string, visibility string, is_static boolean, is_constructor boolean, begin_line int, end_line int"
 CALLS = "call_id long, caller_method_id long, callee_method_id long, callee_method_name string, line_number int"
@@ -120,3 +120,11 @@ def test_a_line_meets_the_spans_near_it(spark):
         want.update({i: found[0][1]} if found else {})
     assert dict(rows) == want and len(rows) == len(want)
     assert most <= 24 * n
+
+
+def test_rows_of_a_small_file_are_dealt_to_all_tasks(spark, tmp_path):
+    parts = spark.createDataFrame([(i, "red ring", f"Brand#{i % 9}", i % 50) for i in range(100)], "p_partkey long, p_name string, p_brand string, p_size int")
+    parts.coalesce(1).write.parquet(str(tmp_path / "part.parquet"))
+    rows = queries_functions.row_signatures(spark, str(tmp_path))
+    assert rows.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert rows.select("part").distinct().count() == 100
