@@ -128,3 +128,27 @@ def test_rows_of_a_small_file_are_dealt_to_all_tasks(spark, tmp_path):
     rows = queries_functions.row_signatures(spark, str(tmp_path))
     assert rows.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
     assert rows.select("part").distinct().count() == 100
+
+
+def test_direct_callers_by_name_leave_no_doubles_and_are_not_shuffled(spark):
+    n = 60
+    methods, calls, _, _ = one_type(spark, n)
+    twice = methods.unionByName(methods.filter("method_id < 5")).unionByName(
+        methods.filter("method_id = 7").withColumn("name", F.lit("k"))).unionByName(methods.filter("method_id = 9").withColumn("name", F.lit(None).cast("string")))
+    only_id = spark.createDataFrame([(900, 1, 50, "other", 1)], CALLS)
+    nameless = twice.filter("method_id <> 50").unionByName(methods.filter("method_id = 50").withColumn("name", F.lit(None).cast("string")))
+    found = fc.direct_callers(cd.anchors_of(nameless), nameless, calls.unionByName(only_id))
+    rows = [tuple(r) for r in found.collect()]
+    want = {(a, m) for a in range(n) if a != 50 for m in range(n)} | {(50, 49), (50, 1)}
+    assert len(rows) == len(set(rows)) and set(rows) == want
+    plain = fc.direct_callers(cd.anchors_of(methods), methods, calls)
+    plain.collect()
+    written, todo = 0, [plain._jdf.queryExecution().executedPlan()]
+    while todo:
+        plan = todo.pop()
+        kind = plan.getClass().getSimpleName()
+        todo += [plan.executedPlan()] if kind == "AdaptiveSparkPlanExec" else [plan.plan()] if kind.endswith("QueryStageExec") else []
+        todo += [plan.children().apply(i) for i in range(plan.children().size())]
+        if kind == "ShuffleExchangeExec":
+            written = max(written, plan.metrics().apply("shuffleRecordsWritten").value())
+    assert written <= 4 * n
