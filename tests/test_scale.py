@@ -152,3 +152,52 @@ def test_direct_callers_by_name_leave_no_doubles_and_are_not_shuffled(spark):
         if kind == "ShuffleExchangeExec":
             written = max(written, plan.metrics().apply("shuffleRecordsWritten").value())
     assert written <= 4 * n
+
+
+def most_shuffled(df):
+    """Most records that one exchange of the plan sent, after a run without broadcasts."""
+    spark = df.sparkSession
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = df.select("*")
+        df.collect()
+        most, todo = 0, [df._jdf.queryExecution().executedPlan()]
+        while todo:
+            plan = todo.pop()
+            kind = plan.getClass().getSimpleName()
+            if kind == "AdaptiveSparkPlanExec":
+                todo.append(plan.executedPlan())
+            elif kind.endswith("QueryStageExec"):
+                todo.append(plan.plan())
+            children = plan.children()
+            todo += [children.apply(i) for i in range(children.size())]
+            if plan.metrics().contains("shuffleRecordsWritten"):
+                most = max(most, plan.metrics().apply("shuffleRecordsWritten").value())
+        return most
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_live_entries_shuffle_their_sides_only(spark):
+    n = 300
+    methods, calls, _, _ = one_type(spark, n)
+    entries = cd.live_entries(cd.anchors_of(methods), methods, calls)
+    assert entries.count() > 200 * n
+    assert 0 < most_shuffled(entries) <= cd.ANCHOR_PARTS * n
+
+
+def test_live_entries_of_repeated_and_missing_keys(spark):
+    rows = [
+        (1, "T", "a"), (1, "U", "b"), (2, "T", "c"), (2, "T", "c"), (3, "T", "a"), (4, "U", "d"), (5, "T", None), (6, None, "a"), (None, "T", "a"), (7, "U", "a"), (7, "T", "e"),
+    ]
+    methods = spark.createDataFrame([(i, t, n, f"{n}()", "int", "public", False, False, k, 0) for k, (i, t, n) in enumerate(rows)], METHODS)
+    calls = spark.createDataFrame([(1, 2, 1, "x", 1), (2, 4, None, "b", 1), (3, 3, 5, None, 1), (4, 3, 9, "c", 1), (5, 7, None, "a", 1), (6, None, 1, "a", 1), (7, 6, 1, "a", 1)], CALLS)
+    anchors = cd.anchors_of(methods)
+    callers = {tuple(r) for r in fc.direct_callers(anchors, methods, calls).collect()}
+    found = cd.live_entries(anchors, methods, calls).select("anchor_id", "method_id", "begin_line", "score").collect()
+    want = [
+        (a, m, line, 60.0 + (120.0 if (a, m) in callers else 0.0))
+        for a, t, _ in rows for line, (m, u, _) in enumerate(rows) if t is not None and t == u and None not in (a, m) and a != m
+    ]
+    assert sorted(map(tuple, found)) == sorted(want) and callers
