@@ -10,6 +10,7 @@ from ..functions import fixed
 from ..functions.outcomes import with_runner_kill, worker_failure_text
 from ..functions.status import is_true
 from ..functions.text import first_match, ratio, safe
+from ..session import cut_lineage
 from .ordering import best_per_key, first_by
 
 
@@ -25,7 +26,7 @@ def complete_results(originals: DataFrame, results: DataFrame, runs: DataFrame,
     """
     keys = ["class_name", "mutant"]
     recorded = results.join(originals, ["class_name", "test"], "left").groupBy(*keys, "original_result", "mutant_result")
-    recorded = recorded.agg(F.count(F.lit(1)).alias("tests"))
+    recorded = cut_lineage(recorded.agg(F.count(F.lit(1)).alias("tests")))  # read by four parts of the result
     reported = recorded.groupBy(*keys, "original_result").agg(F.sum("tests").alias("_reported"))
     any_result = reported.select(*keys).distinct().withColumn("_any", F.lit(True))
     judged = runs.join(any_result, keys, "left").withColumn("_good", is_true("succeeded") & is_true("_any"))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import adequacy as ad
 from ..operators import killmatrix as km
+from ..session import cut_lineage
 from . import views as v
 from .registry import query
 from .views import table
@@ -68,7 +69,8 @@ def failed_workers(spark, sf):
         (~late).alias("succeeded"), late.alias("timed_out"), F.lit("").alias("message"),
     )
     full = km.complete_results(originals, results, runs, 3000)
-    return km.with_kills(full).groupBy("class_name", "kills").agg(F.sum("tests").alias("outcomes"))
+    texts = full.groupBy("class_name", "original_result", "mutant_result").agg(F.sum("tests").alias("tests"))
+    return km.with_kills(cut_lineage(texts)).groupBy("class_name", "kills").agg(F.sum("tests").alias("outcomes"))
 
 
 @query(

@@ -1,6 +1,6 @@
 """Steps that several parts of a result read are taken once."""
 
-from mutspan.operators import facts
+from mutspan.operators import facts, killmatrix
 
 REQUESTS = "request_id long, mutant_id string"
 MUTANTS = "mutant_row_id long, mutant_id string, project string, class_name string, method string, operator string"
@@ -24,3 +24,15 @@ def test_names_of_a_request_meet_one_table_each(spark):
     # exact id; simple class name, smallest row; operator of the full class name; bare name alone
     assert got == [(1, 5, 1), (2, 6, 2), (3, 8, 2), (4, 9, 3)]
     assert joins(found) == 2
+
+
+def test_recorded_results_are_counted_once(spark):
+    originals = spark.createDataFrame([("C", "a", "pass"), ("C", "b", "x"), ("C", "c", None)], "class_name string, test string, original_result string")
+    results = spark.createDataFrame([("C", 1, "a", "pass"), ("C", 2, "b", "y"), ("C", 4, "c", "z")], "class_name string, mutant int, test string, mutant_result string")
+    runs = spark.createDataFrame([("C", i, i != 2, False, "lost") for i in (1, 2, 3, 4)], "class_name string, mutant int, succeeded boolean, timed_out boolean, message string")
+    full = killmatrix.complete_results(originals, results, runs, 3000)
+    got = sorted(((r["mutant"], r["original_result"] or "", r["mutant_result"], r["tests"]) for r in full.collect()))
+    lost = [(i, o, "worker_error: lost", 1) for i in (2, 3) for o in ("pass", "x")]
+    assert got == sorted([(1, "pass", "pass", 1), (1, "x", "pass", 1), (4, "", "z", 1), (4, "pass", "pass", 1), (4, "x", "pass", 1), *lost])
+    # tests meet their original results once, not in each part
+    assert joins(full) <= 7
