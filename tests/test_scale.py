@@ -201,3 +201,26 @@ def test_live_entries_of_repeated_and_missing_keys(spark):
         for a, t, _ in rows for line, (m, u, _) in enumerate(rows) if t is not None and t == u and None not in (a, m) and a != m
     ]
     assert sorted(map(tuple, found)) == sorted(want) and callers
+
+
+def leaves_of_plan(df):
+    """Inputs that the optimized plan reads, each as often as it is read."""
+    return df._jdf.queryExecution().optimizedPlan().collectLeaves().size()
+
+
+def test_observers_are_read_once(spark):
+    methods = [(1, "T", "a", "a()", "int"), (2, "T", "b", "b()", "void"), (3, "T", "c", "c()", "void"), (3, "T", "c", "c()", "void"), (None, "T", "d", "d()", "void")]
+    rows = [(i, t, n, s, r, "public", False, False, 1, 2) for i, t, n, s, r in methods]
+    anchors = cd.anchors_of(spark.createDataFrame(rows, METHODS))
+    best = spark.createDataFrame(
+        [(1, 2, 40.0, "f", "STATE_EFFECT", "b()"), (2, 1, 45.0, "f", "STATE_EFFECT", "a()"), (2, 3, 300.0, "f", "STATE_EFFECT", "c()")],
+        "anchor_id long, method_id long, priority double, field_name string, observer_kind string, observer_signature string",
+    )
+    found = cd.observable_candidates(anchors, best)
+    assert leaves_of_plan(found) == 3
+    seen, done = "PUBLIC_METHOD_DEPENDS_ON_MUTATED_STATE", "METHOD_COMPLETION"
+    got = found.select("anchor_id", "method_id", "observable_kind", "observable_rank", "is_primary").collect()
+    assert sorted(map(tuple, got), key=str) == sorted(
+        [(1, 1, "RETURN_VALUE", 1, True), (1, 2, seen, 2, False), (2, 3, seen, 1, True), (2, 1, seen, 2, False), (3, 3, done, 1, True), (3, 3, done, 2, False), (None, None, done, 1, True)],
+        key=str,
+    )
