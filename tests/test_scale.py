@@ -224,3 +224,16 @@ def test_observers_are_read_once(spark):
         [(1, 1, "RETURN_VALUE", 1, True), (1, 2, seen, 2, False), (2, 3, seen, 1, True), (2, 1, seen, 2, False), (3, 3, done, 1, True), (3, 3, done, 2, False), (None, None, done, 1, True)],
         key=str,
     )
+
+
+def test_context_items_are_made_once_per_scope(spark):
+    n = 150
+    links = spark.createDataFrame([(i, 1) for i in range(n)] + [(0, 1), (0, 2), (None, 1), (n, None)], "mutant int, method int")
+    calls = spark.createDataFrame([(1, i) for i in range(n)] + [(2, 7), (None, 8)], "method int, call_id int")
+    named = spark.createDataFrame([(1, "m")], "method int, name string")
+    found = cd.context_sections(links, {"calls": calls, "method": named}, "mutant", "method")
+    rows = [tuple(r) for r in found.collect()]
+    want = [(i, "calls", n, f'{{"call_id":{c}}}') for i in range(1, n) for c in range(n)] + [(i, "method", 1, '{"name":"m"}') for i in range(1, n)]
+    want += [(0, "calls", 2 * n + 1, f'{{"call_id":{c}}}') for c in [*range(n), *range(n), 7]] + [(0, "method", 2, '{"name":"m"}')] * 2
+    assert sorted(rows) == sorted(want)
+    assert 0 < most_shuffled(found) <= 4 * n
