@@ -12,6 +12,7 @@ from pyspark.sql import Window as W
 from ..functions import fixed
 from ..functions.keys import prompt_cache_key
 from ..functions.text import first_match, safe
+from ..session import cut_lineage
 
 MIN_PARTIAL_CHARS = 512
 
@@ -217,9 +218,13 @@ def capped_evidence(leaves: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
 
     caps = [(F.col("action") == a, limits[0]) for a, limits in fixed.PROFILE_LIMITS.items() if limits[0] > 0]
     tiers = range(2, 2 + len(fixed.EVIDENCE_TIERS))
-    after = F.when(F.col("_stays"), json_chars(F.col("_cut"))).otherwise(F.lit(0))
-    sums = both.groupBy(key, "action").agg(
-        F.sum(json_chars(F.col("text"))).alias("_before"),
+    # a text is measured once before the cut, and after it only where the cut changed it
+    measured = both.withColumn("_chars", json_chars(F.col("text")))
+    same = F.col("_cut").eqNullSafe(F.col("text"))
+    measured = measured.withColumn("_left", first_match([(~F.col("_stays"), F.lit(0)), (same, F.col("_chars"))], json_chars(F.col("_cut"))))
+    after = F.col("_left")
+    sums = measured.groupBy(key, "action").agg(
+        F.sum("_chars").alias("_before"),
         F.sum(after).alias("_after"),
         *[F.sum(F.when(F.col("_tier") == t, after).otherwise(F.lit(0))).alias(f"_t{t}") for t in tiers],
     )
@@ -235,6 +240,7 @@ def capped_evidence(leaves: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
         _total(F.col("_before")).alias("chars_before"),
         _total(first_match([(c, s) for c, _, s in steps], left)).alias("chars"),
     )
+    levels = cut_lineage(levels)  # one row per key; the sums need all leaves, which are made once for them and once for the rows
     marked = both.join(levels.filter("level > 0").select(key, "action", "level"), [key, "action"], "left")
     cut = F.coalesce(F.col("level") >= 1, F.lit(False))
     stays = ~cut | (F.col("_stays") & ((F.col("_tier") == 0) | (F.col("_tier") > F.col("level"))))

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from mutspan.operators import candidates as cd
+from mutspan.operators import evidence
 from mutspan.operators import facts as fc
 from mutspan.operators import history as hs
 from mutspan.plans import queries_functions, queries_io, queries_merge
@@ -237,3 +238,11 @@ def test_context_items_are_made_once_per_scope(spark):
     want += [(0, "calls", 2 * n + 1, f'{{"call_id":{c}}}') for c in [*range(n), *range(n), 7]] + [(0, "method", 2, '{"name":"m"}')] * 2
     assert sorted(rows) == sorted(want)
     assert 0 < most_shuffled(found) <= 4 * n
+
+
+def test_evidence_sums_are_stored_for_the_rows(spark):
+    leaf = "id int, action string, section string, field string, field_no int, item_no int, member string, member_no int, sub_no int, text string, quoted boolean"
+    leaves = spark.createDataFrame([(i, "ENTRY_HEAVY", "notes", "", 0, -1, "", -1, -1, " é\"" + "x" * 40000 * i, True) for i in range(3)], leaf)
+    rows, levels = evidence.capped_evidence(leaves, "id")
+    assert leaves_of_plan(levels) == 1 and leaves_of_plan(rows) == 4
+    assert levels.count() == 3
