@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from ..functions.text import first_match, safe
 
@@ -12,25 +13,25 @@ def control_dependence(blocks: DataFrame, successors: DataFrame, postdom: DataFr
     """Branches on which a statement depends: it post-dominates some but not all successors.
 
     ``marks`` has (method, node): the statements asked for. Starting from the
-    post-dominator rows of the successors, only pairs that hold are ever formed;
-    a pair counts when it holds for fewer successors than the branch has.
+    post-dominator rows of the successors, only pairs that hold are ever formed,
+    and only those of statements asked for meet the branches; a pair counts when
+    it holds for fewer successors than the branch has.
     """
     edges = blocks.filter("tail_is_if").join(successors.select("method", "block", "succ").distinct(), ["method", "block"])
-    totals = edges.groupBy("method", "block").agg(F.count(F.lit(1)).alias("_total"))
-    dominated = postdom.select("method", F.col("node").alias("succ"), F.col("dominator").alias("mark")).distinct()
+    edges = edges.withColumn("_total", F.count(F.lit(1)).over(W.partitionBy("method", "block")))
     asked = marks.select("method", F.col("node").alias("mark"))
+    dominated = (
+        postdom.select("method", F.col("node").alias("succ"), F.col("dominator").alias("mark"))
+        .join(asked, ["method", "mark"], "left_semi")
+        .distinct()
+    )
     hits = (
         edges.join(dominated, ["method", "succ"])
-        .join(asked, ["method", "mark"], "left_semi")
-        .groupBy("method", "mark", "block", "cond", "line")
+        .groupBy("method", "mark", "block", "cond", "line", "_total")
         .agg(F.count(F.lit(1)).alias("_n"))
     )
     text = F.concat(F.lit("If("), F.col("cond"), F.lit(") @"), F.col("line").cast("string"))
-    return (
-        hits.join(totals, ["method", "block"])
-        .filter(F.col("_n") < F.col("_total"))
-        .select("method", "mark", "block", text.alias("dependence"))
-    )
+    return hits.filter(F.col("_n") < F.col("_total")).select("method", "mark", "block", text.alias("dependence"))
 
 
 def def_use_edges(defuse: DataFrame) -> DataFrame:

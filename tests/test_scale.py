@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from mutspan.operators import candidates as cd
 from mutspan.operators import evidence
 from mutspan.operators import facts as fc
+from mutspan.operators import graph
 from mutspan.operators import history as hs
 from mutspan.plans import queries_functions, queries_io, queries_merge
 
@@ -246,3 +247,16 @@ def test_evidence_sums_are_stored_for_the_rows(spark):
     rows, levels = evidence.capped_evidence(leaves, "id")
     assert leaves_of_plan(levels) == 1 and leaves_of_plan(rows) == 4
     assert levels.count() == 3
+
+
+def test_only_asked_statements_meet_the_branches(spark):
+    n, marks = 60, 80
+    blocks = spark.createDataFrame([(1, b, b < n, f"c{b}", b) for b in range(n + 2)], "method int, block int, tail_is_if boolean, cond string, line int")
+    successors = spark.createDataFrame([(1, b, s) for b in range(n) for s in (n, n + 1)] * 2, "method int, block int, succ int")
+    postdom = spark.createDataFrame([(1, n, 1000 + m) for m in range(marks)] + [(1, n + 1, 1000 + m) for m in range(1, marks)], "method int, node int, dominator int")
+    asked = spark.createDataFrame([(1, 1000), (1, 1001), (1, 1001)], "method int, node int")
+    found = graph.control_dependence(blocks, successors, postdom, asked)
+    assert leaves_of_plan(found) == 4
+    rows, most = most_rows(found)
+    assert sorted(rows) == [(1, 1000, b, f"If(c{b}) @{b}") for b in range(n)]
+    assert most <= 8 * n
