@@ -260,3 +260,18 @@ def test_only_asked_statements_meet_the_branches(spark):
     rows, most = most_rows(found)
     assert sorted(rows) == [(1, 1000, b, f"If(c{b}) @{b}") for b in range(n)]
     assert most <= 8 * n
+
+
+def test_witnesses_need_no_second_look_at_the_observers(spark, monkeypatch):
+    stored, keep = [], cd.cut_lineage
+    monkeypatch.setattr(cd, "cut_lineage", lambda df: stored.append(df.columns) or keep(df))
+    methods, calls, accesses, fields = one_type(spark, 12)
+    chains = cd.derive_witnesses(methods, calls, accesses, fields)
+    assert not [c for c in stored if "observer_signature" in c]
+    assert leaves_of_plan(chains.select("anchor_id")) and chains.groupBy("anchor_id").count().filter("count > 5").isEmpty()
+    own = chains.filter("entry_id = anchor_id AND observable_kind = 'PUBLIC_METHOD_DEPENDS_ON_MUTATED_STATE'").first()
+    best = cd.best_observers(cd.field_observers(cd.anchors_of(methods), methods, accesses, fields))
+    points = best.filter(f"anchor_id = {own.anchor_id} AND method_id = {own.observable_id}").first().priority
+    entry = cd.entry_scores(cd.anchors_of(methods), methods, cd.anchors_of(methods).select("anchor_id", F.col("anchor_id").alias("method_id"), F.lit(0).alias("distance")), reached_only=True)
+    score = entry.filter(f"anchor_id = {own.anchor_id}").first().score
+    assert own.score == score + 140.0 + points + 100.0
