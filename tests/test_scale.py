@@ -8,7 +8,7 @@ from mutspan.operators import evidence
 from mutspan.operators import facts as fc
 from mutspan.operators import graph
 from mutspan.operators import history as hs
-from mutspan.plans import queries_functions, queries_io, queries_merge
+from mutspan.plans import queries_functions, queries_io, queries_merge, views
 
 METHODS = "method_id long, type_id string, name string, signature string, return_type string, visibility string, is_static boolean, is_constructor boolean, begin_line int, end_line int"
 CALLS = "call_id long, caller_method_id long, callee_method_id long, callee_method_name string, line_number int"
@@ -275,3 +275,28 @@ def test_witnesses_need_no_second_look_at_the_observers(spark, monkeypatch):
     entry = cd.entry_scores(cd.anchors_of(methods), methods, cd.anchors_of(methods).select("anchor_id", F.col("anchor_id").alias("method_id"), F.lit(0).alias("distance")), reached_only=True)
     score = entry.filter(f"anchor_id = {own.anchor_id}").first().score
     assert own.score == score + 140.0 + points + 100.0
+
+
+def test_calls_come_from_one_reading_of_the_lines(spark, tmp_path):
+    rows = [(o, n, 100 * o + n) for o in (1, 2) for n in range(60, 195) if (o, n) != (2, 128)] + [(1, 64, 7), (1, 65, None), (3, 1, None), (3, 2, 5), (3, 2, None), (None, 1, 8), (None, 2, 9), (4, None, 1), (4, 1, 2), (5, 0, 1), (5, -1, 3)]
+    spark.createDataFrame(rows, "l_orderkey long, l_linenumber int, l_partkey long").write.parquet(str(tmp_path / "lineitem.parquet"))
+    calls = views.v_calls(spark, str(tmp_path))
+    assert leaves_of_plan(calls) == 1
+    least = {}
+    for o, n, p in rows:
+        if None not in (o, n):
+            least[o, n] = min(p, least.get((o, n)) or p) if p is not None else least.get((o, n))
+    want = [(10 * o + n, p, least[o, n + 1] if (least[o, n + 1] or 0) % 7 else None) for (o, n), p in least.items() if (o, n + 1) in least]
+    assert sorted(map(str, calls.select("call_id", "caller_method_id", "callee_method_id").collect())) == sorted(
+        f"Row(call_id={c}, caller_method_id={p}, callee_method_id={q})" for c, p, q in want
+    )
+
+
+def test_ids_are_joined_for_anchors_without_a_name_only(spark):
+    methods, calls, _, _ = one_type(spark, 20)
+    assert leaves_of_plan(fc.direct_callers(cd.anchors_of(methods), methods, calls)) == 4
+    stranger = cd.anchors_of(methods).filter("method_id = 3").withColumn("name", F.lit("other"))
+    found = fc.direct_callers(cd.anchors_of(methods).unionByName(stranger.withColumns({"anchor_id": F.lit(4).cast("long")})), methods, calls.withColumn("callee_method_name", F.lit("x")))
+    assert sorted(map(tuple, found.collect())) == sorted((a, m) for a in range(20) for m in range(20))
+    apart = fc.direct_callers(stranger, methods, calls)
+    assert [tuple(r) for r in apart.collect()] == [(3, 2)]
