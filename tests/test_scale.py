@@ -300,3 +300,35 @@ def test_ids_are_joined_for_anchors_without_a_name_only(spark):
     assert sorted(map(tuple, found.collect())) == sorted((a, m) for a in range(20) for m in range(20))
     apart = fc.direct_callers(stranger, methods, calls)
     assert [tuple(r) for r in apart.collect()] == [(3, 2)]
+
+
+def test_stored_entries_shuffle_their_sides_only(spark):
+    n = 300
+    methods, calls, _, _ = one_type(spark, n)
+    anchors = cd.anchors_of(methods)
+    entries = cd.entry_candidates(anchors, methods, cd.call_distances(anchors, methods, calls))
+    assert entries.count() > 200 * n
+    assert 0 < most_shuffled(entries) <= 8 * n
+
+
+@pytest.mark.parametrize("pairs", [1, 1 << 21])
+def test_stored_entries_of_repeated_and_missing_keys(spark, monkeypatch, pairs):
+    dealt = cd.dealt_by_type
+    monkeypatch.setattr(cd, "dealt_by_type", lambda target, base, _, parts: dealt(target, base, pairs, parts))
+    rows = [
+        (1, "T", "a"), (1, "U", "b"), (2, "T", "c"), (2, "T", "c"), (3, "T", "a"), (4, "U", "d"), (5, "T", None), (6, None, "a"), (None, "T", "a"), (None, "U", "a"), (7, "U", "a"), (8, "T", "parse"),
+    ]
+    methods = spark.createDataFrame([(i, t, n, n and f"{n}()", "int" if k % 2 else "void", "public" if k % 3 else "protected", k % 4 == 0, k == 5, k, 0) for k, (i, t, n) in enumerate(rows)], METHODS)
+    distances = spark.createDataFrame([(1, 2, 1), (2, 2, 0), (2, 2, 0), (3, 8, 3), (3, 1, 6), (None, 3, 1), (7, 4, 2), (7, None, 1)], "anchor_id long, method_id long, distance int")
+    anchors = cd.anchors_of(methods)
+    want = {}
+    for r in cd.entry_scores(anchors, methods, distances).collect():
+        want.setdefault(r.anchor_id, []).append((-r.score, r.begin_line, str(r.method_id), r.reasons))
+    found = {}
+    for r in cd.entry_candidates(anchors, methods, distances).orderBy("entry_rank").collect():
+        found.setdefault(r.anchor_id, []).append((r.entry_rank, r.preferred, r.score, str(r.method_id), r.reasons))
+    assert set(found) == set(want) and None in want
+    for a, entries in want.items():
+        assert [x[0] for x in found[a]] == [*range(1, len(entries) + 1)] and [x[1] for x in found[a]] == [True] + [False] * (len(entries) - 1)
+        assert [x[2] for x in found[a]] == [-s for s, *_ in sorted(entries)]
+        assert sorted(x[2:] for x in found[a]) == sorted((-s, m, why) for s, _, m, why in entries)
