@@ -332,3 +332,11 @@ def test_stored_entries_of_repeated_and_missing_keys(spark, monkeypatch, pairs):
         assert [x[0] for x in found[a]] == [*range(1, len(entries) + 1)] and [x[1] for x in found[a]] == [True] + [False] * (len(entries) - 1)
         assert [x[2] for x in found[a]] == [-s for s, *_ in sorted(entries)]
         assert sorted(x[2:] for x in found[a]) == sorted((-s, m, why) for s, _, m, why in entries)
+
+
+def test_live_entries_judge_a_name_once(spark):
+    n = 300
+    methods, calls, _, _ = one_type(spark, n)
+    entries = cd.live_entries(cd.anchors_of(methods), methods, calls)
+    assert "exists(" not in entries._jdf.queryExecution().optimizedPlan().toString()
+    assert 0 < most_shuffled(entries) <= 2 * n
