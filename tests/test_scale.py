@@ -340,3 +340,45 @@ def test_live_entries_judge_a_name_once(spark):
     entries = cd.live_entries(cd.anchors_of(methods), methods, calls)
     assert "exists(" not in entries._jdf.queryExecution().optimizedPlan().toString()
     assert 0 < most_shuffled(entries) <= 2 * n
+
+
+def large_shuffles(df, records):
+    """Exchanges of the plan that sent more than so many records, after a run without broadcasts."""
+    before = df.sparkSession.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    df.sparkSession.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = df.select("*")
+        df.collect()
+        found, todo = 0, [df._jdf.queryExecution().executedPlan()]
+        while todo:
+            plan = todo.pop()
+            kind = plan.getClass().getSimpleName()
+            todo += [plan.executedPlan()] if kind == "AdaptiveSparkPlanExec" else [plan.plan()] if kind.endswith("QueryStageExec") else []
+            todo += [plan.children().apply(i) for i in range(plan.children().size())]
+            found += kind == "ShuffleExchangeExec" and plan.metrics().apply("shuffleRecordsWritten").value() > records
+        return found
+    finally:
+        df.sparkSession.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_readers_of_witnesses_are_shuffled_once(spark, monkeypatch):
+    n, stored, keep = 40, [], cd.cut_lineage
+    monkeypatch.setattr(cd, "cut_lineage", lambda df: stored.append(df) or keep(df))
+    methods, calls, accesses, fields = one_type(spark, n)
+    cd.derive_witnesses(methods, calls, accesses, fields)
+    (rated,) = [df for df in stored if "observable_part" in df.columns]
+    assert large_shuffles(rated, 10 * n) == 1
+    assert rated.count() <= 8 * n  # five each, and those that are entries
+
+
+def test_reader_points_are_those_of_the_best_observers(spark):
+    rows = [(1, "T", "a()"), (1, "U", "a()"), (2, "T", "b()"), (2, "T", "b()"), (3, "T", None), (4, "U", "d()"), (5, None, "e()"), (None, "T", "f()"), (6, "T", "g()")]
+    kinds = ["public", "protected", "private", "package-private", "public", None]
+    methods = spark.createDataFrame([(i, t, "m", s, ["int", "void", None][k % 3], kinds[k % 6], False, False, k, 0) for k, (i, t, s) in enumerate(rows)], METHODS)
+    touches = [(m, f, "READ" if (m or 0) + (f or 0) & 1 else "WRITE") for m in (1, 2, 3, 4, 5, 6, None) for f in (1, 2, None)] + [(1, 1, "WRITE"), (2, 1, None), (3, 1, "READ"), (3, 1, "WRITE")]
+    accesses = spark.createDataFrame([(k, m, f, a, k) for k, (m, f, a) in enumerate(touches)], ACCESSES)
+    fields = spark.createDataFrame([(1, "T", "f1", "private"), (1, "T", "f1", "private"), (2, "U", "f2", "public"), (None, "T", "f3", "public")], FIELDS)
+    anchors = cd.anchors_of(methods)
+    best = cd.best_observers(cd.field_observers(anchors, methods, accesses, fields)).select("anchor_id", "method_id", "observer_signature", "priority")
+    found = fc.reader_points(anchors, methods, accesses, fields, cd._observing()[2])
+    assert sorted(map(str, map(tuple, found.collect()))) == sorted(map(str, map(tuple, best.collect()))) and best.count() > 4
