@@ -382,3 +382,11 @@ def test_reader_points_are_those_of_the_best_observers(spark):
     best = cd.best_observers(cd.field_observers(anchors, methods, accesses, fields)).select("anchor_id", "method_id", "observer_signature", "priority")
     found = fc.reader_points(anchors, methods, accesses, fields, cd._observing()[2])
     assert sorted(map(str, map(tuple, found.collect()))) == sorted(map(str, map(tuple, best.collect()))) and best.count() > 4
+
+
+def test_fallback_observables_are_shuffled_once(spark):
+    n = 40
+    methods, _, accesses, fields = one_type(spark, n)
+    anchors = cd.anchors_of(methods)
+    found = cd.observables_fallback(anchors, fc.propagation_candidates(anchors, methods, accesses, fields))
+    assert large_shuffles(found, 10 * n) == 1
